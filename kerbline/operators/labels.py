@@ -28,11 +28,12 @@ def _last_within(frame: DataFrame, part: list[str], horizons: Sequence[tuple[str
     """Last state with ``t < t' <= t + horizon``: the largest (t, seq, id) up to the horizon, if it is later than t."""
     by_time = Window.partitionBy(*part).orderBy("t")
     state = F.struct("t", "seq", "row_id", "no_seat", "low_seat_2")
-    for name, seconds in horizons:
-        ahead = F.max(state).over(by_time.rangeBetween(Window.unboundedPreceding, seconds * 1_000_000))
-        frame = frame.withColumn(f"_h_{name}", ahead)
-        frame = frame.withColumn(f"_h_{name}", F.when(F.col(f"_h_{name}.t") > F.col("t"), F.col(f"_h_{name}")))
-    return frame
+    ahead = {
+        f"_h_{name}": F.max(state).over(by_time.rangeBetween(Window.unboundedPreceding, seconds * 1_000_000))
+        for name, seconds in horizons
+    }
+    frame = frame.select("*", *[c.alias(n) for n, c in ahead.items()])
+    return frame.withColumns({n: F.when(F.col(f"{n}.t") > F.col("t"), F.col(n)) for n in ahead})
 
 
 def _next_larger(frame: DataFrame, part: list[str], levels: int, reach: int) -> DataFrame:

@@ -12,7 +12,6 @@ from kerbline.operators import demand as demand_ops, features, labels, training
 HORIZONS = (("5min", 6 * 3600), ("10min", 12 * 3600))
 NEXT_STOP_SECONDS = 24 * 3600
 SLICE_SECONDS = 48 * 3600
-MICROS = F.unix_micros
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,6 +19,7 @@ def local_session(cores: int = 8, name: str = "kerbline") -> SparkSession:
         .appName(name)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
     for key, value in SETTINGS.items():
