@@ -1,6 +1,6 @@
 """Data-quality profile and summaries."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.constants import QUALITY_GROUPS
 
@@ -78,11 +78,16 @@ def quality_report(features: DataFrame) -> dict[str, DataFrame]:
 SUMMARY_KEYS = ("service_date", "day_name_ko", "time_period", "canonical_route_name")
 
 
+def _mean(column: str) -> Column:
+    """Mean to two places, halves away from zero; decimal, so that the order of addition cannot flip a half."""
+    return F.round(F.avg(column).cast("decimal(20,8)"), 2).cast("double")
+
+
 def seat_summary(base: DataFrame) -> DataFrame:
     """Seats and low-seat counts per day, period and route."""
     return base.groupBy(*SUMMARY_KEYS).agg(
         F.count(F.lit(1)).alias("observation_count"),
-        F.round(F.avg("remain_seat_cnt"), 2).alias("avg_remain_seat_cnt"),
+        _mean("remain_seat_cnt").alias("avg_remain_seat_cnt"),
         F.min("remain_seat_cnt").alias("min_remain_seat_cnt"),
         F.max("remain_seat_cnt").alias("max_remain_seat_cnt"),
         F.max("seat_scarcity_score").alias("max_seat_scarcity_score"),
@@ -96,11 +101,11 @@ def context_summary(features: DataFrame) -> DataFrame:
     """Context averages and imputed counts per day, period and route."""
     return features.groupBy(*SUMMARY_KEYS).agg(
         F.count(F.lit(1)).alias("observation_count"),
-        F.round(F.avg("remain_seat_cnt"), 2).alias("avg_remain_seat_cnt"),
-        F.round(F.avg("temperature"), 2).alias("avg_temperature"),
-        F.round(F.avg("precipitation"), 2).alias("avg_precipitation"),
-        F.round(F.avg("pm10"), 2).alias("avg_pm10"),
-        F.round(F.avg("avg_speed"), 2).alias("avg_traffic_speed"),
+        _mean("remain_seat_cnt").alias("avg_remain_seat_cnt"),
+        _mean("temperature").alias("avg_temperature"),
+        _mean("precipitation").alias("avg_precipitation"),
+        _mean("pm10").alias("avg_pm10"),
+        _mean("avg_speed").alias("avg_traffic_speed"),
         F.max("event_count").alias("max_event_count"),
         F.max("is_holiday").alias("is_holiday"),
         F.sum("weather_imputed").alias("weather_imputed_count"),
