@@ -1,5 +1,7 @@
 """Base and model feature tables."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions import seats, text, times
@@ -30,11 +32,11 @@ def route_capacity(snapshots: DataFrame) -> DataFrame:
     return seen.groupBy("route_id").agg(F.max("remain_seat_cnt").alias("route_capacity"))
 
 
-def location_features(snapshots: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+def location_features(snapshots: DataFrame, routes: DataFrame, stops: DataFrame, capacity: DataFrame | None = None) -> DataFrame:
     """Snapshots of known routes with stop data, calendar parts, capacity, scarcity and seat flags.
 
     The dimension sides carry no broadcast hint: Spark broadcasts them while they are below its size threshold and
-    falls back to a (skew-aware) shuffle join beyond it.
+    falls back to a (skew-aware) shuffle join beyond it. ``capacity`` may come from a longer log than ``snapshots``.
     """
     route = routes.select(
         "route_id",
@@ -47,7 +49,7 @@ def location_features(snapshots: DataFrame, routes: DataFrame, stops: DataFrame)
     joined = (
         snapshots.join(route, "route_id")
         .join(stop, ["route_id", "station_seq"], "left")
-        .join(observed_capacity(snapshots), ["route_id", "plate_no"], "left")
+        .join(observed_capacity(snapshots) if capacity is None else capacity, ["route_id", "plate_no"], "left")
         .withColumn("route_type_cd", F.coalesce("route_type_cd", "_route_type"))
     )
     joined = joined.withColumn("estimated_capacity", seats.batch_capacity(F.col("route_type_cd"), F.col("observed_capacity")))
@@ -92,8 +94,9 @@ def model_features(
     events: DataFrame,
     *,
     by: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Base rows with context attached and every column filled, so that nothing is null."""
+    """Base rows with context attached and every feature filled, so that none is null; ``keep`` passes columns on."""
     rows = base.withColumn("hour_at", kst_hour(F.col("collected_at")))
     rows = with_nearest(rows, weather, WEATHER_DEFAULTS, "weather_imputed", key="weather_station_id", by=by)
     rows = with_nearest(rows, air, AIR_DEFAULTS, "air_quality_imputed", key="air_station_name", by=by)
@@ -111,7 +114,7 @@ def model_features(
         "station_id", "station_seq", "station_name", "mobile_no", "x", "y", "remain_seat_cnt", "crowded", "crowded_label",
         "estimated_capacity", "seat_scarcity_score", "is_no_seat", "is_low_seat_2", "is_low_seat_5",
         *WEATHER_DEFAULTS, "weather_imputed", *AIR_DEFAULTS, "air_quality_imputed",
-        *TRAFFIC_DEFAULTS, "traffic_imputed", "event_count", "event_nearby_count", "event_imputed",
+        *TRAFFIC_DEFAULTS, "traffic_imputed", "event_count", "event_nearby_count", "event_imputed", *keep,
     )
 
 
