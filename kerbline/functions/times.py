@@ -110,7 +110,7 @@ def minute_of_day(wall: Column) -> Column:
 
 def in_service(minute: Column, first: Column, last: Column) -> Column:
     """Whether a minute lies in the service window; a window that ends before it starts wraps past midnight."""
-    wrapped = F.when(first <= last, minute.between(first, last)).otherwise((minute >= first) | (minute <= last))
+    wrapped = F.when(first <= last, minute.between(first, last)).when(first > last, (minute >= first) | (minute <= last))
     return F.coalesce(wrapped, F.lit(False))
 
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions import seats, text, times
 from kerbline.operators.nearest import with_event, with_holiday, with_nearest
@@ -32,11 +32,30 @@ def route_capacity(snapshots: DataFrame) -> DataFrame:
     return seen.groupBy("route_id").agg(F.max("remain_seat_cnt").alias("route_capacity"))
 
 
-def location_features(snapshots: DataFrame, routes: DataFrame, stops: DataFrame, capacity: DataFrame | None = None) -> DataFrame:
+def capacity_so_far(snapshots: DataFrame) -> DataFrame:
+    """Snapshots plus ``observed_capacity`` seen up to each one, so that no later row leaks into a feature.
+
+    A plate may hold very many rows: days are combined first, and only one day of a plate is ever walked in order.
+    """
+    plate, seats_seen = ["route_id", "plate_no"], F.when(F.col("remain_seat_cnt") >= 0, F.col("remain_seat_cnt"))
+    rows = snapshots.withColumn("_day", F.to_date("collected_at"))
+    days = rows.groupBy(*plate, "_day").agg(F.max(seats_seen).alias("_most"))
+    earlier = Window.partitionBy(*plate).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(*plate, "_day", F.max("_most").over(earlier).alias("_before")).where("plate_no IS NOT NULL")
+    today = Window.partitionBy(*plate, "_day").orderBy("collected_at", "snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_today", F.max(seats_seen).over(today)).join(before, [*plate, "_day"], "left")
+    known = F.when(F.col("plate_no").isNotNull(), F.greatest("_before", "_today"))
+    return rows.withColumn("observed_capacity", known).drop("_day", "_before", "_today")
+
+
+def location_features(
+    snapshots: DataFrame, routes: DataFrame, stops: DataFrame, capacity: DataFrame | None = None, *, as_of: bool = False
+) -> DataFrame:
     """Snapshots of known routes with stop data, calendar parts, capacity, scarcity and seat flags.
 
     The dimension sides carry no broadcast hint: Spark broadcasts them while they are below its size threshold and
     falls back to a (skew-aware) shuffle join beyond it. ``capacity`` may come from a longer log than ``snapshots``.
+    Capacity looks at all times by default; with ``as_of`` only at the rows up to each snapshot.
     """
     route = routes.select(
         "route_id",
@@ -46,12 +65,12 @@ def location_features(snapshots: DataFrame, routes: DataFrame, stops: DataFrame,
         "route_type_name",
     )
     stop = stops.select("route_id", "station_seq", "station_name", "mobile_no", "x", "y")
-    joined = (
-        snapshots.join(route, "route_id")
-        .join(stop, ["route_id", "station_seq"], "left")
-        .join(observed_capacity(snapshots) if capacity is None else capacity, ["route_id", "plate_no"], "left")
-        .withColumn("route_type_cd", F.coalesce("route_type_cd", "_route_type"))
-    )
+    if as_of:
+        rows = capacity_so_far(snapshots)
+    else:
+        rows = snapshots.join(observed_capacity(snapshots) if capacity is None else capacity, ["route_id", "plate_no"], "left")
+    joined = rows.join(route, "route_id").join(stop, ["route_id", "station_seq"], "left")
+    joined = joined.withColumn("route_type_cd", F.coalesce("route_type_cd", "_route_type"))
     joined = joined.withColumn("estimated_capacity", seats.batch_capacity(F.col("route_type_cd"), F.col("observed_capacity")))
     remain = F.col("remain_seat_cnt")
     return joined.select(

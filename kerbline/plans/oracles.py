@@ -363,7 +363,7 @@ req7 AS (
   FROM req6 r LEFT JOIN timetable f ON f.route_id = r.route_id AND f.direction = r.direction AND f.day_type = r.day_type
 ),
 req8 AS (
-  SELECT *, coalesce(CASE WHEN f_min <= l_min THEN minute BETWEEN f_min AND l_min ELSE minute >= f_min OR minute <= l_min END, false) AS operating FROM req7
+  SELECT *, coalesce(CASE WHEN f_min IS NULL OR l_min IS NULL THEN false WHEN f_min <= l_min THEN minute BETWEEN f_min AND l_min ELSE minute >= f_min OR minute <= l_min END, false) AS operating FROM req7
 ),
 req9 AS (
   SELECT *, CASE WHEN operating THEN wall_us WHEN f_min IS NOT NULL THEN (dayno + CASE WHEN minute > f_min THEN 1 ELSE 0 END) * 86400000000 + CAST(f_min AS BIGINT) * 60000000 END AS proxy_wall FROM req8

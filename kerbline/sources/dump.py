@@ -21,7 +21,7 @@ def read_dump_statements(spark: SparkSession, path: str) -> DataFrame:
 def dump_table(statements: DataFrame, table: str, columns: str | None = None) -> DataFrame:
     """Rows of one table, all columns as text (SQL NULL is null), plus ``_order`` of appearance."""
     fields = [c.strip() for c in (columns or DUMP_TABLES[table]).split(",")]
-    mine = statements.where(F.ltrim("value").rlike(rf"^(?is)\s*INSERT INTO `?{table}`?[\s(]"))
+    mine = statements.where(F.col("value").rlike(rf"(?is)^(\s*--[^\n]*\n)*\s*INSERT INTO `?{table}`?[\s(]"))
     mine = mine.withColumn("_stmt", F.monotonically_increasing_id())
     body = F.regexp_extract("value", r"(?is)\bVALUES\s*(.*)$", 1)
     tuples = mine.select("_stmt", F.posexplode(F.regexp_extract_all(body, F.lit(TUPLE), F.lit(1))).alias("_at", "_tuple"))

@@ -70,9 +70,14 @@ def append_batch(rows: DataFrame, path: str, batch_seq: int, partition: Sequence
     rows.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/batch_seq={batch_seq}")
 
 
-def read_latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """Last write per key over all batches. A filter on a key column (a partition, say) reaches the scan."""
-    return latest_per_key(spark.read.option("basePath", path).parquet(path), key, ["batch_seq"]).drop("batch_seq")
+def read_latest(spark: SparkSession, path: str, key: Sequence[str], where: Column | None = None) -> DataFrame:
+    """Last write per key over all batches.
+
+    ``where`` is applied before older writes are dropped, so that it prunes folders and reaches the scan; it may only
+    look at columns that all writes of a key agree on (the collection time of a snapshot id, for one).
+    """
+    rows = spark.read.option("basePath", path).parquet(path)
+    return latest_per_key(rows if where is None else rows.where(where), key, ["batch_seq"]).drop("batch_seq")
 
 
 def compact(spark: SparkSession, path: str, target: str, key: Sequence[str], partition: Sequence[str] = ()) -> None:

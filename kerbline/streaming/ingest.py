@@ -2,7 +2,7 @@
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kerbline.constants import HORIZONS, NEXT_STOP_SECONDS
@@ -57,18 +57,30 @@ def feature_stream(
 ) -> StreamingQuery:
     """Features of each micro-batch only, upserted by snapshot id. ``tables`` gives the current dimensions and context.
 
-    Observed capacity comes from the stored snapshot log plus the batch, so that it does not depend on batch borders.
+    Observed capacity comes from the stored snapshot log (``log``) plus the batch, not from the batch alone.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
         known = tables()
-        rows = with_snapshot_id(batch)
-        base = features.location_features(rows, known["routes"], known["stops"], capacity=features.observed_capacity(known["log"]))
+        rows = with_snapshot_id(batch).persist()
+        seen = ["route_id", "plate_no", "remain_seat_cnt"]
+        capacity = features.observed_capacity(known["log"].select(*seen).unionByName(rows.select(*seen)))
+        base = features.location_features(rows, known["routes"], known["stops"], capacity)
         built = features.model_features(base, known["weather"], known["air"], known["traffic"], known["holidays"], known["events"])
         append_batch(built, path, batch_id, ["service_date"])
+        rows.unpersist()
 
     return _started(snapshots.writeStream.foreachBatch(one).outputMode("append"), checkpoint, every_seconds)
 
 
+def look_back(batch: DataFrame, reach_seconds: int) -> Column | None:
+    """Filter for the stored rows whose labels a batch can change: nothing older than one look-ahead before it."""
+    oldest = batch.agg(F.min(F.unix_micros("collected_at"))).first()[0]
+    if oldest is None:
+        return None
+    since = F.timestamp_micros(F.lit(oldest - reach_seconds * 1_000_000))
+    return (F.col("service_date") >= F.to_date(since)) & (F.col("collected_at") >= since)
+
+
 def relabel(
     stored: DataFrame,
     batch: DataFrame,
@@ -76,34 +88,38 @@ def relabel(
     horizons: Sequence[tuple[str, int]] = HORIZONS,
     next_stop_seconds: int = NEXT_STOP_SECONDS,
 ) -> DataFrame:
-    """Labels that a batch can change: rows of touched vehicles, from the look-ahead before the batch's first time on.
-
-    A new observation only changes labels of rows at most one look-ahead earlier, so the rest of the log is not read:
-    the time bound filters the scan, the vehicle bound is a semi-join.
-    """
-    reach = max([s for _, s in horizons] + [next_stop_seconds])
-    oldest = batch.agg(F.min("collected_at")).first()[0]
-    if oldest is None:
-        return labels.label_table(stored.limit(0), micros=F.unix_micros("collected_at"), horizons=horizons, next_stop_seconds=next_stop_seconds, seq_bounds=(0, 0))
-    since = F.lit(oldest).cast("timestamp") - F.make_dt_interval(secs=F.lit(reach))
+    """Labels that a batch can change: the stored rows (those ``look_back`` leaves) of the vehicles it touches."""
     touched = batch.select(*labels.VEHICLE).distinct().alias("_v")
     same = F.lit(True)
     for part in labels.VEHICLE:
         same = same & F.col(f"_s.{part}").eqNullSafe(F.col(f"_v.{part}"))
-    rows = stored.where(F.col("collected_at") >= since).alias("_s").join(touched, same, "left_semi")
+    rows = stored.alias("_s").join(touched, same, "left_semi")
     return labels.label_table(rows, micros=F.unix_micros("collected_at"), horizons=horizons, next_stop_seconds=next_stop_seconds)
 
 
-def label_stream(feature_path: str, spark: SparkSession, features_stream: DataFrame, path: str, checkpoint: str, every_seconds: int | None = None) -> StreamingQuery:
-    """Keep labels up to date as observations arrive, late ones included: each batch upserts the labels it changes."""
+def label_stream(built: DataFrame, feature_path: str, path: str, checkpoint: str, every_seconds: int | None = None) -> StreamingQuery:
+    """Keep labels up to date as feature rows arrive, late ones included: each batch upserts the labels it changes.
+
+    The oldest look-back rows of a batch lack nothing: a label only looks forward, and everything later is read.
+    """
     def one(batch: DataFrame, batch_id: int) -> None:
-        stored = read_latest(spark, feature_path, ["snapshot_id"])
-        append_batch(relabel(stored, batch), path, batch_id)
+        rows = batch.persist()
+        recent = look_back(rows, max([s for _, s in HORIZONS] + [NEXT_STOP_SECONDS]))
+        if recent is not None:
+            stored = read_latest(rows.sparkSession, feature_path, ["snapshot_id"], recent)
+            append_batch(relabel(stored, rows), path, batch_id)
+        rows.unpersist()
+
+    return _started(built.writeStream.foreachBatch(one).outputMode("append"), checkpoint, every_seconds)
+
 
-    return _started(features_stream.writeStream.foreachBatch(one).outputMode("append"), checkpoint, every_seconds)
+def read_feature_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The feature table's batches as a stream."""
+    schema = spark.read.option("basePath", path).parquet(path).schema
+    return spark.readStream.schema(schema).option("basePath", path).parquet(path)
 
 
 def mature(labelled: DataFrame, feature_rows: DataFrame, watermark: object, reach_seconds: int = NEXT_STOP_SECONDS) -> DataFrame:
     """Labels no later row can change: their snapshot lies a full look-ahead before the watermark."""
-    final = feature_rows.where(F.col("collected_at") < F.lit(watermark).cast("timestamp") - F.make_dt_interval(secs=F.lit(reach_seconds)))
+    final = feature_rows.where(F.unix_micros("collected_at") < F.unix_micros(F.lit(watermark).cast("timestamp")) - reach_seconds * 1_000_000)
     return labelled.join(final.select("snapshot_id"), "snapshot_id", "left_semi")
