@@ -191,6 +191,7 @@ def scheduled_rows(
     history: DataFrame,
 ) -> DataFrame:
     """Base feature rows at the proxy time, with the bus state taken from history."""
+    requests = requests.where("route_id IS NOT NULL")
     rows = schedule_context(schedule_requests(requests, stops), timetables, holidays)
     rows = with_route(rows, routes)
     rows = rows.withColumns({"input_at_kst": times.iso_kst(F.col("at")), "collected_at": F.coalesce("schedule_proxy_at", "at")})
@@ -213,9 +214,18 @@ def scheduled_rows(
     return with_requested_name(rows, stops)
 
 
-def choose_rows(requests: DataFrame, live: DataFrame, scheduled: DataFrame) -> DataFrame:
-    """Live rows where a request has any, else its scheduled rows, else one ``none`` row."""
-    fallback = scheduled.join(live.select("request_id").distinct(), "request_id", "left_anti")
-    rows = live.unionByName(fallback, allowMissingColumns=True)
-    empty = requests.select("request_id").distinct().join(rows.select("request_id").distinct(), "request_id", "left_anti")
+def without_live(arrivals: DataFrame) -> DataFrame:
+    """Arrivals of requests that announce no usable vehicle; decided on the arrivals alone, before any join."""
+    seen = arrival_slots(arrivals.where("route_id IS NOT NULL")).select("request_id").distinct()
+    return arrivals.join(seen, "request_id", "left_anti")
+
+
+def choose_rows(arrivals: DataFrame, live: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """Live rows where a request has any, else its scheduled rows, else one ``none`` row.
+
+    ``scheduled`` holds the rows of ``without_live`` arrivals, one per arrival with a route.
+    """
+    routed = arrivals.where("route_id IS NOT NULL").select("request_id").distinct()
+    empty = arrivals.select("request_id").distinct().join(routed, "request_id", "left_anti")
+    rows = live.unionByName(scheduled, allowMissingColumns=True)
     return rows.unionByName(empty.withColumn("prediction_mode", F.lit("none")), allowMissingColumns=True)

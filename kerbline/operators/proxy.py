@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions import seats
+from kerbline.operators.fallback import first_level, level_cell
 
 KEYS = ("canonical_route_name", "station_id", "station_seq", "hour", "is_weekend", "is_holiday")
 # Grains in priority order.
@@ -20,24 +21,16 @@ LEVELS = (
 _TYPES = {"canonical_route_name": "string"}
 
 
-def _level_keys(level: str, keys: tuple[str, ...], hour: Column) -> Column:
-    cells = [F.lit(level).alias("level")]
-    for k in KEYS:
-        value = hour if k == "hour" else F.col(k)
-        cells.append((value if k in keys else F.lit(None)).cast(_TYPES.get(k, "bigint")).alias(k))
-    return F.struct(*cells)
-
-
 def _on_all_levels(counted: DataFrame) -> DataFrame:
     """One output row per level (the adjacent-hour level counts a row in hours h-1, h and h+1)."""
     cells = []
     for level, keys in LEVELS:
         if level != "route_station_adjacent_hour_daytype":
-            cells.append(_level_keys(level, keys, F.col("hour")))
+            cells.append(level_cell(level, keys, KEYS, _TYPES))
     cells = F.array(*cells)
     for shift in (-1, 0, 1):
         hour = F.col("hour") + shift
-        near = F.array(_level_keys("route_station_adjacent_hour_daytype", LEVELS[1][1], hour))
+        near = F.array(level_cell(*LEVELS[1], KEYS, _TYPES, hour=hour))
         cells = F.concat(cells, F.when(hour.between(0, 23), near).otherwise(F.slice(near, 1, 0)))
     values = [c for c in counted.columns if c not in KEYS]
     return counted.select(*values, F.explode(cells).alias("_at")).select("_at.*", *values)
@@ -56,8 +49,9 @@ def proxy_statistics(history: DataFrame, target: str, *, require_next_station: b
         F.count_if(rated).alias("n_rated"),
         F.coalesce(F.sum(F.when(rated, F.col(target))), F.lit(0)).alias("n_next_full"),
     )
-    leveled = _on_all_levels(counted)
-    keys = ["level", *KEYS]
+    # The hash leads the keys only to make sorting by them cheap: it nearly always decides a comparison at once.
+    leveled = _on_all_levels(counted).withColumn("_hash", F.xxhash64("level", *KEYS))
+    keys = ["_hash", "level", *KEYS]
     values = F.array(
         *[
             F.struct(F.lit(stat).alias("stat"), F.col(column).cast("bigint").alias("value"), valid.alias("valid"))
@@ -73,6 +67,8 @@ def proxy_statistics(history: DataFrame, target: str, *, require_next_station: b
         .groupBy(*keys, "stat", "value", "valid")
         .agg(F.sum("n").alias("n"), F.sum("n_rated").alias("n_rated"), F.sum("n_next_full").alias("n_next_full"))
     )
+    # By now a key holds one row per distinct value; partitioned on the key alone, windows and totals share the shuffle.
+    long = long.repartition(*keys)
     domain = Window.partitionBy(*keys, "stat", "valid")
     long = long.withColumns({"upto": F.sum("n").over(domain.orderBy("value")), "total": F.sum("n").over(domain)})
 
@@ -91,7 +87,7 @@ def proxy_statistics(history: DataFrame, target: str, *, require_next_station: b
         median("seats").alias("proxy_remain_seat_cnt"),
         (-most["v"]).alias("proxy_crowded"),
         median("capacity").alias("proxy_capacity"),
-    )
+    ).drop("_hash")
 
 
 STATISTICS = (
@@ -101,33 +97,16 @@ STATISTICS = (
 
 
 def with_proxy(rows: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Attach the statistics of the first level that knows the row's key, and that level's name.
-
-    The nine look-ups run once per distinct key, then the result is joined back to the rows (null-safe: a missing stop
-    simply matches no stop level).
-    """
-    wanted = rows.select(*[F.col(k).cast(_TYPES.get(k, "bigint")).alias(k) for k in KEYS]).distinct()
-    picked = []
-    for i, (level, keys) in enumerate(LEVELS):
-        at_level = statistics.where(F.col("level") == level).select(
-            *keys, F.struct(F.lit(level).alias("historical_proxy_group"), *STATISTICS).alias(f"_l{i}")
-        )
-        wanted = wanted.join(at_level, list(keys), "left")
-        picked.append(F.col(f"_l{i}"))
-    resolved = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in KEYS], F.coalesce(*picked).alias("_proxy"))
-    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in KEYS]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    joined = rows.join(resolved, condition, "left").drop(*[f"_w_{k}" for k in KEYS])
+    """Attach the statistics of the first level that knows the row's key, and that level's name."""
+    joined = first_level(rows, statistics, LEVELS, KEYS, STATISTICS, _TYPES)
     return joined.withColumns(
         {
-            "historical_proxy_group": F.coalesce(F.col("_proxy.historical_proxy_group"), F.lit("none")),
-            **{s: F.col(f"_proxy.{s}") for s in STATISTICS},
-            "historical_proxy_rows": F.coalesce(F.col("_proxy.historical_proxy_rows"), F.lit(0).cast("bigint")),
-            "proxy_remain_source": F.when(F.col("_proxy").isNull(), "default_capacity").otherwise("historical_median"),
+            "historical_proxy_group": F.coalesce(F.col("_found.level"), F.lit("none")),
+            **{s: F.col(f"_found.{s}") for s in STATISTICS},
+            "historical_proxy_rows": F.coalesce(F.col("_found.historical_proxy_rows"), F.lit(0).cast("bigint")),
+            "proxy_remain_source": F.when(F.col("_found").isNull(), "default_capacity").otherwise("historical_median"),
         }
-    ).drop("_proxy")
+    ).drop("_found")
 
 
 def hide_bus_state(rows: DataFrame, capacity_fallback: Column, plate: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from kerbline.operators.fallback import first_level
+
 KEYS = ("canonical_route_name", "station_seq", "hour")
 # Grains in priority order.
 LEVELS = (
@@ -11,6 +13,7 @@ LEVELS = (
     ("hour", ("hour",)),
     ("global", ()),
 )
+_TYPES = {"canonical_route_name": "string"}
 STRATEGY = "time_split_historical_rate_with_laplace_smoothing:route_station_hour->route_station->route_hour->hour->global"
 
 
@@ -34,20 +37,11 @@ def smoothed_rates(rows: DataFrame, target: str, alpha: float = 1.0) -> DataFram
 
 
 def historical_probability(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds ``probability`` and ``rate_level`` from the first level that knows the row's key.
-
-    The fallback is resolved once per distinct key, then joined back to the rows.
-    """
-    wanted = rows.select(*KEYS).distinct()
-    picked = []
-    for name, keys in LEVELS:
-        if keys:
-            level = rates.where(F.col("level") == name).select(*keys, F.col("rate").alias(f"_{name}"))
-            wanted = wanted.join(level, list(keys), "left")
-        else:
-            wanted = wanted.withColumn(f"_{name}", F.coalesce(rates.where(F.col("level") == name).select("rate").scalar(), F.lit(0.5)))
-        picked.append(F.when(F.col(f"_{name}").isNotNull(), F.struct(F.col(f"_{name}").alias("rate"), F.lit(name).alias("level"))))
-    resolved = wanted.withColumn("_pick", F.coalesce(*picked)).select(
-        *KEYS, F.col("_pick.rate").alias("probability"), F.col("_pick.level").alias("rate_level")
-    )
-    return rows.join(resolved, list(KEYS))
+    """Adds ``probability`` and ``rate_level`` from the first level that knows the row's key; 0.5 without any history."""
+    joined = first_level(rows, rates, LEVELS, KEYS, ("rate",), _TYPES)
+    return joined.withColumns(
+        {
+            "probability": F.coalesce(F.col("_found.rate"), F.lit(0.5)),
+            "rate_level": F.coalesce(F.col("_found.level"), F.lit("global")),
+        }
+    ).drop("_found")

@@ -832,13 +832,13 @@ def live_rows(spark, sf_dir):
     )
 
 
-def _scheduled(spark, sf_dir):
+def _scheduled(spark, sf_dir, arrivals):
     rows = W.snapshots(spark, sf_dir)
     history = W.base_features(spark, sf_dir).withColumn("is_holiday", F.lit(0)).withColumns(
         {"has_next_station": F.lit(1), "target_no_seat_next_station": F.col("is_no_seat")}
     )
     known = proxy.proxy_statistics(history, "target_no_seat_next_station", require_next_station=True)
-    requests = W.arrivals(spark, sf_dir).withColumn("at", F.col("collected_at"))
+    requests = arrivals.withColumn("at", F.col("collected_at"))
     return live.scheduled_rows(
         requests, schedule.timetable(W.timetable_rows(spark, sf_dir)), W.holidays(spark, sf_dir), W.routes(spark, sf_dir), W.stops(spark, sf_dir), known, rows
     )
@@ -846,7 +846,7 @@ def _scheduled(spark, sf_dir):
 
 @query
 def scheduled_rows(spark, sf_dir):
-    return _scheduled(spark, sf_dir).select(
+    return _scheduled(spark, sf_dir, W.arrivals(spark, sf_dir)).select(
         "request_id", "route_id", "station_id", "station_seq", "schedule_direction", "schedule_proxy_time_basis", "collected_at_kst", "historical_proxy_group", "historical_proxy_rows",
         "remain_seat_cnt", "crowded", "estimated_capacity", "seat_scarcity_score", "station_name",
     )
@@ -855,7 +855,11 @@ def scheduled_rows(spark, sf_dir):
 @query
 def live_or_proxy(spark, sf_dir):
     """Mode per request: live rows, else scheduled proxies, else none."""
-    chosen = live.choose_rows(W.arrivals(spark, sf_dir), _live(spark, sf_dir), _scheduled(spark, sf_dir))
+    arrivals = W.arrivals(spark, sf_dir).withColumn("route_id", F.when(F.col("request_id") % 17 != 0, F.col("route_id")))
+    prior = _scheduled(spark, sf_dir, live.without_live(arrivals))
+    rows = W.snapshots(spark, sf_dir)
+    seen = live.live_rows(arrivals, rows, rows, W.routes(spark, sf_dir), W.stops(spark, sf_dir))
+    chosen = live.choose_rows(arrivals, seen, prior)
     return chosen.groupBy("request_id", "prediction_mode").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -724,7 +724,8 @@ ORACLES = {
           strftime(pw, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS collected_at_kst, g AS historical_proxy_group, n AS historical_proxy_rows, CAST(coalesce(ps, c) AS INTEGER) AS remain_seat_cnt, crowded, c AS estimated_capacity,
           {_scarcity('coalesce(ps, c)', 'c')} AS seat_scarcity_score, station_name FROM done""",
     "live_or_proxy": f"WITH {_ARRIVALS} "
-    + """SELECT a.request_id, CASE WHEN n > 0 THEN 'live_vehicle' ELSE 'schedule_prior' END AS prediction_mode, greatest(n, 1) AS rows
+    + """SELECT a.request_id, CASE WHEN a.request_id % 17 = 0 THEN 'none' WHEN n > 0 THEN 'live_vehicle' ELSE 'schedule_prior' END AS prediction_mode,
+         CASE WHEN a.request_id % 17 = 0 THEN 1 ELSE coalesce(n, 1) END AS rows
          FROM arr a LEFT JOIN (SELECT request_id, count(*) AS n FROM slots GROUP BY ALL) s USING (request_id)""",
     "route_requests": _OBS
     + """, q AS (SELECT c_custkey AS k, c_custkey % 50 AS station_id FROM customer)

@@ -35,7 +35,7 @@ def build_live_rows(tables: Mapping[str, DataFrame], arrivals: DataFrame, positi
     """
     seen = live.live_rows(arrivals, positions, tables["snapshots"], tables["routes"], tables["stops"])
     known = proxy.proxy_statistics(history, "target_no_seat_next_station", require_next_station=True)
-    requests = arrivals.withColumn("at", F.col("collected_at"))
+    requests = live.without_live(arrivals).withColumn("at", F.col("collected_at"))
     prior = live.scheduled_rows(
         requests, schedule.timetable(tables["timetables"]), tables["holidays"], tables["routes"], tables["stops"], known, tables["snapshots"]
     )
