@@ -5,8 +5,16 @@ from pyspark.sql import Column, functions as F
 from kerbline.constants import DAY_NAMES_KO
 
 KST = "+09:00"
-_ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
+# Rewrites that bring every accepted text to one shape, in order; each step reads the text once.
+_KST_SHAPES = (
+    (r"^(\d{4})(\d{2})(\d{2})(\d{2})?(\d{2})?$", "$1-$2-$3 $4:$5"),  # compact digits
+    (r"^(\d{4}-\d{2}-\d{2})( :)?$", "$1 00:00"),  # a day alone
+    (r"([ T]\d{2}):?$", "$1:00"),  # an hour alone
+    (r"([ T]\d{2}:\d{2})($|Z|[+-])", "$1:00$2"),  # no seconds
+    (r"([ T])24:", "$100:"),  # hour 24, a day is added below
+    (r"^([^ T]+[ T][0-9:.]+)$", "$1+09:00"),  # no offset
+)
+_INSTANT = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:?\d{2}))$"
 
 
 def parse_instant(col: Column) -> Column:
@@ -19,20 +27,12 @@ def parse_kst(col: Column) -> Column:
 
     Hour 24 is read as midnight of the next day; anything else that does not parse is null.
     """
-    text = F.trim(col.cast("string"))
-    text = (
-        F.when(text.rlike(r"^\d{8}$"), F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3 00:00:00"))
-        .when(text.rlike(r"^\d{10}$"), F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:00:00"))
-        .when(text.rlike(r"^\d{12}$"), F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:00"))
-        .when(text.rlike(_ISO), text)
-    )
-    midnight = text.rlike(r"[ T]24(:00)*")
-    text = F.when(midnight, F.regexp_replace(text, r"([ T])24", "$100")).otherwise(text)
-    offset = text.rlike(r"[ T].*" + _OFFSET)
-    bare = F.regexp_replace(text, r"([ T]\d{2})$", "$1:00")
-    instant = bare.try_cast("timestamp")
-    instant = F.when(offset, instant).otherwise(F.to_utc_timestamp(instant, KST))
-    return F.when(midnight, instant + F.expr("INTERVAL 1 DAY")).otherwise(instant)
+    raw = F.trim(col.cast("string"))
+    text = raw
+    for pattern, shape in _KST_SHAPES:
+        text = F.regexp_replace(text, pattern, shape)
+    instant = F.regexp_extract(text, _INSTANT, 1).try_cast("timestamp")
+    return instant + F.when(raw.rlike(r"^\d{8}24|[ T]24"), F.expr("INTERVAL '1' DAY")).otherwise(F.expr("INTERVAL '0' DAY"))
 
 
 def kst_wall(instant: Column) -> Column:

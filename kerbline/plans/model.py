@@ -81,7 +81,7 @@ def encoder_stages(train: DataFrame, choice: FeatureChoice) -> list:
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(scaled + named)} FROM __THIS__")]
     for c in choice.categorical:
         stages.append(StringIndexer(inputCol=f"c_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"i_{c}", outputCol=f"v_{c}", dropLast=True, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCol=f"i_{c}", outputCol=f"v_{c}", dropLast=True))
     inputs = [f"z_{c}" for c in choice.numeric] + [f"v_{c}" for c in choice.categorical]
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
