@@ -59,8 +59,7 @@ def _next_larger(frame: DataFrame, part: list[str], levels: int, reach: int) ->
         frame = frame.withColumn(f"_n{level}", F.least(*[F.when(digit < v, F.col(f"_s{v}")) for v in seen], F.lit(None)))
         frame = frame.drop(*[f"_s{v}" for v in seen], prefix, f"_d{level}")
         found.append(F.col(f"_n{level}"))
-    nearest = F.least(*found, F.lit(None)) if found else F.lit(None)
-    frame = frame.withColumn("_next", nearest).drop(*[f"_n{level}" for level in range(levels)])
+    frame = frame.withColumn("_next", F.least(*found, F.lit(None))).drop(*[f"_n{level}" for level in range(levels)])
     return frame.withColumn("_next", F.when(F.col("_next.t") - F.col("t") <= reach, F.col("_next")))
 
 
@@ -99,7 +98,7 @@ def vehicle_futures(
     frame = _last_within(frame, part, horizons)
     if next_stop_seconds is not None:
         low, high = seq_bounds or sequence_bounds(rows)
-        levels = -(-(high - low).bit_length() // _RADIX_BITS)
+        levels = max(1, -(-(high - low).bit_length() // _RADIX_BITS))
         frame = frame.withColumn("_rank", F.col("seq") - F.lit(low).cast("bigint"))
         frame = _next_larger(frame, part, levels, next_stop_seconds * 1_000_000).drop("_rank")
     return frame.where("_slice = _home").drop("_slice", "_home")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from kerbline import constants as C
 from kerbline.operators import metrics, rates, split
 from kerbline.plans.model import as_predictions
+from kerbline.session import cut_lineage
 
 
 def evaluate(rows: DataFrame, *, target: str = C.DEFAULT_TARGET, test_ratio: float = 0.2, threshold: float = 0.5) -> DataFrame:
@@ -13,7 +14,7 @@ def evaluate(rows: DataFrame, *, target: str = C.DEFAULT_TARGET, test_ratio: flo
     cut = split.chronological_cut(rows, micros, row_id, test_ratio)
     in_train = split.before_cut(micros, row_id, cut)
     known = rates.smoothed_rates(rows.where(in_train), target)
-    preds = as_predictions(rates.historical_probability(rows.where(~in_train), known), target, threshold)
+    preds = cut_lineage(as_predictions(rates.historical_probability(rows.where(~in_train), known), target, threshold))
     found = metrics.classification_metrics(preds, threshold).drop("rows", "positive_rate")
     positive_rate = rows.agg(F.bround(F.avg(target), 6)).scalar()
     return found.select(

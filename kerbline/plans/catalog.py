@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kerbline import constants as C
 from kerbline.functions import scores, seats, sqlnames, text, times
 from kerbline.operators import demand, features, labels, live, metrics, nearest, proxy, quality, rates, schedule, split, training
-from kerbline.plans import warehouse as W
+from kerbline.plans import backtest as backtests, baseline, diagnostics, model as models, warehouse as W
+from kerbline.session import cut_lineage
 from kerbline.sources import context, snapshots, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,7 +374,7 @@ def historical_baseline(spark, sf_dir):
 
 @query
 def baseline_metrics(spark, sf_dir):
-    rows = _baseline_predictions(spark, sf_dir)
+    rows = cut_lineage(_baseline_predictions(spark, sf_dir))
     preds = rows.select(
         F.col("snapshot_id").alias("row_id"), _micros().alias("t"), "probability", F.col("y").alias("actual")
     )
@@ -873,3 +874,60 @@ def route_requests(spark, sf_dir):
         F.when(key % 3 == 1, F.concat(F.lit("50"), (key % 10).cast("string"), F.lit("(a)"))).alias("asked_route_name"),
     )
     return live.route_requests(requests, W.routes(spark, sf_dir)).select("request_id", "route_id", "route_name", "station_id")
+
+
+# --- models (results depend on the optimiser, so there is no SQL counterpart) -----------------------------------------
+
+# Fewer trees than the library's default keep these checks short; the data is whole.
+_TREES = {"maxIter": 10}
+
+
+def _training(spark, sf_dir):
+    return cut_lineage(W.training_set(spark, sf_dir, C.DEFAULT_TARGET))
+
+
+@query
+def baseline_evaluation(spark, sf_dir):
+    return baseline.evaluate(_training(spark, sf_dir))
+
+
+@query
+def logistic_fit(spark, sf_dir):
+    return diagnostics.train_logistic(_training(spark, sf_dir))["metrics"]
+
+
+@query
+def ablations(spark, sf_dir):
+    return diagnostics.ablations(_training(spark, sf_dir), target=C.DEFAULT_TARGET)[0]
+
+
+@query
+def route_stratified_fit(spark, sf_dir):
+    return diagnostics.route_stratified(_training(spark, sf_dir), target=C.DEFAULT_TARGET)["route_metrics"]
+
+
+@query
+def platt_calibration(spark, sf_dir):
+    found = diagnostics.calibration_comparison(_training(spark, sf_dir), target=C.DEFAULT_TARGET)
+    raw, calibrated = (found[f"{part}_metrics"].select(F.lit(part).alias("scores"), "*") for part in ("raw", "calibrated"))
+    return raw.unionByName(calibrated)
+
+
+@query
+def boosting_fit(spark, sf_dir):
+    return diagnostics.boosting_comparison(_training(spark, sf_dir), target=C.DEFAULT_TARGET, **_TREES)["metrics"]
+
+
+@query
+def boosting_scores(spark, sf_dir):
+    """Every labelled row scored by a model trained on the earlier four fifths."""
+    rows = _training(spark, sf_dir)
+    train, _ = diagnostics.time_split(rows, 0.2)
+    fitted = models.fit(train, C.DEFAULT_TARGET, models.boosting(**_TREES), models.choose_features(train))
+    meta = {"threshold": 0.9, "model_name": "GBTClassificationModel", "version": C.ARTIFACT_VERSION, "included_groups": []}
+    return models.score(models.Artifact(fitted, meta, metrics.max_station_seq(train)), rows).select("snapshotId", "fullSeatProbability", "riskLevel")
+
+
+@query
+def backtest(spark, sf_dir):
+    return backtests.run(_training(spark, sf_dir), threshold=0.5, **_TREES)["fallback_metrics"]

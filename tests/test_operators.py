@@ -74,6 +74,11 @@ def test_next_stop_too_late(rows):
     assert got.agg(F.sum("has_next_station"), F.sum("target_no_seat_next_station")).first()[:] == (0, 0)
 
 
+def test_one_stop_sequence_has_no_next_stop(rows):
+    got = labels.label_table(future_rows(rows, [(1, 1, 1, "A", 0, 4, 3), (2, 1, 1, "A", 60, 4, 0)]), micros=F.col("sec") * 1_000_000)
+    assert got.agg(F.sum("has_next_station"), F.sum("has_future_5min")).first()[:] == (0, 1)
+
+
 def test_horizon_bounds(rows):
     data = [(1, 1, 1, "A", 0, 1, 9), (2, 1, 1, "A", 240, 2, 9), (3, 1, 1, "A", 240, 3, 9), (4, 1, 1, "A", 240, 1, 9), (5, 1, 1, "A", 7200, 3, 9)]
     got = {r["row_id"]: r for r in labels.vehicle_futures(future_rows(rows, data), micros=F.col("sec") * 1_000_000).collect()}
