@@ -10,7 +10,11 @@ from kerbline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "kerbline-tests")
+    """Tiny inputs: compiling stages costs more than it saves, and few partitions are enough."""
+    session = local_session(8, "kerbline-tests")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
 
 
 @pytest.fixture
