@@ -1,18 +1,15 @@
 """Landed JSON payloads to snapshot rows."""
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions import text
 
 # Result codes that mean success.
 OK_CODES = ("0", "00", "0000")
-_ROOTS = ("$.response", "$")
-
-
-def _first_path(payload: Column, paths: Sequence[str]) -> Column:
-    return F.coalesce(*[F.get_json_object(payload, p) for p in paths])
+_HEADER = "struct<resultCode: string, resultCd: string, resultMessage: string, resultMsg: string>"
+_PARTS = f"msgHeader: {_HEADER}, header: {_HEADER}, msgBody: string, body: string"
+# One parse reads headers and keeps bodies as text, whether or not everything sits under "response".
+_ENVELOPE = f"struct<response: struct<{_PARTS}>, {_PARTS}>"
 
 
 def read_envelopes(payloads: DataFrame, item_schema: str, item_key: str | None = None, column: str = "value"):
@@ -21,23 +18,20 @@ def read_envelopes(payloads: DataFrame, item_schema: str, item_key: str | None =
     The header and body may be named in two ways each, and the items may be a list, one bare object, or absent. Error
     codes go to ``rejects``, except code 4 with a "no result" message, which is simply empty.
     """
-    payload = F.col(column)
-    code = _first_path(
-        payload,
-        [f"{r}.{h}.{c}" for r in _ROOTS for h in ("msgHeader", "header") for c in ("resultCode", "resultCd")],
-    )
-    message = _first_path(
-        payload,
-        [f"{r}.{h}.{c}" for r in _ROOTS for h in ("msgHeader", "header") for c in ("resultMessage", "resultMsg")],
+    parsed = payloads.withColumn("_e", F.from_json(column, _ENVELOPE))
+    heads = [f"_e.{root}{head}" for root in ("response.", "") for head in ("msgHeader", "header")]
+    code = F.coalesce(*[F.col(f"{h}.{c}") for h in heads for c in ("resultCode", "resultCd")])
+    message = F.coalesce(*[F.col(f"{h}.{c}") for h in heads for c in ("resultMessage", "resultMsg")], F.lit("unknown error"))
+    body = F.coalesce(
+        *[text.present(F.col(f"_e.response.{b}")) for b in ("msgBody", "body")],
+        F.get_json_object(column, "$.response"),
+        *[text.present(F.col(f"_e.{b}")) for b in ("msgBody", "body")],
+        F.col(column),
     )
     names = ([item_key] if item_key else []) + ["items.item", "items", "item"]
-    bodies = [f"{r}.{b}" for r in _ROOTS for b in ("msgBody", "body")] + list(_ROOTS)
-    listed = _first_path(payload, [f"{b}.{n}" for n in names for b in bodies])
-    if item_key is None:
-        listed = F.coalesce(listed, _first_path(payload, bodies))
-    read = payloads.select(
-        "*", code.alias("result_code"), F.coalesce(message, F.lit("unknown error")).alias("result_message"), listed.alias("_items")
-    )
+    read = parsed.select(*payloads.columns, code.alias("result_code"), message.alias("result_message"), body.alias("_body"))
+    listed = F.coalesce(*[F.get_json_object("_body", f"$.{n}") for n in names], *([] if item_key else [F.col("_body")]))
+    read = read.withColumn("_items", listed).drop("_body")
     ok = F.col("result_code").isNull() | F.col("result_code").isin(*OK_CODES)
     empty = (F.col("result_code") == "4") & F.col("result_message").contains("결과") & F.col("result_message").contains("존재")
     items = read.where(ok).select(
