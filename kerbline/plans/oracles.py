@@ -731,4 +731,12 @@ ORACLES = {
     + """, q AS (SELECT c_custkey AS k, c_custkey % 50 AS station_id FROM customer)
          SELECT k AS request_id, k % 9 AS route_id, CAST(k % 9 AS VARCHAR) AS route_name, station_id FROM q WHERE k % 3 = 0
          UNION ALL SELECT k, r.route_id, '50' || (k % 10) || '(a)', station_id FROM q JOIN (SELECT DISTINCT route_id FROM obs WHERE route_id <> 7) r ON r.route_id = k % 10 WHERE k % 3 = 1""",
+    "baseline_evaluation": f"WITH {_EVENTS},{_DIMS},{_BASE},{_LABELS},"
+    + f"""hist AS (SELECT b.snapshot_id, b.t, b.canonical_route_name AS route, b.station_seq AS seq, b.hour, l.target_no_seat_next_station AS y,
+            row_number() OVER (ORDER BY b.t, b.snapshot_id) AS rn, count(*) OVER () AS n FROM base b JOIN labelled l USING (snapshot_id) WHERE l.has_next_station = 1),
+         past AS (SELECT * FROM hist WHERE rn <= {_TRAIN_SIZE}), fut AS (SELECT * FROM hist WHERE rn > {_TRAIN_SIZE}),
+         {_BASELINE},{_confusion('scored', 0.5)},{_ranked('scored')}
+         SELECT 'target_no_seat_next_station' AS target_column, (SELECT count(*) FROM hist) AS total_rows, (SELECT count(*) FROM past) AS train_rows, (SELECT count(*) FROM fut) AS test_rows,
+         (SELECT round_even(avg(y), 6) FROM hist) AS positive_rate, conf.accuracy, conf.precision, conf.recall, conf.f1, conf.brier_score, auc.roc_auc, top.top_decile_precision,
+         'time_split_historical_rate_with_laplace_smoothing:route_station_hour->route_station->route_hour->hour->global' AS strategy FROM conf, auc, top""",
 }
