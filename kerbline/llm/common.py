@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerbline.session import cut_lineage
 
@@ -46,3 +47,12 @@ def map_batches(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     find_package(frame.sparkSession)
     return frame.mapInArrow(function, schema)
+
+
+#: A side of at most so many rows of a few numbers is broadcast: some 30 MB.
+BROADCAST_ROWS = 500_000
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+    """Join with a written, narrow ``right``: it is broadcast if its counted rows are few, else both sides are shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
