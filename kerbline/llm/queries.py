@@ -2,15 +2,22 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import table
 from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
+from kerbline.llm.packing import pack
 from kerbline.llm.substring_dedup import without_repeats
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens, each in the sources' own proportions."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its lines that repeat an earlier one taken out."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
@@ -30,6 +37,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_substring_dedup": op8_substring_dedup,
