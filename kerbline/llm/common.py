@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kerbline.session import cut_lineage
 
@@ -43,7 +44,7 @@ def find_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
 
 
-def map_batches(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(frame: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     find_package(frame.sparkSession)
     return frame.mapInArrow(function, schema)
