@@ -11,6 +11,7 @@ from kerbline.llm.decontamination import leaks
 from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
 from kerbline.llm.packing import pack
+from kerbline.llm.quality import fit, quality
 from kerbline.llm.substring_dedup import without_repeats
 
 
@@ -30,6 +31,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by trees that labelled documents outside the held-out fold have taught."""
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows that a document with a smaller doc_id has as well."""
     cleaned = without_repeats(table(spark, sf_dir, "documents"))
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
 }
