@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.llm import language_id
 from kerbline.llm.common import table
 from kerbline.llm.decontamination import leaks
 from kerbline.llm.line_dedup import dedup_lines
@@ -49,6 +50,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by cross-parsing against the languages of documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
