@@ -51,7 +51,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes; a longer text stands alone."""
     ends = _offsets(column)
     row, n = 0, len(column)

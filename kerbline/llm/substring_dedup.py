@@ -55,8 +55,8 @@ def _entries(width: int, ranges: int) -> Callable[[Batches], Batches]:
         parts = [(hashes[head], index[head]), (hashes[again], index[again])]
         cuts = [np.r_[0, np.searchsorted(h, limits), len(h)] for h, _ in parts]
         for r in range(ranges):
-            (h, d), (g, e) = ((x[c[r] : c[r + 1]] for x in part) for part, c in zip(parts, cuts))
-            if len(h):
+            (h, d), (g, e) = [tuple(x[c[r] : c[r + 1]] for x in part) for part, c in zip(parts, cuts)]
+            if len(h):  # every hash has a head, so nothing else can be there
                 used = np.unique(np.r_[d, e])
                 small = np.uint16 if len(used) <= 1 << 16 else np.uint32
                 values = (r, len(h), _pack(np.diff(h, prepend=np.uint64(0))), _pack(np.searchsorted(used, d).astype(small)), len(g), _pack(np.diff(g, prepend=np.uint64(0))), _pack(np.searchsorted(used, e).astype(small)), _pack(np.diff(known[used], prepend=np.int64(0))))
