@@ -35,19 +35,23 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rest_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All links needed for exact components among the ids that share a bucket; nothing is emitted as all pairs of a bucket.
 
-    ``members (bucket, id)`` holds one row for each; ``confirm`` gets distinct candidate pairs ``(a, b)`` and returns those
+    ``members (bucket, id)`` may repeat rows; ``confirm`` gets distinct candidate pairs ``(a, b)`` and returns those
     that are links. In each round every bucket names a few pivots, taken from its smallest components, and only pairs of a
     pivot and a member of another component are confirmed; pairs inside a component can't change the result. A pivot has
-    then met its whole bucket and leaves it. A bucket is done when the rest of it is one component; the number of pivots
-    doubles from round to round. Every pair of a bucket is therefore confirmed or lies in one component at the end.
+    then met its whole bucket and leaves it. A bucket is done when the rest of it is one component; each round takes eight
+    times as many pivots as the one before. Every pair of a bucket is therefore confirmed or lies in one component at the end.
+    ``rest_pairs`` may name, after two rounds, the candidates among all that is left, ``(bucket, id, label)``, at once.
     """
     first = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
     live = written(members.join(first, "bucket").withColumn("label", F.col("id")), "bucket-members")
     found, pivots = [], 1
     while not live.isEmpty():
+        if rest_pairs is not None and len(found) == 2:
+            found.append(written(confirm(rest_pairs(live)), "links"))
+            break
         sizes = live.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         order = Window.partitionBy("bucket").orderBy("n", "id")
         # Partial row limits run before the shuffle, so a hot bucket sends a few rows from each task.
@@ -63,7 +67,7 @@ def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame])
         rest = written(rest, "rest")
         open_ = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         live = written(rest.join(open_, "bucket"), "bucket-members")
-        pivots *= 2
+        pivots *= 8
     return _union(found) if found else members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 
 

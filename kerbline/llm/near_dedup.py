@@ -19,12 +19,17 @@ from kerbline.llm.common import map_batches, written
 from kerbline.llm.components import components, link_buckets
 
 SHINGLE = 5
-BUCKET_BITS, MANTISSA = 7, 10
-BUCKETS, ROWS = 1 << BUCKET_BITS, 4
+BUCKET_BITS, MANTISSA = 9, 10
+#: 42 bands of 6: a pair at the threshold is missed with probability 0.0003, one of similarity 0.3 is a candidate with 0.03.
+BUCKETS, ROWS, BANDS = 1 << BUCKET_BITS, 6, 42
 THRESHOLD = 75  # per cent
 EMPTY = 0xFFFF
+#: Members of a bucket that are compared with as many others at once: about 1 MB of sketches.
+BLOCK = 500
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
-_DONORS = np.argsort(np.random.Generator(np.random.PCG64(7)).random((BUCKETS, BUCKETS)), axis=1)
+#: For each register that a band takes, the order in which others stand in for it; it comes first itself.
+_ORDER = np.argsort(np.argsort(np.random.Generator(np.random.PCG64(7)).random((BANDS * ROWS, BUCKETS)), axis=1), axis=1).astype(np.int16)
+_ORDER[np.arange(BANDS * ROWS), np.arange(BANDS * ROWS)] = -1
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -76,15 +81,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 def bands(registers: np.ndarray) -> np.ndarray:
     """Band keys of non-empty sketches."""
-    full = registers.astype(np.uint64)
-    for step in range(BUCKETS):
-        empty = full == EMPTY
-        if not empty.any():
-            break
-        donor = registers[:, _DONORS[:, step]].astype(np.uint64)
-        full[empty] = donor[empty]
-    parts = full.reshape(len(full), BUCKETS // ROWS, ROWS)
-    key = np.arange(BUCKETS // ROWS, dtype=np.uint64)[None, :] + np.uint64(1)
+    full = np.empty((len(registers), BANDS * ROWS), np.uint64)
+    for row, own in zip(full, registers):
+        filled = np.flatnonzero(own != EMPTY)
+        row[:] = own[filled[_ORDER[:, filled].argmin(axis=1)]]
+    parts = full.reshape(len(full), BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
     for k in range(ROWS):
         key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return key.view(np.int64)
@@ -115,17 +117,45 @@ def _bands(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["bucket", "id"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
 
 
+def hopeful(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which pairs of registers may be at the threshold: five standard deviations of a sample without replacement are allowed."""
+    value, used = estimate(a, b, n, m)
+    limit = THRESHOLD / 100
+    union = (n + m) / (1 + limit)
+    unseen = np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+    least = limit - 5 * np.sqrt(limit * (1 - limit) / np.maximum(used, 1) * unseen) - 2 / np.maximum(used, 1)
+    return (value >= least) & (np.minimum(n, m) * 100 >= THRESHOLD * np.maximum(n, m))
+
+
 def _hopeful(batches: Batches) -> Batches:
     for batch in batches:
         if len(batch):
-            value, used = estimate(_matrix(batch.column("ra")), _matrix(batch.column("rb")), np.asarray(batch.column("na")), np.asarray(batch.column("nb")))
-            least = THRESHOLD / 100 - 5 * np.sqrt(THRESHOLD / 100 * (1 - THRESHOLD / 100) / np.maximum(used, 1))
-            sizes = np.minimum(np.asarray(batch.column("na")), np.asarray(batch.column("nb"))) * 100 >= THRESHOLD * np.maximum(np.asarray(batch.column("na")), np.asarray(batch.column("nb")))
-            yield batch.select(["a", "b"]).filter(pa.array((value >= least) & sizes))
+            keep = hopeful(_matrix(batch.column("ra")), _matrix(batch.column("rb")), np.asarray(batch.column("na")), np.asarray(batch.column("nb")))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _block_pairs(group: pa.Table) -> pa.Table:
+    """Hopeful pairs of two blocks of a bucket, or of one with itself, in different components; each in its first common band."""
+    group = group.combine_chunks()
+    ids, labels, sizes, blocks = (np.asarray(group.column(k)) for k in ("id", "label", "n_shingles", "block"))
+    registers, bucket = _matrix(group.column("registers")), group.column("bucket")[0].as_py()
+    keys = bands(registers)
+    own = keys == bucket
+    out = []
+    one, two = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    for i in one:
+        js = two[(ids[two] > ids[i]) & (labels[two] != labels[i])] if blocks.min() == blocks.max() else two[(ids[two] != ids[i]) & (labels[two] != labels[i])]
+        if len(js):
+            js = js[hopeful(registers[i][None, :], registers[js], np.full(len(js), sizes[i]), sizes[js])]
+            common = keys[js] == keys[i]
+            js = js[(common & own[i]).any(axis=1) & (common.argmax(axis=1) == own[i].argmax())]
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _sets(batches: Batches) -> Batches:
@@ -162,18 +192,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classed = written(signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "d1", "d2", "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"])
     reps = written(reps, "representatives")
-    members = map_batches(reps, _bands, "bucket long, id long").distinct()
+    members = map_batches(reps, _bands, "bucket long, id long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         one = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
         two = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-        hopeful = written(map_batches(pairs.join(one, "a").join(two, "b"), _hopeful, "a long, b long").distinct(), "hopeful-pairs")
-        needed = hopeful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        able = written(map_batches(pairs.join(one, "a").join(two, "b"), _hopeful, "a long, b long").distinct(), "hopeful-pairs")
+        needed = able.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = written(map_batches(texts.join(needed, "doc_id", "left_semi"), _sets, "id long, items binary"), "shingle-sets")
         a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
-        return map_batches(hopeful.join(a, "a").join(b, "b"), _confirmed, "a long, b long").distinct()
+        return map_batches(able.join(a, "a").join(b, "b"), _confirmed, "a long, b long").distinct()
+
+    def rest_pairs(live: DataFrame) -> DataFrame:
+        sizes = live.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = live.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        rows = rows.join(reps.withColumnRenamed("doc_id", "id"), "id").select("bucket", "low", "high", "block", "id", "label", "n_shingles", "registers")
+        return rows.groupBy("bucket", "low", "high").applyInArrow(_block_pairs, "a long, b long").distinct()
 
-    links = link_buckets(members, confirm)
+    links = link_buckets(members, confirm, rest_pairs)
     several = classed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     links = links.unionByName(classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = components(links)
