@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import language_id
+from kerbline.llm.ann import neighbours
 from kerbline.llm.common import table
 from kerbline.llm.decontamination import leaks
 from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
 from kerbline.llm.packing import pack
 from kerbline.llm.quality import fit, quality
+from kerbline.llm.secrets import secrets
 from kerbline.llm.substring_dedup import without_repeats
 
 
@@ -27,6 +29,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector."""
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, and how many of them are shared or live-looking."""
+    found = secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_shared")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near copies."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +72,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_neighbours": op3_neighbours,
+    "op4_secrets": op4_secrets,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
