@@ -10,6 +10,7 @@ from kerbline.llm import language_id
 from kerbline.llm.ann import neighbours
 from kerbline.llm.common import table
 from kerbline.llm.decontamination import leaks
+from kerbline.llm.html_extraction import main_text
 from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
 from kerbline.llm.packing import pack
@@ -40,6 +41,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_shared")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near copies."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_neighbours": op3_neighbours,
     "op4_secrets": op4_secrets,
+    "op5_html_extraction": op5_html_extraction,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
