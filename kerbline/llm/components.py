@@ -35,44 +35,52 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rest_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All links needed for exact components among the ids that share a bucket; nothing is emitted as all pairs of a bucket.
+def bucket_components(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, rounds: int = 1) -> DataFrame:
+    """``(id, label)``, as ``components`` gives them, of the graph of all links between ids that share a bucket.
 
-    ``members (bucket, id)`` may repeat rows; ``confirm`` gets distinct candidate pairs ``(a, b)`` and returns those
-    that are links. In each round every bucket names a few pivots, taken from its smallest components, and only pairs of a
-    pivot and a member of another component are confirmed; pairs inside a component can't change the result. A pivot has
-    then met its whole bucket and leaves it. A bucket is done when the rest of it is one component; each round takes eight
-    times as many pivots as the one before. Every pair of a bucket is therefore confirmed or lies in one component at the end.
-    ``rest_pairs`` may name, after two rounds, the candidates among all that is left, ``(bucket, id, label)``, at once.
+    ``members (bucket, id)`` may repeat rows. In each of ``rounds`` rounds one member of every bucket, at first the smallest,
+    meets all others of it that lie in other components, and leaves the bucket: ``confirm`` gets these distinct pairs ``(a, b)``,
+    no more than there are members, and returns those that are links. That settles most buckets, large groups of copies above
+    all, since pairs inside a component can't change the result. Buckets that still hold several components go to ``rest`` as
+    ``(bucket, id, label)``; it returns the links ``(a, b)`` between their members of different components. So every pair of a
+    bucket is tried or lies in one component at the end. ``known`` are links found elsewhere.
     """
-    first = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
-    live = written(members.join(first, "bucket").withColumn("label", F.col("id")), "bucket-members")
-    found, pivots = [], 1
-    while not live.isEmpty():
-        if rest_pairs is not None and len(found) == 2:
-            found.append(written(confirm(rest_pairs(live)), "links"))
-            break
-        sizes = live.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("bucket").orderBy("n", "id")
-        # Partial row limits run before the shuffle, so a hot bucket sends a few rows from each task.
-        tips = live.join(sizes, ["bucket", "label"]) if found else live.withColumn("n", F.lit(1))
-        tips = tips.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
-        tips = written(tips.select("bucket", F.col("id").alias("pivot"), F.col("label").alias("tip")), "pivots")
-        pairs = live.join(tips, "bucket").where("label <> tip").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = written(confirm(pairs), "links")
-        found.append(links)
-        labels = components(_union(found)).withColumnRenamed("id", "of").withColumnRenamed("label", "root")
-        rest = live.join(tips.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
-        rest = rest.join(labels, rest["id"] == labels["of"], "left").select("bucket", "id", F.coalesce("root", "label").alias("label"))
-        rest = written(rest, "rest")
-        open_ = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        live = written(rest.join(open_, "bucket"), "bucket-members")
-        pivots *= 8
-    return _union(found) if found else members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    low = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot <> high").select("bucket", "pivot")
+    live = written(members.join(low, "bucket").where("id <> pivot").distinct(), "bucket-members")
+    pairs = live.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    links = confirm(pairs).select("a", "b")
+    labels = _merged(None, written(links if known is None else links.unionByName(known), "links"))
+    live = live.select("bucket", "id", F.col("id").alias("label"))
+    for step in range(1, rounds + 1):
+        live = _open(live, labels)
+        if live.isEmpty():
+            return labels
+        if step == rounds:
+            return _merged(labels, written(rest(live).select("a", "b").distinct(), "links"))
+        by = F.xxhash64("id", F.lit(step))
+        pivots = live.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), by).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("other"))
+        live = written(live.join(pivots, "bucket").where("id <> pivot"), "bucket-members")
+        pairs = live.where("label <> other").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        labels = _merged(labels, written(confirm(pairs).select("a", "b"), "links"))
+        live = live.select("bucket", "id", "label")
+    return labels
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels with further links: only the roots that these join are looked at again."""
+    if labels is None:
+        return written(components(links), "labels")
+    root = labels.select(F.col("id").alias("of"), "label")
+    for end in ("a", "b"):
+        links = links.join(root, links[end] == root["of"], "left").select(F.coalesce("label", end).alias(end), "b" if end == "a" else "a")
+    roots = written(components(links), "roots")
+    grown = labels.join(roots.select(F.col("id").alias("of"), F.col("label").alias("root")), F.col("label") == F.col("of"), "left").select("id", F.coalesce("root", "label").alias("label"))
+    return written(grown.unionByName(roots.join(labels, "id", "left_anti")), "labels")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0].select("a", "b")
-    for frame in frames[1:]:
-        out = out.unionByName(frame.select("a", "b"))
-    return out
+def _open(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their present labels, of the buckets that hold more than one."""
+    now = live.join(labels.select(F.col("id").alias("of"), F.col("label").alias("root")), F.col("id") == F.col("of"), "left")
+    now = written(now.select("bucket", "id", F.coalesce("root", "label").alias("label")), "labelled-members")
+    several = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return written(now.join(several, "bucket"), "open-buckets")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm import hashing
 from kerbline.llm.common import map_batches, written
-from kerbline.llm.components import components, link_buckets
+from kerbline.llm.components import bucket_components
 
 SHINGLE = 5
 BUCKET_BITS, MANTISSA = 9, 10
@@ -210,9 +210,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = rows.join(reps.withColumnRenamed("doc_id", "id"), "id").select("bucket", "low", "high", "block", "id", "label", "n_shingles", "registers")
         return rows.groupBy("bucket", "low", "high").applyInArrow(_block_pairs, "a long, b long").distinct()
 
-    links = link_buckets(members, confirm, rest_pairs)
     several = classed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
-    links = links.unionByName(classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    labels = components(links)
+    known = classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = bucket_components(members, confirm, lambda live: confirm(rest_pairs(live)), known)
     out = classed.join(labels, classed["rep"] == labels["id"], "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
