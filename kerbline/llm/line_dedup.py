@@ -1,9 +1,11 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-A line is lower-cased, its white space reduced to single spaces. Its set holds the shingles of up to ``SHINGLE`` characters that
-begin at each of its words, or at each character in scripts without spaces. The signature is ``HASHES`` min-hashes: the
-smallest ``hash XOR c`` for fixed random c. Bands take three of them each, any two bands share one at most. Candidate pairs
-from the bands are confirmed on full sets and joined to components; the first line of each component stays.
+A line is lower-cased and trimmed. Its set holds the character shingles that begin at its words: the word and the ``AFTER``
+characters behind it. A line that begins with a run of ``LONG`` characters without a space, as in scripts that have none, is cut
+into the shingles of ``SHORT`` characters at all its places instead. The signature is ``HASHES`` min-hashes: the smallest of 32
+bits of each hash from a place of its own, XOR a fixed number. Bands take three of them each, any two bands share one at most: a
+pair at the threshold is missed with probability 0.0025. Candidate pairs from the
+bands are confirmed on full sets and joined to components; the first line of each component stays.
 """
 
 import random
@@ -12,78 +14,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import join_checked, written
-from kerbline.llm.components import components, link_buckets
+from kerbline.llm.components import bucket_components
 
-SHINGLE = 12
-HASHES, BANDS = 18, 12
+AFTER, SHORT, LONG = 6, 12, 64
+HASHES, BANDS = 24, 16
 THRESHOLD = 75  # per cent
-_START = rf"(?=((?:(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]).{{0,{SHINGLE - 1}}}))"
 _RANDOM = random.Random(11)
-_MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(HASHES)]
+_ORDERS = [(shift, _RANDOM.getrandbits(64) - (1 << 63)) for shift in _RANDOM.sample(range(33), HASHES)]
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\s ]+", " ")))
-
-
-def _shingles(normal: Column) -> Column:
-    """At least one: a line without letters and digits is one shingle as a whole."""
-    found = F.regexp_extract_all(normal, F.lit(_START), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(normal))
+def _shingles(line: Column) -> Column:
+    words = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf" (?=([^ ]++.{{0,{AFTER}}}+))"), F.lit(1))
+    places = F.regexp_extract_all(line, F.lit(rf"(?=(.{{1,{SHORT}}}))"), F.lit(1))
+    return F.when(line.rlike(rf"^[^ ]{{{LONG}}}"), places).otherwise(words)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Lines that aren't blank, of documents with an id: place, normal form and its hash."""
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "line_no", _normal(F.col("line")).alias("normal")).where("normal <> ''")
-    return rows.withColumn("id", F.xxhash64("normal"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", "line_no", F.expr(r"btrim(line, ' \t\r\f\u000b')").alias("normal")).where("normal <> ''").withColumn("id", F.xxhash64("normal"))
 
 
 def line_groups(docs: DataFrame) -> DataFrame:
     """``(id, label)``: the component of every distinct line (by hash of its normal form) that is like another one."""
     lines = _lines(docs)
     rows = lines.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
-    signed = rows.groupBy("id").agg(*(F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, c in enumerate(_MASKS)))
+    signed = rows.groupBy("id").agg(*(F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)))
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{(b + step) % HASHES}") for step in (0, 5, 11))) for b in range(BANDS)]
     members = signed.select("id", F.explode(F.array(*keys)).alias("bucket"))
-    sets: dict[str, DataFrame] = {}
+    sets: list[DataFrame] = []
+
+    def alike(one: Column, other: Column) -> Column:
+        shared, total = F.size(F.array_intersect(one, other)), F.size(one) + F.size(other)
+        return (100 * F.least(F.size(one), F.size(other)) >= THRESHOLD * F.greatest(F.size(one), F.size(other))) & (100 * shared >= THRESHOLD * (total - shared))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "line-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if sets:
-            needed = needed.join(sets["known"].select("id"), "id", "left_anti")
-        needed = written(needed, "lines-needed")
-        fresh = join_checked(lines.select("id", "normal"), needed, "id", "left_semi").dropDuplicates(["id"])
-        fresh = written(fresh.select("id", F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.xxhash64(s))).alias("items")), "line-sets")
-        sets["known"] = sets["known"].unionByName(fresh) if sets else fresh
-        a, b = (sets["known"].select(F.col("id").alias(k), F.col("items").alias(f"x{k}")) for k in "ab")
-        shared, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
-        return pairs.join(a, "a").join(b, "b").where(100 * shared >= THRESHOLD * (total - shared)).select("a", "b")
+        if not sets:  # the first round's pairs hold every line that later ones do
+            needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-needed")
+            found = join_checked(lines.select("id", "normal"), needed, "id", "left_semi").dropDuplicates(["id"])
+            sets.append(written(found.select("id", F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s))).alias("items")), "line-sets"))
+        a, b = (sets[0].select(F.col("id").alias(k), F.col("items").alias(f"x{k}")) for k in "ab")
+        return pairs.join(a, "a").join(b, "b").where(alike(F.col("xa"), F.col("xb"))).select("a", "b")
 
-    return components(link_buckets(members, confirm))
+    def rest(live: DataFrame) -> DataFrame:
+        # The sets are compared inside the join, which large buckets' rows are split over; only links leave it.
+        one = live.join(sets[0], "id").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("items").alias("xa"))
+        two = live.join(sets[0], "id").select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("items").alias("xb"))
+        return one.hint("merge").join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike(F.col("xa"), F.col("xb"))).select("a", "b")
 
+    return bucket_components(members, confirm, rest, rounds=3)
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_lines, n_removed, text)``, a row for each row of ``docs (doc_id, text, ...)``.
 
-    Of each group of lines of similarity 0.75 or more, equal ones included and links followed on, the line with the smallest
-    (doc_id, line number) stays. Blank lines always stay. A null text has no lines and stays null. Rows that repeat a doc_id
-    count as one document and keep the same lines; a row without doc_id keeps all its lines and removes none elsewhere.
-    """
+def _repeated(docs: DataFrame) -> DataFrame:
+    """``(_doc, _gone)``: of each document the numbers of its lines that aren't the first of their group."""
     places = written(_lines(docs).select("id", "doc_id", "line_no"), "line-places")
     groups = line_groups(docs).withColumnRenamed("id", "of")
     grouped = places.join(groups, places["id"] == groups["of"], "left").select(F.coalesce("label", "id").alias("label"), "doc_id", "line_no")
     grouped = written(grouped, "grouped-lines")
     first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
     gone = grouped.join(first, "label").where(F.struct("doc_id", "line_no") > F.col("first"))
-    gone = written(gone.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("line_no").alias("gone")), "removed-lines")
-    joined = join_checked(docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("of", F.col("doc_id").cast("long")), gone, "of", "left")
-    line = F.split("text", "\n")
-    kept = F.filter(line, lambda _, i: ~F.array_contains("gone", i))
-    return joined.select(
-        "doc_id",
-        F.coalesce(F.size(line), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-    )
+    return written(gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone")), "removed-lines")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs (doc_id, text, ...)``, the text without repeated lines, and ``n_lines, n_removed`` (long).
+
+    Of each group of lines of similarity 0.75 or more, equal ones included and links followed on, the line with the smallest
+    (doc_id, line number) stays. Blank lines always stay. A null text has no lines and stays null. Rows that repeat a doc_id
+    count as one document and keep the same lines; a row without doc_id keeps all its lines and removes none elsewhere. Columns
+    named n_lines or n_removed are replaced.
+    """
+    joined = join_checked(docs.withColumn("_doc", F.col("doc_id").cast("long")), _repeated(docs), "_doc", "left")
+    text = F.col("text").cast("string")
+    line = F.split(text, "\n")
+    kept = F.array_join(F.filter(line, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    counts = {"n_lines": F.coalesce(F.size(line), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    out = joined.withColumns(counts | {"text": F.when(F.col("_gone").isNull(), text).otherwise(kept)})
+    return out.select(*(f"`{c}`" for c in docs.columns if c not in counts), *counts)
