@@ -2,21 +2,61 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kerbline.llm import quality
 from kerbline.llm.common import table, written
+from kerbline.llm.decontamination import without_leaks
+from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
+from kerbline.llm.packing import pack
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines like earlier ones; a document of which this leaves nothing but blanks goes, a blank one stays."""
+    kept = dedup_lines(docs)
+    kept = kept.where((F.col("n_removed") == 0) | (F.regexp_replace("text", r"\s+", "") != ""))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near copies stays, the one with the smallest doc_id; rows without doc_id stay."""
+    kept = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")), "kept-documents")
+    repeated = kept.where("_kept IS NOT NULL").groupBy("_kept").count().where("count > 1")
+    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    if not repeated.isEmpty():  # a document that is there several times is a group too
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    return out
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in windows of 2048."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", drop_near_copies)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack_tokens),
+]
 
 ORACLE_SQL = None
 
