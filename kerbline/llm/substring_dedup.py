@@ -3,10 +3,11 @@
 Tasks hash all windows of their texts. Of each hash a run of texts (a chunk) holds several times, all but the smallest
 doc_id's are known to be repeats at once; the smallest is sent on, so a passage that fills a third of the corpus sends one
 entry for each chunk and not for each document. Entries travel sorted, as differences, packed by hash range, and each range
-finds the smallest doc_id of every hash. What comes back to a document are its repeated hashes, which its text turns into
-maximal intervals of words.
+finds the smallest doc_id of every hash. What comes back, packed for parts of the documents, are their repeated hashes, which
+a part's texts turn into maximal intervals of words.
 """
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import compress
 
@@ -22,6 +23,8 @@ WIDTH = 13
 #: Windows of a hash range, which one task holds at a time: about 100 MB.
 RANGE_WINDOWS = 3_000_000
 CHUNK_BYTES = 12 << 20
+#: Text of a part of the documents, which one task holds at a time.
+PART_BYTES = 16 << 20
 _MARK = (1 << 40) - 1  # of a document's own windows these bits tell one from another
 
 Batches = Iterator[pa.RecordBatch]
@@ -88,61 +91,83 @@ def _entries(width: int, ranges: int) -> Callable[[Batches], Batches]:
 _ENTRY = "range int, n int, hashes binary, docs binary, n_again int, again binary, again_docs binary, n_ids int, ids binary"
 
 
-def _repeats(group: pa.Table) -> pa.Table:
-    """Of one hash range: each document's windows that a smaller doc_id has as well."""
-    hashes, docs, more = [], [], []
-    for row in group.to_pylist():
-        small = np.uint16 if row["n_ids"] <= 1 << 16 else np.uint32
-        ids = np.cumsum(_unpack(row["ids"], row["n_ids"], np.int64))
-        hashes.append(np.cumsum(_unpack(row["hashes"], row["n"], np.uint64), dtype=np.uint64))
-        docs.append(ids[_unpack(row["docs"], row["n"], small)])
-        more.append((np.cumsum(_unpack(row["again"], row["n_again"], np.uint64), dtype=np.uint64), ids[_unpack(row["again_docs"], row["n_again"], small)]))
-    h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    late = d > np.repeat(np.minimum.reduceat(d, head), np.diff(np.r_[head, len(h)]))
-    h, d = np.concatenate([h[late], *(m[0] for m in more)]), np.concatenate([d[late], *(m[1] for m in more)])
-    order = np.argsort(d, kind="stable")
-    h, d = h[order] & np.uint64(_MARK), d[order]
-    head = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
-    marks = h.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    ends = np.r_[head[1:], len(d)] if len(d) else head
-    return pa.table({"of": pa.array(d[head]), "marks": pa.array([marks[5 * a : 5 * b] for a, b in zip(head, ends)], pa.binary())})
-
-
-def _cleaned(width: int) -> Callable[[Batches], Batches]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _repeats(parts: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one hash range: the documents' windows that a smaller doc_id has as well, a row for each part of the documents."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes, docs, more = [], [], []
+        for row in group.to_pylist():
+            small = np.uint16 if row["n_ids"] <= 1 << 16 else np.uint32
+            ids = np.cumsum(_unpack(row["ids"], row["n_ids"], np.int64))
+            hashes.append(np.cumsum(_unpack(row["hashes"], row["n"], np.uint64), dtype=np.uint64))
+            docs.append(ids[_unpack(row["docs"], row["n"], small)])
+            more.append((np.cumsum(_unpack(row["again"], row["n_again"], np.uint64), dtype=np.uint64), ids[_unpack(row["again_docs"], row["n_again"], small)]))
+        h, d = np.concatenate(hashes), np.concatenate(docs)
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], d[order]
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        late = d > np.repeat(np.minimum.reduceat(d, head), np.diff(np.r_[head, len(h)]))
+        h, d = np.concatenate([h[late], *(m[0] for m in more)]), np.concatenate([d[late], *(m[1] for m in more)])
+        known, index = np.unique(d, return_inverse=True)
+        part = np.array([_part(k, parts) for k in known.tolist()], np.int64)
+        order = np.lexsort((index, part[index])) if len(d) else index
+        h, d, place = h[order] & np.uint64(_MARK), d[order], part[index][order] if len(d) else index
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(d) else index
+        marks = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5])
+        rows = list(zip(cuts, np.r_[cuts[1:], len(d)] if len(d) else cuts))
+        columns = [pa.array(place[cuts], pa.int64()), pa.array([int(b - a) for a, b in rows], pa.int64()), pa.array([_pack(np.diff(d[a:b], prepend=np.int64(0))) for a, b in rows], pa.binary()), pa.array([marks[a:b].tobytes() for a, b in rows], pa.binary())]
+        return pa.table(columns, ["part", "n", "docs", "marks"])
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
+    return run
+
+
+def _part(doc_id: int, parts: int) -> int:
+    return zlib.crc32(str(doc_id).encode()) % parts
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_CLEANED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", _SPANS), ("text", pa.string())])
+
+
+def _cleaned(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(texts: pa.Table, repeats: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for row in repeats.to_pylist():
+            docs = np.cumsum(_unpack(row["docs"], row["n"], np.int64))
+            known = np.zeros((row["n"], 8), np.uint8)
+            known[:, :5] = np.frombuffer(row["marks"], np.uint8).reshape(-1, 5)
+            heads = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+            for doc, own in zip(docs[heads].tolist(), np.split(known.view(np.uint64).ravel(), heads[1:])):
+                held.setdefault(doc, []).append(own)
+        out = []
+        for batch in texts.to_batches():
             for start, stop in hashing.slices(batch.column("text")):
-                part = batch.slice(start, stop - start)
-                words = hashing.split_words(part.column("text"))
-                found, place = hashing.windows(words, width)
-                bounds = np.searchsorted(place, words.first)
-                counts, spans, texts = np.diff(words.first), [], []
-                for i, (text, marks) in enumerate(zip(part.column("text").to_pylist(), part.column("marks").to_pylist())):
-                    tokens, here = (text or "").encode().split(), []
-                    if marks:
-                        raw = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 5)
-                        known = np.zeros((len(raw), 8), np.uint8)
-                        known[:, :5] = raw
-                        mine = slice(bounds[i], bounds[i + 1])
-                        at = place[mine][np.isin(found[mine] & np.uint64(_MARK), known.view(np.uint64).ravel())] - words.first[i]
-                        steps = np.bincount(at, minlength=len(tokens) + 1) - np.bincount(at + width, minlength=len(tokens) + 1)
-                        gone = np.cumsum(steps)[: len(tokens)] > 0
-                        edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                        here = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
-                        tokens = compress(tokens, ~gone)
-                    spans.append(here)
-                    texts.append(b" ".join(tokens))
-                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "removed", "text"])
+                out.append(_batch(batch.slice(start, stop - start), held, width))
+        return pa.Table.from_batches(out, _CLEANED)
 
     return run
 
 
+def _batch(part: pa.RecordBatch, held: dict[int, list[np.ndarray]], width: int) -> pa.RecordBatch:
+    words = hashing.split_words(part.column("text"))
+    found, place = hashing.windows(words, width)
+    bounds = np.searchsorted(place, words.first)
+    counts, spans, texts = np.diff(words.first), [], []
+    for i, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
+        tokens, here = (text or "").encode().split(), []
+        if doc in held:
+            mine = slice(bounds[i], bounds[i + 1])
+            at = place[mine][np.isin(found[mine] & np.uint64(_MARK), np.concatenate(held[doc]))] - words.first[i]
+            steps = np.bincount(at, minlength=len(tokens) + 1) - np.bincount(at + width, minlength=len(tokens) + 1)
+            gone = np.cumsum(steps)[: len(tokens)] > 0
+            edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+            here = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+            tokens = compress(tokens, ~gone)
+        spans.append(here)
+        texts.append(b" ".join(tokens))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(texts, pa.binary()).cast(pa.string())], schema=_CLEANED)
+
+
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_words, removed, text)``, a row for each row of ``docs (doc_id, text, ...)``.
 
@@ -153,9 +178,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, size // (6 * RANGE_WINDOWS))
+    parts = max(8, size // PART_BYTES)
     entries = map_batches(texts.where("doc_id IS NOT NULL"), _entries(width, ranges), _ENTRY)
     find_package(docs.sparkSession)
-    found = entries.groupBy("range").applyInArrow(_repeats, "of long, marks binary")
-    found = found.groupBy("of").agg(F.collect_list("marks").alias("marks"))
-    joined = texts.join(found, texts["doc_id"] == found["of"], "left").select("doc_id", "text", "marks")
-    return map_batches(joined, _cleaned(width), "doc_id long, n_words long, removed array<struct<start: long, end: long>>, text string")
+    found = entries.groupBy("range").applyInArrow(_repeats(parts), "part long, n long, docs binary, marks binary")
+    part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(F.crc32(F.col("doc_id").cast("string")) % parts).cast("long")
+    kind = "doc_id long, n_words long, removed array<struct<start: long, end: long>>, text string"
+    return texts.withColumn("part", part).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cleaned(width), kind)
