@@ -32,9 +32,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id; rows without doc_id stay."""
-    kept = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")), "kept-documents")
-    repeated = kept.where("_kept IS NOT NULL").groupBy("_kept").count().where("count > 1")
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")), "kept-documents")
+    repeated = kept.where("kept_id IS NOT NULL").groupBy("kept_id").count().where("count > 1")
+    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     if not repeated.isEmpty():  # a document that is there several times is a group too
         out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
     return out

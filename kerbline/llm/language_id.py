@@ -82,31 +82,31 @@ def learn(texts: dict[str, list[str]]) -> Model:
 
 
 def phrases(pieces: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Phrases of each row of symbols (longest rows first): where no phrase goes on, a new one begins; an unknown symbol is one."""
+    """Phrases of each row of symbols (longest rows first): where none goes on, one begins; an unknown symbol is one by itself."""
     width = steps.shape[1]
     flat = steps.ravel()
-    state, count = np.ones(len(pieces), np.int64), np.ones(len(pieces), np.int64)
+    state, count = np.ones(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
     columns = np.ascontiguousarray(pieces.T)
     alive = np.searchsorted(-lengths, -np.arange(columns.shape[0]), "left")
     for k in range(columns.shape[0]):
         n = alive[k]
         c = columns[k, :n]
         to = flat[state[:n] * width + c]
-        broken = np.flatnonzero(to == 0)
-        if len(broken):
-            fresh = flat[width + c[broken]]
-            to[broken] = np.where(fresh == 0, 1, fresh)
-            count[broken] += 1
+        begun = np.flatnonzero((to == 0) | (state[:n] == 1))
+        if len(begun):
+            fresh = flat[width + c[begun]]
+            to[begun] = np.where(fresh == 0, 1, fresh)
+            count[begun] += 1
         state[:n] = to
     return count
 
 
 def costs(model: Model, texts: list[bytes]) -> np.ndarray:
     """Phrases per byte of each text (a row) in each language (a column)."""
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     owner = np.repeat(np.arange(len(texts)), -(-sizes // PIECE))
-    lengths = np.array([len(p) for p in pieces])
+    lengths = np.array([len(p) for p in pieces], np.int64)
     order = np.argsort(-lengths, kind="stable")
     table = np.frombuffer(b"".join(pieces[i].ljust(PIECE) for i in order), np.uint8).reshape(-1, PIECE) if pieces else np.zeros((0, PIECE), np.uint8)
     symbols = model.symbol[table[:, : lengths.max(initial=0)]].astype(np.int32)

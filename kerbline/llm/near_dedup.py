@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets, copies included, are one class that its smallest doc_id stands for.
     classes = linked.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classed = written(signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    classed = written(signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
     reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "d1", "d2", "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"])
     reps = written(reps, "representatives")
     members = map_batches(reps, _bands, "bucket long, id long")

@@ -128,7 +128,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _measured(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in filter(len, batches):
         x = statistics(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
 
@@ -144,13 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
     rows = map_batches(texts.join(F.broadcast(sample), "doc_id").select("quality", "text"), _measured, "quality int, x array<double>").limit(2 * MOST_LABELS).collect()
     rows.sort()
     x, y = np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows], float)
-    return grow(x.reshape(len(rows), -1), y)
+    return grow(x.reshape(len(rows), -1) if rows else np.zeros((0, 1)), y)
 
 
 def _scored(trees: Trees):
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            value = scores(trees, statistics(batch.column("text"))) if len(batch) else np.zeros(0)
+        for batch in filter(len, batches):
+            value = scores(trees, statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value)], ["doc_id", "score"])
 
     return run

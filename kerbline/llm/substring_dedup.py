@@ -77,8 +77,9 @@ def _entries(width: int, ranges: int) -> Callable[[Batches], Batches]:
                 words = hashing.split_words(batch.column("text").slice(start, stop - start))
                 found, place = hashing.windows(words, width)
                 ids = np.asarray(batch.column("doc_id").slice(start, stop - start))
-                held.append((found, ids[np.searchsorted(words.first, place, "right") - 1]))
-                size += len(words.data)
+                if len(found):
+                    held.append((found, ids[np.searchsorted(words.first, place, "right") - 1]))
+                    size += len(words.data)
                 if size >= CHUNK_BYTES:
                     yield chunk(held)
                     held, size = [], 0
