@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline import constants as C
 from kerbline.functions import scores
-from kerbline.operators.ranking import cut_keys, key_struct, score_levels
+from kerbline.operators.ranking import cut_keys, key_struct, score_levels, with_group
 
 _SCORE_BUCKETS = 1 << 20
 
@@ -82,7 +82,7 @@ def top_decile_precision(preds: DataFrame, group: Sequence[str] = ()) -> DataFra
     levels = score_levels(F.col("probability"), F.col("t"), F.col("row_id"))
     cuts = cut_keys(preds, group, levels, lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(0.1))))
     if group:
-        top = preds.join(cuts, list(group)).where(key_struct(levels) <= F.col("cut"))
+        top = with_group(preds, cuts, list(group)).where(key_struct(levels) <= F.col("cut"))
     else:
         top = preds.where(key_struct(levels) <= cuts.select("cut").scalar())
     return top.groupBy(*group).agg(F.bround(F.coalesce(F.avg("actual"), F.lit(0.0)), 6).alias("top_decile_precision"))

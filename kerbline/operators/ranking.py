@@ -36,7 +36,8 @@ def cut_keys(
 ) -> DataFrame:
     """Per group, the key of row number ``wanted(group size)`` (from 1) in level order.
 
-    Returns ``group``, ``group_rows``, ``wanted_rows`` and ``cut`` (struct of level values); with no group one row.
+    Returns ``group``, ``group_rows``, ``wanted_rows`` and ``cut`` (struct of level values); with no group one row. Rows without
+    a group are a group too; null keys come first.
     """
     group = list(group)
     names = [f"_k{i}" for i in range(len(levels))]
@@ -44,7 +45,7 @@ def cut_keys(
     bound = None
     for depth, name in enumerate(names):
         parents = group + names[:depth]
-        inside = keyed if bound is None else keyed.join(bound, parents)
+        inside = keyed if bound is None else with_group(keyed, bound, parents)
         carried = [] if bound is None else [F.first(c).alias(c) for c in ("group_rows", "wanted_rows", "_left")]
         hist = inside.groupBy(*parents, name).agg(F.count(F.lit(1)).alias("_n"), *carried)
         span = Window.partitionBy(*parents)
@@ -59,16 +60,25 @@ def cut_keys(
     return bound.select(*group, "group_rows", "wanted_rows", F.struct(*names).alias("cut"))
 
 
+def with_group(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` joined with one row of facts for each key, null keys included."""
+    renamed = facts.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(renamed, same).drop(*(f"_of_{k}" for k in keys))
+
+
 def key_struct(levels: Sequence[Column]) -> Column:
     return F.struct(*[level.alias(f"_k{i}") for i, level in enumerate(levels)])
 
 
 def first_rows(
-    rows: DataFrame, group: Sequence[str], levels: Sequence[Column], wanted: Callable[[Column], Column]
+    rows: DataFrame, group: Sequence[str], levels: Sequence[Column], wanted: Callable[[Column], Column], *carried: str
 ) -> DataFrame:
-    """``rows`` plus ``in_first``: whether the row is among the first ``wanted(n)`` of its group."""
+    """``rows`` plus ``in_first``: whether the row is among the first ``wanted(n)`` of its group; plus columns of ``cut_keys``."""
     cuts = cut_keys(rows, group, levels, wanted)
     if group:
-        marked = rows.join(cuts.select(*group, "cut"), list(group))
+        marked = with_group(rows, cuts.select(*group, "cut", *carried), list(group))
         return marked.withColumn("in_first", key_struct(levels) <= F.col("cut")).drop("cut")
     return rows.withColumn("in_first", key_struct(levels) <= cuts.select("cut").scalar())

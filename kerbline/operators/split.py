@@ -48,11 +48,10 @@ def three_way_split(
 def grouped_split(
     rows: DataFrame, group: str, micros: Column, row_id: Column, test_ratio: float = 0.2
 ) -> DataFrame:
-    """Chronological split inside each group; groups with fewer than two rows are left out."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(group)
-    kept = rows.join(sizes, group, "left_semi")
-    marked = first_rows(kept, [group], time_levels(micros, row_id), lambda n: train_size(n, test_ratio))
-    return marked.withColumn("split", F.when(F.col("in_first"), "train").otherwise("test")).drop("in_first")
+    """Chronological split inside each group, rows without a group being one; groups with fewer than two rows are ``skipped``."""
+    marked = first_rows(rows, [group], time_levels(micros, row_id), lambda n: train_size(n, test_ratio), "group_rows")
+    part = F.when(F.col("group_rows") < 2, "skipped").when(F.col("in_first"), "train").otherwise("test")
+    return marked.withColumn("split", part).drop("in_first", "group_rows")
 
 
 def grouped_split_counts(rows: DataFrame, group: str, target: str, test_ratio: float = 0.2) -> DataFrame:

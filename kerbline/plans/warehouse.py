@@ -72,12 +72,12 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_context(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Hourly context from some events: cheap errors are weather, cheap views air, cheap clicks traffic."""
-    rows = table(spark, sf_dir, "events").withColumn("observed_at", F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    """Context of every ninth hour, so that some hours lie too far off: errors are weather, views air, clicks traffic."""
+    ninth = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (9 * 3600)) * 9 * 3600
+    rows = table(spark, sf_dir, "events").withColumn("observed_at", F.timestamp_seconds(ninth))
 
     def of(kind, key):
-        some = rows.where((F.col("event_type") == kind) & (F.col("value") < 20))
-        return some.groupBy((F.col("user_id") % 3).cast("string").alias(key), "observed_at")
+        return rows.where(F.col("event_type") == kind).groupBy((F.col("user_id") % 3).cast("string").alias(key), "observed_at")
 
     weather = of("error", "weather_station_id").agg(
         F.max("value").alias("temperature"),
@@ -101,8 +101,8 @@ def hourly_context(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which some signup was worth more than 495 are holidays; a day listed with 0 is not."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'signup' AND value > 200")
+    """Days on which some signup was worth more than 300 are holidays; a day listed with 0 is not."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'signup'")
     day = F.to_date(F.col("ts"))
     return rows.groupBy(day.alias("service_date")).agg(
         (F.max("value") > 300).cast("int").alias("is_holiday"), F.concat(F.lit("day "), F.max("user_id").cast("string")).alias("holiday_name")
@@ -110,8 +110,8 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area events per day from large purchases."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 150")
+    """Area events per day from purchases."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     return rows.groupBy(F.concat(F.lit("area"), (F.col("user_id") % 4).cast("string")).alias("area_key"), F.to_date("ts").alias("service_date")).agg(
         F.count(F.lit(1)).cast("int").alias("event_count"), F.countDistinct("user_id").cast("int").alias("event_nearby_count")
     )
@@ -229,7 +229,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timetable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide timetable payloads, one per nation: some overnight, some with gaps."""
-    rows = table(spark, sf_dir, "nation").where("n_nationkey < 10")
+    rows = table(spark, sf_dir, "nation")
     n = F.col("n_nationkey")
 
     def clock(hour, minute):

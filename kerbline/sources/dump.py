@@ -8,14 +8,27 @@ from kerbline.sources.dimensions import route_stations, target_routes
 from kerbline.sources.schemas import DUMP_TABLES
 from kerbline.sources.upsert import latest_per_key, tag_outcomes
 
-# Fixed value: one parenthesised tuple of an INSERT, quoted text (with escapes) taken whole.
-TUPLE = r"\(((?:[^'()]|'(?:[^'\\]|\\.)*')*)\)"
+# A quoted text with its escapes and doubled quotes, one parenthesised tuple of an INSERT, and a field of it.
+# The runs are possessive, so a long field needs no stack.
+QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
+TUPLE = rf"\(((?:[^'()]++|{QUOTED})*+)\)"
+FIELD = rf",\s*((?:_\w+\s+)?{QUOTED}|[^,']*+)"
 SNAPSHOT_KEY = ("collected_at", "route_id", "veh_id", "station_id", "station_seq", "plate_no")
 
 
 def read_dump_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statements of a dump as lines; ``;`` at a line end closes one, so quoted semicolons survive."""
-    return spark.read.option("lineSep", ";\n").text(path)
+    """Statements of a dump as lines; ``;`` at a line end closes one, so quoted semicolons survive. Lines may end in CRLF."""
+    head = spark.read.option("lineSep", "\n").text(path).first()
+    return spark.read.option("lineSep", ";\r\n" if head is not None and head["value"].endswith("\r") else ";\n").text(path)
+
+
+def _field(raw: Column) -> Column:
+    """Value of a field's SQL text: a bare NULL is null, quoted text loses its quotes and escapes."""
+    inner = F.regexp_extract(raw, r"(?s)^(?:_\w+\s+)?'(.*)'\s*$", 1)
+    # A doubled backslash waits as a character that no dump holds until the other escapes are read.
+    for escape, plain in ((r"\\\\", "\u0001"), (r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t"), (r"\\(.)", "$1"), ("''", "'"), ("\u0001", r"\\")):
+        inner = F.regexp_replace(inner, escape, plain)
+    return F.when(raw.rlike(r"'\s*$"), inner).when(F.upper(F.trim(raw)) != "NULL", F.trim(raw))
 
 
 def dump_table(statements: DataFrame, table: str, columns: str | None = None) -> DataFrame:
@@ -25,12 +38,8 @@ def dump_table(statements: DataFrame, table: str, columns: str | None = None) ->
     mine = mine.withColumn("_stmt", F.monotonically_increasing_id())
     body = F.regexp_extract("value", r"(?is)\bVALUES\s*(.*)$", 1)
     tuples = mine.select("_stmt", F.posexplode(F.regexp_extract_all(body, F.lit(TUPLE), F.lit(1))).alias("_at", "_tuple"))
-    parsed = F.from_csv(
-        "_tuple",
-        ", ".join(f"`{f}` STRING" for f in fields),
-        {"quote": "'", "escape": "\\", "nullValue": "NULL", "ignoreLeadingWhiteSpace": "true"},
-    )
-    return tuples.select(parsed.alias("_row"), F.struct("_stmt", "_at").alias("_order")).select("_row.*", "_order")
+    tuples = tuples.select(F.struct("_stmt", "_at").alias("_order"), F.regexp_extract_all(F.concat(F.lit(","), F.col("_tuple")), F.lit(FIELD), F.lit(1)).alias("_fields"))
+    return tuples.select(*[_field(F.get("_fields", F.lit(i))).alias(f) for i, f in enumerate(fields)], "_order")
 
 
 def dump_columns(statements: DataFrame, table: str) -> str:
@@ -95,7 +104,8 @@ def dump_route_stations(raw: DataFrame, routes: DataFrame, stations: DataFrame,
         F.col("toward_name").alias("towardName"),
         "_order",
     )
-    newest = latest_per_key(items, ["_external", "stationSeq"], ["_order"]).drop("_order")
+    items = items.withColumn("_seq", text.loose_int(F.col("stationSeq")))
+    newest = latest_per_key(items, ["_external", "_seq"], ["_order"]).drop("_order", "_seq")
     return route_stations(newest, F.col("_external"), F.col("canonical_route_name"))
 
 

@@ -48,8 +48,9 @@ def bucket_counts(snapshots: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def with_snapshot_id(rows: DataFrame) -> DataFrame:
-    """Ids that replays reproduce: a hash of the natural key."""
-    return rows.withColumn("snapshot_id", F.xxhash64(*SNAPSHOT_KEY))
+    """Ids that replays reproduce: a 256-bit digest of the natural key's names and values, so a null is unlike a missing part."""
+    key = [F.unix_micros(c).alias(c) if c == "collected_at" else F.col(c) for c in SNAPSHOT_KEY]
+    return rows.withColumn("snapshot_id", F.sha2(F.to_json(F.struct(*key)), 256))
 
 
 def feature_stream(

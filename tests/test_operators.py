@@ -160,10 +160,17 @@ def test_splits_match_sorting(rows):
     assert {r["split"]: r["count"] for r in parts} == {"train": 1280, "calibration": 320, "test": 400}
 
 
-def test_single_row_groups_are_left_out(rows):
+def test_single_row_groups_are_skipped(rows):
     frame = rows([(1, "a", 1), (2, "b", 1), (3, "b", 2)], "row_id BIGINT, g STRING, t BIGINT")
     got = {r["row_id"]: r["split"] for r in split.grouped_split(frame, "g", F.col("t"), F.col("row_id")).collect()}
-    assert got == {2: "train", 3: "test"}
+    assert got == {1: "skipped", 2: "train", 3: "test"}
+
+
+def test_rows_without_a_group_stay(rows):
+    data = rows([(i, i, None if i % 2 else "g") for i in range(20)], "id BIGINT, t BIGINT, g STRING")
+    got = split.grouped_split(data, "g", F.col("t"), F.col("id")).collect()
+    assert sorted(r["id"] for r in got) == list(range(20))
+    assert sorted(r["id"] for r in got if r["split"] == "test") == [16, 17, 18, 19]
 
 
 def test_cut_keys_with_ids_beyond_one_run(rows):
@@ -244,23 +251,23 @@ def test_demand_and_training(spark, rows, tables):
 
 
 def test_scheduled_row_for_a_route_name(rows, tables):
-    routes = rows([(228000175, "5005", "5005", 11, "express")], "route_id BIGINT, route_name STRING, canonical_route_name STRING, route_type_cd INT, route_type_name STRING")
+    routes = rows([(330000042, "5005", "5005", 11, "express")], "route_id BIGINT, route_name STRING, canonical_route_name STRING, route_type_cd INT, route_type_name STRING")
     stops = rows(
-        [(228000175, 63, 102000070, "hospital", None, 127.0054, 37.5359, '{"direction":"DOWN"}')],
+        [(330000042, 21, 440000007, "market", None, 126.9101, 37.4102, '{"direction":"DOWN"}')],
         "route_id BIGINT, station_seq INT, station_id BIGINT, station_name STRING, mobile_no STRING, x DOUBLE, y DOUBLE, raw_json STRING",
     )
     from kerbline.operators import schedule
     from kerbline.sources.schemas import HEADWAY_FIELDS, TIMETABLE_FIELDS
 
-    info = {"routeId": "228000175", "weUpFirstTime": "05:00", "weUpLastTime": "23:00", "weDownFirstTime": "06:50", "weDownLastTime": "00:10", "wePeekAlloc": "22", "weNPeekAlloc": "26"}
+    info = {"routeId": "330000042", "weUpFirstTime": "04:40", "weUpLastTime": "22:30", "weDownFirstTime": "06:20", "weDownLastTime": "23:50", "wePeekAlloc": "18", "weNPeekAlloc": "31"}
     wide = rows([tuple(info.get(f) for f in ["routeId"] + TIMETABLE_FIELDS + HEADWAY_FIELDS)], ", ".join(f"{f} STRING" for f in ["routeId"] + TIMETABLE_FIELDS + HEADWAY_FIELDS))
-    asked = rows([(1, 102000070, None, "5005")], "request_id BIGINT, requested_station_id BIGINT, asked_route_id BIGINT, asked_route_name STRING")
-    requests = live.route_requests(asked, routes).withColumn("at", F.lit("2026-05-19T23:00:00+00:00").cast("timestamp"))
+    asked = rows([(1, 440000007, None, "5005")], "request_id BIGINT, requested_station_id BIGINT, asked_route_id BIGINT, asked_route_name STRING")
+    requests = live.route_requests(asked, routes).withColumn("at", F.lit("2026-05-19T22:30:00+00:00").cast("timestamp"))
     history = shots(rows, [(1, "2026-05-20T23:05:00+00:00", 1, 10, "A", 100, 10, 2, 3, 11)]).limit(0)
     built = pipeline.build_features({**tables, "snapshots": history}).withColumns({"has_next_station": F.lit(1), "y": F.lit(0)})
     known = proxy.proxy_statistics(built, "y", require_next_station=True)
     got = live.scheduled_rows(requests, schedule.timetable(wide), tables["holidays"], routes, stops, known, history).collect()
     assert len(got) == 1
     r = got[0]
-    assert (r["route_id"], r["schedule_direction"], r["schedule_first_time"], r["schedule_proxy_time_basis"], r["schedule_allocation_minutes"]) == (228000175, "down", "06:50", "requested_time", 22)
-    assert (r["station_seq"], r["historical_proxy_group"], r["remain_seat_cnt"], r["collected_at_kst"]) == (63, "none", 45, "2026-05-20T08:00:00+09:00")
+    assert (r["route_id"], r["schedule_direction"], r["schedule_first_time"], r["schedule_proxy_time_basis"], r["schedule_allocation_minutes"]) == (330000042, "down", "06:20", "requested_time", 18)
+    assert (r["station_seq"], r["historical_proxy_group"], r["remain_seat_cnt"], r["collected_at_kst"]) == (21, "none", 45, "2026-05-20T07:30:00+09:00")
