@@ -12,8 +12,6 @@ from kerbline.sources.schemas import LOCATION_ITEM
 from kerbline.sources.snapshots import location_snapshots
 from kerbline.sources.upsert import append_batch, read_latest
 
-LATENESS = "10 minutes"
-
 
 def read_landing(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Landed position items, one JSON object per line with its ``collected_at``."""
@@ -23,10 +21,12 @@ def read_landing(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return location_snapshots(items)
 
 
-def without_replays(snapshots: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Drop repeats of the natural key while its watermark is open; state is bounded by the lateness."""
-    keyed = snapshots.withWatermark("collected_at", lateness)
-    return keyed.dropDuplicatesWithinWatermark(list(SNAPSHOT_KEY))
+def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row for each natural key of the batch that ``stored`` lacks, however late it comes."""
+    same = F.lit(True)
+    for part in SNAPSHOT_KEY:
+        same = same & F.col(f"_b.{part}").eqNullSafe(F.col(f"_s.{part}"))
+    return batch.dropDuplicates(list(SNAPSHOT_KEY)).alias("_b").join(stored.select(*SNAPSHOT_KEY).alias("_s"), same, "left_anti")
 
 
 def _started(writer, checkpoint: str, seconds: int | None) -> StreamingQuery:
@@ -35,16 +35,27 @@ def _started(writer, checkpoint: str, seconds: int | None) -> StreamingQuery:
 
 
 def append_stream(snapshots: DataFrame, path: str, checkpoint: str, every_seconds: int | None = None) -> StreamingQuery:
-    """Append to the day-partitioned snapshot log; all landed data once, or every ``every_seconds``."""
-    daily = snapshots.withColumn("ingest_date", F.to_date("collected_at"))
-    writer = daily.writeStream.format("parquet").option("path", path).partitionBy("ingest_date").outputMode("append")
-    return _started(writer, checkpoint, every_seconds)
+    """Append to the day-partitioned snapshot log what it lacks; all landed data once, or every ``every_seconds``.
+
+    Keys are compared with the stored rows of the batch's own days only. A replayed batch finds its rows and adds nothing.
+    """
+    def one(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("ingest_date", F.to_date("collected_at")).persist()
+        first, last = rows.agg(F.min("ingest_date"), F.max("ingest_date")).first()
+        empty = rows.sparkSession.createDataFrame([], rows.schema)
+        empty.write.mode("append").partitionBy("ingest_date").parquet(path)  # the log exists from the first batch on
+        log = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        stored = log.where(F.col("ingest_date").between(F.lit(first), F.lit(last)) | F.col("ingest_date").isNull())
+        new_rows(rows, stored).write.mode("append").partitionBy("ingest_date").parquet(path)
+        rows.unpersist()
+
+    return _started(snapshots.writeStream.foreachBatch(one).outputMode("append"), checkpoint, every_seconds)
 
 
-def bucket_counts(snapshots: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Rows per route and ten-minute window, emitted once the watermark has passed the window."""
-    counted = snapshots.withWatermark("collected_at", lateness).groupBy("route_id", F.window("collected_at", "10 minutes").alias("w"))
-    return counted.agg(F.count(F.lit(1)).alias("rows")).select("route_id", F.col("w.start").alias("bucket"), "rows")
+def bucket_counts(snapshots: DataFrame) -> DataFrame:
+    """Rows per route and ten-minute window, for update mode: late rows raise the count of their window, whatever their age."""
+    counted = snapshots.groupBy("route_id", F.window("collected_at", "10 minutes").alias("w")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select("route_id", F.col("w.start").alias("bucket"), "rows")
 
 
 def with_snapshot_id(rows: DataFrame) -> DataFrame:
@@ -62,7 +73,7 @@ def feature_stream(
     """
     def one(batch: DataFrame, batch_id: int) -> None:
         known = tables()
-        rows = with_snapshot_id(batch).persist()
+        rows = with_snapshot_id(batch.dropDuplicates(list(SNAPSHOT_KEY))).persist()
         seen = ["route_id", "plate_no", "remain_seat_cnt"]
         capacity = features.observed_capacity(known["log"].select(*seen).unionByName(rows.select(*seen)))
         base = features.location_features(rows, known["routes"], known["stops"], capacity)
