@@ -164,3 +164,14 @@ def test_stages_on_odd_rows(spark):
 
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    frame = QUERIES[name](spark, DATA)
+    cursor = duck.execute(f"SELECT {', '.join(frame.columns)} FROM ({ORACLES[name]})")
+    assert sorted(map(tuple, frame.collect())) == sorted(cursor.fetchall())
