@@ -80,7 +80,10 @@ def vehicle_futures(
     slice_seconds: int | None = None,
     seq_bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Per row the future states: ``_h_<horizon>`` and ``_next`` structs (null when not seen)."""
+    """Per row the future states: ``_h_<horizon>`` and ``_next`` structs (null when not seen).
+
+    A stop sequence outside given ``seq_bounds`` is an error.
+    """
     reach = max([s for _, s in horizons] + [next_stop_seconds or 0]) * 1_000_000
     width = max((slice_seconds or 0) * 1_000_000, 4 * reach if slice_seconds is None else reach)
     states = rows.select(
@@ -99,7 +102,9 @@ def vehicle_futures(
     if next_stop_seconds is not None:
         low, high = seq_bounds or sequence_bounds(rows)
         levels = max(1, -(-(high - low).bit_length() // _RADIX_BITS))
-        frame = frame.withColumn("_rank", F.col("seq") - F.lit(low).cast("bigint"))
+        inside = F.col("seq").between(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))
+        wrong = F.raise_error(F.format_string(f"stop sequence %d lies outside {low} to {high}", "seq")).cast("bigint")
+        frame = frame.withColumn("_rank", F.when(inside, F.col("seq") - F.lit(low).cast("bigint")).otherwise(wrong))
         frame = _next_larger(frame, part, levels, next_stop_seconds * 1_000_000).drop("_rank")
     return frame.where("_slice = _home").drop("_slice", "_home")
 

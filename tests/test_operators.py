@@ -271,3 +271,12 @@ def test_scheduled_row_for_a_route_name(rows, tables):
     r = got[0]
     assert (r["route_id"], r["schedule_direction"], r["schedule_first_time"], r["schedule_proxy_time_basis"], r["schedule_allocation_minutes"]) == (330000042, "down", "06:20", "requested_time", 18)
     assert (r["station_seq"], r["historical_proxy_group"], r["remain_seat_cnt"], r["collected_at_kst"]) == (21, "none", 45, "2026-05-20T07:30:00+09:00")
+
+
+def test_stops_outside_the_given_bounds_are_an_error(rows):
+    data = [(1, 0, 3, 1, "a"), (2, 60, 17, 1, "a")]
+    frame = rows(data, "snapshot_id BIGINT, t BIGINT, station_seq INT, veh_id BIGINT, plate_no STRING").withColumns({"route_id": F.lit(1), **{c: F.lit(0) for c in ("is_no_seat", "is_low_seat_2", "is_low_seat_5")}})
+    found = labels.label_table(frame, micros=F.col("t") * 1_000_000, seq_bounds=(0, 20)).where("snapshot_id = 1").first()
+    assert found["has_next_station"] == 1
+    with pytest.raises(Exception, match="outside 0 to 15"):
+        labels.label_table(frame, micros=F.col("t") * 1_000_000, seq_bounds=(0, 15)).collect()
