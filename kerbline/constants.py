@@ -2,7 +2,6 @@
 
 # Canonical names of the routes under study, and the search terms that find them.
 TARGET_ROUTE_NAMES = ("5000", "5001A", "5001B", "5001-1A", "5001-1B", "5003A", "5003B", "5005")
-TARGET_ROUTE_SEARCH_TERMS = ("5000", "5001", "5001-1", "5003", "5005")
 
 # Crowding codes.
 CROWDING_LABELS = {1: "여유", 2: "보통", 3: "혼잡", 4: "매우혼잡"}

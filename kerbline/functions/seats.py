@@ -76,8 +76,8 @@ def weather_text(rain: Column, cloud: Column) -> Column:
     return F.when(rain > 0, "rain").when(cloud >= 8, "cloudy").when(cloud >= 3, "partly_cloudy").otherwise("clear")
 
 
-def forecast_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """WGS84 degrees to the (nx, ny) cell of the Korean forecast grid; constants fold on the driver."""
+def grid_constants() -> tuple[float, float, float, float]:
+    """Scale, distance of the pole, cone and longitude (radians) of the Korean forecast grid's projection."""
     phi1, phi2 = (math.radians(p) for p in C.GRID_PARALLELS)
     lon0, lat0 = (math.radians(v) for v in C.GRID_ORIGIN)
 
@@ -86,8 +86,12 @@ def forecast_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
 
     cone = math.log(math.cos(phi1) / math.cos(phi2)) / math.log(half_angle(phi2) / half_angle(phi1))
     scale = C.GRID_EARTH_RADIUS_KM / C.GRID_STEP_KM * half_angle(phi1) ** cone * math.cos(phi1) / cone
-    pole = scale / half_angle(lat0) ** cone
+    return scale, scale / half_angle(lat0) ** cone, cone, lon0
+
 
+def forecast_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """WGS84 degrees to the (nx, ny) cell of the Korean forecast grid; constants fold on the driver."""
+    scale, pole, cone, lon0 = grid_constants()
     radius = F.lit(scale) / F.pow(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2), F.lit(cone))
     turn = F.radians(lon) - F.lit(lon0)
     turn = F.when(turn > math.pi, turn - 2 * math.pi).when(turn < -math.pi, turn + 2 * math.pi).otherwise(turn)

@@ -3,7 +3,12 @@
 from pyspark.sql import SparkSession
 
 from kerbline import constants as C
+from kerbline.functions.seats import grid_constants
 
+_SCALE, _POLE, _CONE, _LON0 = (f"{v!r}D" for v in grid_constants())
+_RADIUS = f"{_SCALE} / power(tan(pi() / 4 + radians(lat) / 2), {_CONE})"
+_TURN = f"(radians(lon) - {_LON0})"
+_ANGLE = f"{_CONE} * ({_TURN} - CASE WHEN {_TURN} > pi() THEN 2 * pi() WHEN {_TURN} < -pi() THEN -2 * pi() ELSE 0D END)"
 _DEFINITIONS = {
     "canonical_route(name STRING) RETURNS STRING": r"translate(regexp_replace(upper(coalesce(name, '')), '[번\\s()\\[\\]]', ''), '－–—', '---')",
     "time_period(hour INT) RETURNS STRING": """CASE WHEN hour BETWEEN 7 AND 9 THEN 'morning_peak' WHEN hour BETWEEN 17 AND 19 THEN 'evening_peak'
@@ -19,6 +24,8 @@ _DEFINITIONS = {
         WHEN seq / max_seq <= 0.75 THEN 'late_mid_50_75' ELSE 'terminal_75_100' END""",
     "risk_level(p DOUBLE, threshold DOUBLE) RETURNS STRING": """CASE WHEN p >= threshold THEN 'high' WHEN p >= greatest(0.7D, threshold - 0.2D) THEN 'watch'
         WHEN p >= 0.4D THEN 'medium' ELSE 'low' END""",
+    "forecast_grid(lon DOUBLE, lat DOUBLE) RETURNS STRUCT<nx: INT, ny: INT>": f"""named_struct('nx', CAST({_RADIUS} * sin({_ANGLE}) + {C.GRID_OFFSET[0]} + 0.5D AS INT),
+        'ny', CAST({_POLE} - {_RADIUS} * cos({_ANGLE}) + {C.GRID_OFFSET[1]} + 0.5D AS INT))""",
 }
 
 

@@ -23,7 +23,6 @@ TIMETABLE_FIELDS = [
     f"{prefix}{side}{edge}Time" for prefix in ("we", "sat", "sun") for side in ("Up", "Down") for edge in ("First", "Last")
 ] + [f"{side}{edge}Time" for side in ("up", "down") for edge in ("First", "Last")]
 HEADWAY_FIELDS = [f"{prefix}{kind}" for prefix in ("we", "sat", "sun") for kind in ("PeekAlloc", "NPeekAlloc")] + ["peekAlloc", "nPeekAlloc"]
-TIMETABLE_ITEM = ROUTE_ITEM + ", " + ", ".join(f"{f} STRING" for f in TIMETABLE_FIELDS + HEADWAY_FIELDS)
 
 # Columns of the four dump tables, in their CREATE TABLE order.
 DUMP_TABLES = {

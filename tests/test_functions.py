@@ -125,3 +125,11 @@ def test_sql_names_agree_with_columns(spark):
     assert spark.sql("SELECT seat_scarcity(2, 45)").first()[0] == 93
     assert spark.sql("SELECT canonical_route('5001-1 (b)번')").first()[0] == "5001-1B"
     assert text.camel_case("historical_proxy_group") == "historicalProxyGroup"
+
+
+def test_sql_name_of_the_forecast_grid(spark):
+    sqlnames.register(spark)
+    places = spark.createDataFrame([(126.0 + i / 3, 33.0 + i / 4) for i in range(20)] + [(-179.0, 36.0), (None, 36.0)], "lon DOUBLE, lat DOUBLE")
+    nx, ny = seats.forecast_grid(F.col("lon"), F.col("lat"))
+    got = places.select(nx.alias("nx"), ny.alias("ny"), F.expr("forecast_grid(lon, lat)").alias("g")).collect()
+    assert [(r["nx"], r["ny"]) for r in got] == [(r["g"]["nx"], r["g"]["ny"]) for r in got]
