@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import written
+from kerbline.llm.common import join_checked, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,9 +45,12 @@ def bucket_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
     ``(bucket, id, label)``; it returns the links ``(a, b)`` between their members of different components. So every pair of a
     bucket is tried or lies in one component at the end. ``known`` are links found elsewhere.
     """
-    low = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot <> high").select("bucket", "pivot")
-    live = written(members.join(low, "bucket").where("id <> pivot").distinct(), "bucket-members")
-    pairs = live.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    ends = written(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), F.count("*").alias("n")).where("pivot <> high"), "buckets")
+    # A bucket of two is known by its ends; the members of larger ones are looked up.
+    larger = ends.where("n > 2").select("bucket", "pivot")
+    live = written(join_checked(members, larger, "bucket", "inner").where("id <> pivot").distinct(), "bucket-members")
+    two = ends.where("n = 2").select(F.col("pivot").alias("a"), F.col("high").alias("b"))
+    pairs = live.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(two).distinct()
     links = confirm(pairs).select("a", "b")
     labels = _merged(None, written(links if known is None else links.unionByName(known), "links"))
     live = live.select("bucket", "id", F.col("id").alias("label"))

@@ -35,11 +35,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.expr(r"btrim(line, ' \t\r\f\u000b')").alias("normal")).where("normal <> ''").withColumn("id", F.xxhash64("normal"))
 
 
-def line_groups(docs: DataFrame) -> DataFrame:
-    """``(id, label)``: the component of every distinct line (by hash of its normal form) that is like another one."""
+def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``(id, label)``: the component of every distinct line (by hash of its normal form) that is like another one.
+
+    ``places (id, doc_id, line_no)`` are all places of lines.
+    """
     lines = _lines(docs)
     rows = lines.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
     signed = rows.groupBy("id").agg(*(F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)))
+    signed = written(signed, "line-signatures")
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{(b + step) % HASHES}") for step in (0, 5, 11))) for b in range(BANDS)]
     members = signed.select("id", F.explode(F.array(*keys)).alias("bucket"))
     sets: list[DataFrame] = []
@@ -51,8 +55,11 @@ def line_groups(docs: DataFrame) -> DataFrame:
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "line-pairs")
         if not sets:  # the first round's pairs hold every line that later ones do
-            needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-needed")
-            found = join_checked(lines.select("id", "normal"), needed, "id", "left_semi").dropDuplicates(["id"])
+            # Each line is read at one of its places.
+            place = F.xxhash64("doc_id", "line_no")
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            needed = written(places.join(needed, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place")), "lines-needed")
+            found = join_checked(lines, needed, "id", "inner").where(place == F.col("place"))
             sets.append(written(found.select("id", F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s))).alias("items")), "line-sets"))
         a, b = (sets[0].select(F.col("id").alias(k), F.col("items").alias(f"x{k}")) for k in "ab")
         return pairs.join(a, "a").join(b, "b").where(alike(F.col("xa"), F.col("xb"))).select("a", "b")
@@ -63,13 +70,13 @@ def line_groups(docs: DataFrame) -> DataFrame:
         two = live.join(sets[0], "id").select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("items").alias("xb"))
         return one.hint("merge").join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike(F.col("xa"), F.col("xb"))).select("a", "b")
 
-    return bucket_components(members, confirm, rest, rounds=3)
+    return bucket_components(members, confirm, rest, rounds=2)
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
     """``(_doc, _gone)``: of each document the numbers of its lines that aren't the first of their group."""
     places = written(_lines(docs).select("id", "doc_id", "line_no"), "line-places")
-    groups = line_groups(docs).withColumnRenamed("id", "of")
+    groups = line_groups(docs, places).withColumnRenamed("id", "of")
     grouped = places.join(groups, places["id"] == groups["of"], "left").select(F.coalesce("label", "id").alias("label"), "doc_id", "line_no")
     grouped = written(grouped, "grouped-lines")
     first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
