@@ -1,11 +1,10 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-A line is lower-cased and trimmed. Its set holds the character shingles that begin at its words: the word and the ``AFTER``
-characters behind it. A line that begins with a run of ``LONG`` characters without a space, as in scripts that have none, is cut
-into the shingles of ``SHORT`` characters at all its places instead. The signature is ``HASHES`` min-hashes: the smallest of 32
-bits of each hash from a place of its own, XOR a fixed number. Bands take three of them each, any two bands share one at most: a
-pair at the threshold is missed with probability 0.0025. Candidate pairs from the
-bands are confirmed on full sets and joined to components; the first line of each component stays.
+A line is lower-cased and trimmed. Its set holds the shingles of ``SHINGLE`` characters that begin at each of its places; a
+shorter line is one shingle. The signature is ``HASHES`` min-hashes: the smallest of 32 bits of each hash from a place of its
+own, XOR a fixed number. Bands take ``len(STEPS)`` of them each, any two bands share one at most: a pair at the threshold is
+missed with probability 0.0022. Candidate pairs from the bands of which ``LEAST`` min-hashes agree, five standard deviations
+less than at the threshold, are confirmed on full sets and joined to components; the first line of each component stays.
 """
 
 import random
@@ -16,17 +15,16 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import join_checked, written
 from kerbline.llm.components import bucket_components
 
-AFTER, SHORT, LONG = 6, 12, 64
-HASHES, BANDS = 24, 16
+SHINGLE = 5
+HASHES, STEPS, LEAST = 28, (0, 1, 4, 9), 10
 THRESHOLD = 75  # per cent
 _RANDOM = random.Random(11)
 _ORDERS = [(shift, _RANDOM.getrandbits(64) - (1 << 63)) for shift in _RANDOM.sample(range(33), HASHES)]
 
 
 def _shingles(line: Column) -> Column:
-    words = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf" (?=([^ ]++.{{0,{AFTER}}}+))"), F.lit(1))
-    places = F.regexp_extract_all(line, F.lit(rf"(?=(.{{1,{SHORT}}}))"), F.lit(1))
-    return F.when(line.rlike(rf"^[^ ]{{{LONG}}}"), places).otherwise(words)
+    places = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(places)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -44,30 +42,43 @@ def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
     rows = lines.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
     signed = rows.groupBy("id").agg(*(F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)))
     signed = written(signed, "line-signatures")
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{(b + step) % HASHES}") for step in (0, 5, 11))) for b in range(BANDS)]
+    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{(b + step) % HASHES}") for step in STEPS)) for b in range(HASHES)]
     members = signed.select("id", F.explode(F.array(*keys)).alias("bucket"))
-    sets: list[DataFrame] = []
+    # Seven min-hashes to a number, eight bits of each.
+    packed = [sum((F.shiftleft(F.col(f"m{i + k}").cast("long").bitwiseAND(F.lit(255)), 8 * k) for k in range(7)), F.lit(0).cast("long")) for i in range(0, HASHES, 7)]
+    prints = signed.select("id", F.array(*packed).alias("print"))
+    texts: list[DataFrame] = []
 
     def alike(one: Column, other: Column) -> Column:
         shared, total = F.size(F.array_intersect(one, other)), F.size(one) + F.size(other)
         return (100 * F.least(F.size(one), F.size(other)) >= THRESHOLD * F.greatest(F.size(one), F.size(other))) & (100 * shared >= THRESHOLD * (total - shared))
 
+    def sets(ids: DataFrame) -> DataFrame:
+        needed = join_checked(texts[0], written(ids.distinct(), "lines-needed"), "id", "left_semi")
+        return written(needed.select("id", F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s))).alias("items")), "line-sets")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "line-pairs")
-        if not sets:  # the first round's pairs hold every line that later ones do
+        if not texts:  # the first round's pairs hold every line that later ones do
             # Each line is read at one of its places.
             place = F.xxhash64("doc_id", "line_no")
             needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             needed = written(places.join(needed, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place")), "lines-needed")
             found = join_checked(lines, needed, "id", "inner").where(place == F.col("place"))
-            sets.append(written(found.select("id", F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s))).alias("items")), "line-sets"))
-        a, b = (sets[0].select(F.col("id").alias(k), F.col("items").alias(f"x{k}")) for k in "ab")
-        return pairs.join(a, "a").join(b, "b").where(alike(F.col("xa"), F.col("xb"))).select("a", "b")
+            texts.append(written(found.select("id", "normal"), "line-texts"))
+        a, b = (prints.select(F.col("id").alias(k), F.col("print").alias(f"x{k}")) for k in "ab")
+        other = [F.col("xa")[i].bitwiseXOR(F.col("xb")[i]) for i in range(HASHES // 7)]
+        same = sum(((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for x in other for k in range(7)), F.lit(0))
+        close = written(pairs.join(a, "a").join(b, "b").where(same >= LEAST).select("a", "b"), "close-pairs")
+        items = sets(close.select(F.explode(F.array("a", "b")).alias("id")))
+        a, b = (items.select(F.col("id").alias(k), F.col("items").alias(f"x{k}")) for k in "ab")
+        return close.join(a, "a").join(b, "b").where(alike(F.col("xa"), F.col("xb"))).select("a", "b")
 
     def rest(live: DataFrame) -> DataFrame:
         # The sets are compared inside the join, which large buckets' rows are split over; only links leave it.
-        one = live.join(sets[0], "id").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("items").alias("xa"))
-        two = live.join(sets[0], "id").select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("items").alias("xb"))
+        items = sets(live.select("id"))
+        one = live.join(items, "id").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("items").alias("xa"))
+        two = live.join(items, "id").select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("items").alias("xb"))
         return one.hint("merge").join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike(F.col("xa"), F.col("xb"))).select("a", "b")
 
     return bucket_components(members, confirm, rest, rounds=3)

@@ -196,3 +196,23 @@ def test_lines_of_odd_rows(spark):
     rows = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, "same line here"), (2, "Same line here"), (5, "own"), (5, "own")]
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def removed_lines(spark, lines):
+    """Whether each line, in a document of its own, is removed: by the operator, and by comparing all pairs of full sets."""
+    sets = [{n[i : i + 5] for i in range(max(1, len(n) - 4))} for n in (" ".join(line.lower().split()) for line in lines)]
+    root = grouped([(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])], range(len(sets)))
+    rows = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    return [r.n_removed == 1 for r in sorted(rows, key=lambda r: r.doc_id)], [root[i] != i for i in range(len(lines))]
+
+
+def test_lines_with_a_changed_letter_are_those_of_brute_force(spark):
+    pick = random.Random(9)
+    lines = []
+    for _ in range(80):
+        line = " ".join("".join(pick.choices("abcdeghijklmnop", k=pick.randint(2, 9))) for _ in range(pick.randint(6, 15)))
+        at = pick.randrange(len(line))
+        lines += [line, line[:at] + "z" + line[at + 1 :]]
+    lines += ["abc", "abd", "x"]
+    got, want = removed_lines(spark, lines)
+    assert got == want and sum(want) > 60
