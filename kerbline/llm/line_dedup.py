@@ -1,6 +1,6 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-A line is lower-cased and trimmed. Its set holds the shingles of ``SHINGLE`` characters that begin at each of its places; a
+A line is lower-cased and trimmed, each run of white space in it is one space. Its set holds the shingles of ``SHINGLE`` characters that begin at each of its places; a
 shorter line is one shingle. The signature is ``HASHES`` min-hashes: the smallest of 32 bits of each hash from a place of its
 own, XOR a fixed number. Bands take ``len(STEPS)`` of them each, any two bands share one at most: a pair at the threshold is
 missed with probability 0.0022. Candidate pairs from the bands of which ``LEAST`` min-hashes agree, five standard deviations
@@ -30,7 +30,8 @@ def _shingles(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """Lines that aren't blank, of documents with an id: place, normal form and its hash."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.expr(r"btrim(line, ' \t\r\f\u000b')").alias("normal")).where("normal <> ''").withColumn("id", F.xxhash64("normal"))
+    normal = F.trim(F.regexp_replace("line", r"[\s\u00a0\u3000]+", " "))
+    return rows.select("doc_id", "line_no", normal.alias("normal")).where("normal <> ''").withColumn("id", F.xxhash64("normal"))
 
 
 def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:

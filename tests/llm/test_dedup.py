@@ -216,3 +216,21 @@ def test_lines_with_a_changed_letter_are_those_of_brute_force(spark):
     lines += ["abc", "abd", "x"]
     got, want = removed_lines(spark, lines)
     assert got == want and sum(want) > 60
+
+
+def test_lines_of_any_script_and_white_space_are_those_of_brute_force(spark):
+    pick = random.Random(4)
+
+    def text(n):
+        return "".join(chr(pick.randrange(0x4E00, 0x9000)) for _ in range(n))
+
+    lines = []
+    for n in (12, 31, 50, 63, 65, 90):
+        own = text(n)
+        lines += [own, own[:-1] + "x", own[: n // 2] + "x" + own[n // 2 + 1 :], "1. " + own, "1. " + own[:-1] + "y"]
+    long, rest = text(63), text(70)
+    lines += [f"{long} {rest}", f"{long}ab {rest}"]
+    lines += ["off to a tab and back\toff", "off to  a tab\u00a0and back off ", "\u3000off to a tab and back off"]
+    lines += ["fluffy ends of a line in f", "luffy ends of a line in", "f", "ff", "fff"]
+    got, want = removed_lines(spark, lines)
+    assert got == want and sum(want) > 20
