@@ -3,8 +3,8 @@
 A page becomes a small tree of block elements. Some pages of each host are merged into one skeleton: simple tree matching, a
 dynamic program over the children of equal nodes, aligns each with what is there, and unmatched nodes join it. All pages are
 aligned with their host's skeleton, which gives each block of text a slot; how many different pages of the host hold the same
-text in the same slot is counted over the whole table. Slots with constant text are the template, the varying ones content.
-Where a page marks its article, only that is looked at, and a slot of it is template only if nearly all pages agree.
+text in the same slot, and how many have the slot at all, is counted over the whole table. Slots with constant text are the
+template, the varying ones content. A marked article is a hint only: in it, more of the pages must agree.
 """
 
 import hashlib
@@ -22,8 +22,9 @@ from kerbline.llm.common import find_package, map_batches, written
 
 #: Pages that a host's skeleton is merged from; slots are counted over all pages.
 SKELETON_PAGES = 6
-#: Different pages, and share of a host's, from which on a text is template: outside and inside a marked article.
-CONSTANT = {False: (3, 0.5), True: (8, 0.9)}
+#: Different pages from which on a text is template, and its share of the host's pages that have the slot: outside and inside a
+#: marked article.
+CONSTANT = {False: (3, 0.5), True: (3, 0.9)}
 #: Characters of skeletons or of template keys that are broadcast at most.
 BROADCAST_CHARS = 16_000_000
 
@@ -68,9 +69,11 @@ def _attributes(text: str) -> dict[str, str]:
 def _unwanted(tag: str, attributes: dict[str, str], article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not article):
         return True
-    if not attributes or tag in ("body", "html", "main", "article"):
+    if not attributes or tag in ("body", "html", "main"):
         return False
-    words = set(re.findall(r"[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    # An article's classes often name its subjects (tag-social): only the first word of each says what it is.
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    words = set(re.findall(r"(?<!\S)[a-z]+" if tag == "article" else r"[a-z]+", names))
     return bool(words & HINTS or (not article and words & OUTSIDE_HINTS) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true")
 
 
@@ -232,7 +235,7 @@ def blocks(root: Node, slots: dict[int, int]) -> list[tuple[str, str, bool]]:
                 visit(child, str(slots[id(child)]) if id(child) in slots else f"{slot}/{child.label}")
 
     visit(root, "0")
-    return [b for b in out if b[2]] if any(b[2] for b in out) else out
+    return out
 
 
 def _skeletons(pages: pd.DataFrame) -> pd.DataFrame:
@@ -243,12 +246,16 @@ def _skeletons(pages: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pages["host"].iloc[0]], "skeleton": [json.dumps(number(skeleton), separators=(",", ":"))]})
 
 
+def _slot(slot: str) -> int:
+    return int.from_bytes(hashlib.blake2b(slot.encode(), digest_size=4).digest(), "little", signed=True)
+
+
 def _key(slot: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{slot}|{text}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _blocked(batches: Batches) -> Batches:
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("text", pa.string()), ("article", pa.bool_())]))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("key", pa.int64()), ("text", pa.string()), ("article", pa.bool_())]))
     held: dict[str, list] = {}
     for batch in batches:
         found, digests = [], []
@@ -260,7 +267,7 @@ def _blocked(batches: Batches) -> Batches:
                 held[skeleton] = json.loads(skeleton)
             slots = align(held[skeleton], root) if skeleton is not None else {}
             own = blocks(root, slots)
-            found.append([{"key": _key(slot, text), "text": text, "article": article} for slot, text, article in own])
+            found.append([{"slot": _slot(slot), "key": _key(slot, text), "text": text, "article": article} for slot, text, article in own])
             digests.append(_key("", "\n".join(b[1] for b in own)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(found, kind), pa.array(digests, pa.int64())], ["page_id", "url", "host", "blocks", "digest"])
 
@@ -281,14 +288,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     find_package(pages.sparkSession)
     skeletons = written(some.groupBy("host").applyInPandas(_skeletons, "host string, skeleton string"), "skeletons")
     chars = skeletons.agg(F.sum(F.length("skeleton"))).first()[0] or 0
-    kind = "page_id long, url string, host string, blocks array<struct<key: long, text: string, article: boolean>>, digest long"
+    kind = "page_id long, url string, host string, blocks array<struct<slot: int, key: long, text: string, article: boolean>>, digest long"
     cut = written(map_batches(_joined(rows, skeletons, chars), _blocked, kind), "blocks")
-    held = cut.select("host", "digest", F.explode("blocks").alias("b")).select("host", "digest", "b.key", "b.article").distinct()
-    counts = held.groupBy("host", "key", "article").agg(F.count("*").alias("n"))
-    totals = cut.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    held = cut.select("host", "digest", F.explode("blocks").alias("b")).select("host", "digest", "b.slot", "b.key", "b.article").distinct()
     (least, share), (least_in, share_in) = CONSTANT[False], CONSTANT[True]
-    constant = F.when(F.col("article"), (F.col("n") >= least_in) & (F.col("n") >= share_in * F.col("total"))).otherwise((F.col("n") >= least) & (F.col("n") >= share * F.col("total")))
-    template = counts.join(totals, "host").where(constant).groupBy("host").agg(F.collect_set("key").alias("template"))
+    counts = held.groupBy("host", "slot", "key", "article").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("article"), least_in).otherwise(least))
+    totals = held.select("host", "slot", "digest").distinct().groupBy("host", "slot").agg(F.count("*").alias("total"))
+    constant = F.col("n") >= F.when(F.col("article"), share_in).otherwise(share) * F.col("total")
+    template = counts.join(totals, ["host", "slot"]).where(constant).groupBy("host").agg(F.collect_set("key").alias("template"))
     template = written(template, "template")
     chars = 8 * (template.agg(F.sum(F.size("template"))).first()[0] or 0)
     kept = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.array_contains("template", b["key"]))

@@ -204,3 +204,17 @@ def test_simple_tree_matching():
     slots = html_extraction.align(skeleton, root)
     assert slots[id(root.children[0].children[0])] == skeleton[1][0][1][1][2]
     assert html_extraction._score(skeleton, root, {}) == 6
+
+
+def test_articles_are_a_hint_only(spark):
+    """Main text outside of teaser articles, comments marked as articles, constant text in articles, slots that few pages have."""
+    page = """<body><div><p>Our site</p></div><main><h1>Head {n}</h1><p>Long story {n}</p></main><article><p>Teaser {n}</p></article>
+<article class="comment odd"><p>Nice {n}</p></article></body>"""
+    rows = [(i, "http://a/", page.format(n=i)) for i in range(5)]
+    inside = """<body><article class="post tag-social"><h2>Head {n}</h2><p>Story {n}</p><div><p>Sign our petition</p></div></article></body>"""
+    rows += [(10 + i, "http://b/", inside.format(n=i)) for i in range(5)]
+    rows += [(20 + i, "http://c/", "<body><p>Story {n}</p>{box}</body>".format(n=i, box="<div><p>A box of some pages</p></div>" if i % 3 == 0 else "")) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [f"Head {i}\nLong story {i}\nTeaser {i}" for i in range(5)]
+    assert [got[10 + i] for i in range(5)] == [f"Head {i}\nStory {i}" for i in range(5)]
+    assert [got[20 + i] for i in range(12)] == [f"Story {i}" for i in range(12)]
