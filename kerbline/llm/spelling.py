@@ -53,7 +53,7 @@ def _parts(word: Column) -> Column:
 def near_words(counted: DataFrame) -> DataFrame:
     """``(word, n, other, other_n)``: all ordered pairs of words of ``counted (word, n)`` that are exactly one edit apart."""
     parted = counted.select("word", "n", F.length("word").alias("length"), _parts(F.col("word")).alias("parts"))
-    parted = parted.withColumn("all", _folded(F.col("parts")))
+    parted = written(parted.withColumn("all", _folded(F.col("parts"))), "word-parts")
 
     def signatures(length: Column, left_out: list[tuple[int, ...]]) -> DataFrame:
         keys = []
