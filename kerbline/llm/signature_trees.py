@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm import hashing
-from kerbline.llm.common import find_package, join_checked, map_batches, written
+from kerbline.llm.common import find_package, map_batches, written
 from kerbline.llm.components import components
 
 SHINGLE = 3
 THRESHOLD = 90  # per cent
+#: The smallest size of a range in per cent of its largest; no more than any threshold, so that alike sets are neighbours.
+WIDTH = 80
 BITS, FAN = 1024, 8
 #: Shingles of a block of a large cluster; a task holds two blocks, or small clusters of that many in all: some 10 MB.
 BLOCK = 500_000
@@ -30,26 +32,26 @@ _PLACE, _PART, _KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814
 Batches = Iterator[pa.RecordBatch]
 
 
-def _size_ranges(threshold: int, most: int) -> np.ndarray:
-    """First sizes of ranges, up to one behind ``most``: alike sets lie in one range or in neighbouring ones."""
+def _size_ranges(most: int) -> np.ndarray:
+    """First sizes of ranges, up to two behind ``most``: alike sets lie in one range or in neighbouring ones."""
     first = [1]
     while first[-1] <= most:
-        first.append(100 * first[-1] // threshold + 1)
-    return np.array([*first, 100 * first[-1] // threshold + 1], np.int64)
+        first.append(100 * first[-1] // WIDTH + 1)
+    return np.array([*first, 100 * first[-1] // WIDTH + 1], np.int64)
 
 
 def part_keys(items: np.ndarray, threshold: int) -> np.ndarray:
-    """Keys of the parts of a set (sorted hashes), for its own range of sizes and the next one: alike sets share a key.
+    """Keys of the parts of a set (sorted hashes), for its own range of sizes and the next one if sets of that can be like it: alike sets share a key.
 
     In a range that allows d differences there are d + 1 + z parts, of which z + 1 at least are equal. A set with no more than
     z empty parts can do without these, others name them as well.
     """
     if not len(items):
         return np.zeros(0, np.int64)
-    mixed, ranges, keys = hashing.mix(items ^ _PART), _size_ranges(threshold, len(items)), []
+    mixed, ranges, keys = hashing.mix(items ^ _PART), _size_ranges(len(items)), []
     own = int(np.searchsorted(ranges, len(items), "right")) - 1
-    for at in (own, own + 1):
-        last = int(ranges[at + 1]) - 1 if at + 1 < len(ranges) else 100 * int(ranges[at]) // threshold
+    for at in (own, own + 1) if 100 * len(items) // threshold >= ranges[own + 1] else (own,):
+        last = int(ranges[at + 1]) - 1
         differences = (100 - threshold) * 2 * last // (100 + threshold)
         if not differences:
             continue  # only equal sets are alike
@@ -269,7 +271,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, threshold: int = T
 
     members = signed.where("size(keys) > 0").join(reps, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket"))
     ends = written(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot <> high").select("bucket", "pivot"), "shared-parts")
-    met = written(join_checked(members, ends, "bucket", "inner").where("id <> pivot").select("id", "pivot").distinct(), "part-pairs")
+    # The members are too many to be held against a broadcast table for long: both sides are shuffled at every size.
+    met = written(members.hint("merge").join(ends, "bucket").where("id <> pivot").select("id", "pivot").distinct(), "part-pairs")
     clusters = written(components(met.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "clusters").select("id", F.col("label").alias("cluster"))
     # A doc_id with several texts has a set for each.
     sets = map_batches(texts.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "id long, n_shingles long, items binary")
