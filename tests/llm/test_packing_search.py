@@ -157,13 +157,14 @@ def test_stages_on_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"]
     twice = docs.unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(9).cast("long")))
     lines = corpus_pipeline.drop_repeated_lines(spark, twice, DATA)
-    assert lines.columns == docs.columns and sorted(str(r.doc_id) for r in lines.collect()) == ["1", "1", "2", "3", "4", "None"]
+    # The lines of documents 1 and 2 share 23 of 29 shingles: nothing is left of 2, nor of its copy 9.
+    assert lines.columns == docs.columns and sorted(str(r.doc_id) for r in lines.collect()) == ["1", "1", "3", "4", "None"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).collect() == []
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -171,7 +172,9 @@ def test_queries_match_sql(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     frame = QUERIES[name](spark, DATA)
     cursor = duck.execute(f"SELECT {', '.join(frame.columns)} FROM ({ORACLES[name]})")
-    assert sorted(map(tuple, frame.collect())) == sorted(cursor.fetchall())
+    by_id = lambda row: (row[0], str(row))
+    assert sorted(map(tuple, frame.collect()), key=by_id) == sorted(cursor.fetchall(), key=by_id)
