@@ -18,7 +18,7 @@ _RADIX_BITS = 4
 _RADIX = 1 << _RADIX_BITS
 
 
-def _sliced(states: DataFrame, width: int, reach: int) -> DataFrame:
+def sliced(states: DataFrame, width: int, reach: int) -> DataFrame:
     home = F.floor(F.col("t") / F.lit(width)).cast("bigint")
     shown = F.when(F.col("t") - home * width <= reach, F.array(home, home - 1)).otherwise(F.array(home))
     return states.select("*", home.alias("_home"), F.explode(shown).alias("_slice"))
@@ -97,7 +97,7 @@ def vehicle_futures(
     )
     # A missing vehicle part is its own value, as it is once features are default-filled.
     part = [*vehicle, "_slice"]
-    frame = _sliced(states, width, reach)
+    frame = sliced(states, width, reach)
     frame = _last_within(frame, part, horizons)
     if next_stop_seconds is not None:
         low, high = seq_bounds or sequence_bounds(rows)

@@ -1,13 +1,16 @@
 """Streams give what the batch gives, whatever the batch borders and replays."""
 
 import json
+import os
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from kerbline.operators import labels
 from kerbline.plans import pipeline
 from kerbline.sources.upsert import append_batch, read_latest
-from kerbline.streaming import ingest
+from kerbline.streaming import ingest, stateful
 from tests import sample_city
 
 
@@ -100,4 +103,130 @@ def test_late_rows_change_earlier_labels(rows):
     late = frame.where("snapshot_id = 2")
     recent = frame.where(ingest.look_back(late, 1800))
     got = {r["snapshot_id"]: r["target_no_seat_next_station"] for r in ingest.relabel(recent, late).collect()}
-    assert got == {1: 1, 2: 0, 3: 0}
+    assert got == {1: 1, 2: 0}  # row 3 lies out of reach and isn't read
+
+
+def landed(path, shots):
+    """One landing file of (route, vehicle, plate, second of a day, stop, seats)."""
+    lines = [
+        json.dumps({"collected_at": f"2026-05-20T{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}+00:00", "routeId": str(r), "vehId": v, "plateNo": p, "stationId": "9", "stationSeq": str(q), "remainSeatCnt": str(n)})
+        for r, v, p, s, q, n in shots
+    ]
+    path.write_text("\n".join(lines) + "\n")
+
+
+def day_of_shots(seed=3):
+    """Rows of four vehicles, one of them unknown, over five hours."""
+    pick = random.Random(seed)
+    rows = set()
+    for v in ("1", "2", "3", None):
+        for s in range(0, 18_000, 240):
+            if pick.random() < 0.8:
+                rows.add((1, v, f"P{v}" if v else None, s + pick.randrange(200), pick.randrange(1, 9), pick.choice([0, 0, 1, 2, 3, 9])))
+    return sorted(rows, key=lambda r: r[3])
+
+
+def shuffled_files(folder, rows, seed, late_share=0.1):
+    """Files in time order but for some rows that come much later or earlier files again."""
+    pick = random.Random(seed)
+    folder.mkdir()
+    files = [[] for _ in range(6)]
+    for i, row in enumerate(rows):
+        at = i * 5 // len(rows)
+        files[pick.randrange(at, 6) if pick.random() < late_share else at].append(row)
+        if pick.random() < 0.1:
+            files[pick.randrange(at, 6)].append(row)
+    for i, shots in enumerate(files):
+        landed(folder / f"f{i:02d}.json", shots)
+        os.utime(folder / f"f{i:02d}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+def test_ingest_state_is_bounded_and_counts_equal_batch(spark, tmp_path):
+    rows = day_of_shots()
+    shuffled_files(tmp_path / "in", rows, 5, 0.3)
+    stream = ingest.read_landing(spark, str(tmp_path / "in"), 1)
+    log, counts, cp = (str(tmp_path / n) for n in ("log", "counts", "cp"))
+    held = []
+    for _ in range(2):
+        query = stateful.ingest_stream(stream, log, counts, cp, delay="10 minutes")
+        query.awaitTermination(300)
+        held += [max(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    got = spark.read.parquet(log)
+    assert got.count() == len(rows) == got.select("collected_at", "veh_id", "station_seq", "remain_seat_cnt").distinct().count()
+    assert held and max(held) < len(rows) / 2, "keys leave the state"
+    # One row hours ahead closes all windows; it lies in an open one itself.
+    landed(tmp_path / "in" / "z.json", [(1, "8", None, 80_000, 1, 1), *rows[:3]])
+    for _ in range(2):
+        stateful.ingest_stream(stream, log, counts, cp, delay="10 minutes").awaitTermination(300)
+    total = {str(r["bucket"])[11:16]: r["rows"] for r in stateful.read_counts(spark.read.parquet(counts)).collect()}
+    want = Counter(f"{r[3] // 3600:02d}:{r[3] // 600 % 6}0" for r in rows)
+    assert total == dict(want) and spark.read.parquet(log).count() == len(rows) + 1
+
+
+def feature_files(spark, folder, rows, seed):
+    """The rows' features in batches, as the feature stream leaves them, some rows late."""
+    pick = random.Random(seed)
+    parts = [[] for _ in range(5)]
+    for i, (r, v, p, s, q, n) in enumerate(rows):
+        at = i * 4 // len(rows)
+        parts[pick.randrange(at, 5) if pick.random() < 0.15 else at].append((f"id{i}", r, v and int(v), p, s, q, int(n == 0), int(n <= 2), int(n <= 5)))
+    schema = "snapshot_id STRING, route_id BIGINT, veh_id BIGINT, plate_no STRING, sec BIGINT, station_seq INT, is_no_seat INT, is_low_seat_2 INT, is_low_seat_5 INT"
+    out = None
+    for k, part in enumerate(parts):
+        frame = spark.createDataFrame(part, schema).withColumn("collected_at", F.timestamp_seconds(F.lit(1_779_235_200) + F.col("sec")))
+        yield k, frame.withColumn("service_date", F.to_date("collected_at"))
+
+
+def test_final_labels_equal_batch_with_late_rows(spark, tmp_path):
+    rows = [r for r in day_of_shots(9) if r[3] < 11_000]
+    features, out, cp = (str(tmp_path / n) for n in ("features", "labels", "cp"))
+    held = []
+    for k, frame in feature_files(spark, features, rows, 2):
+        append_batch(frame.coalesce(1), features, k, ["service_date"])
+        built = ingest.read_feature_batches(spark, features)
+        query = stateful.final_label_stream(built, features, out, cp, delay="10 minutes")
+        query.awaitTermination(300)
+        held += [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    whole = labels.label_table(read_latest(spark, features, ["snapshot_id"]), micros=F.unix_micros("collected_at"))
+    want = {r["snapshot_id"]: r for r in whole.collect()}
+    got = {r["snapshot_id"]: r for r in read_latest(spark, out, ["snapshot_id"]).select(whole.columns).collect()}
+    last = max(r[3] for r in rows) - 600
+    final = {f"id{i}" for i, r in enumerate(rows) if r[3] + 1800 <= last}
+    assert final <= set(got) and len(final) > 60
+    assert {i: got[i] for i in final} == {i: want[i] for i in final}
+    assert held[-1] < 20, "slices that are done hold no state"
+
+
+def test_features_equal_batch_in_any_order(spark, tmp_path):
+    """Context after its snapshots, and a vehicle that shows more free seats later, change rows already built."""
+    city = sample_city.tables(spark)
+    polls = [tmp_path / "all"]
+    land(city, polls[0])
+    files = sorted(polls[0].iterdir())
+    (tmp_path / "in").mkdir()
+    more = [(5000001, "9", "70-101", 3600 * 23 + 900, 3, 44)]  # the plate of earlier rows of this route
+    context = str(tmp_path / "weather")
+    rows = city["weather"].orderBy("observed_at").collect()
+
+    def run():
+        known = {**city, "weather": spark.read.parquet(context)}
+        landed_rows = ingest.read_landing(spark, str(tmp_path / "in"), 1)
+        changes = ingest.context_changes(spark.readStream.schema(city["weather"].schema).parquet(context), "observed_at")
+        ingest.feature_stream(landed_rows, lambda: {k: v for k, v in known.items() if k != "log"}, str(tmp_path / "features"), str(tmp_path / "cp"), changes=changes).awaitTermination(300)
+
+    spark.createDataFrame(rows[2:], city["weather"].schema).write.mode("append").parquet(context)
+    for name in (files[1], files[0]):
+        (tmp_path / "in" / name.name).write_text(name.read_text())
+    run()
+    spark.createDataFrame(rows[:2], city["weather"].schema).write.mode("append").parquet(context)
+    landed(tmp_path / "in" / "more.json", more)
+    run()
+    got = read_latest(spark, str(tmp_path / "features"), ["snapshot_id"])
+    landed_all = ingest.read_landing(spark, str(tmp_path / "in"), 1000)
+    all_rows = spark.read.schema(f"collected_at STRING, {ingest.LOCATION_ITEM}").json(str(tmp_path / "in"))
+    snapshots = ingest.with_snapshot_id(ingest.location_snapshots(all_rows).dropDuplicates(list(ingest.SNAPSHOT_KEY)))
+    batch = pipeline.build_features({**city, "snapshots": snapshots})
+    assert landed_all.columns and got.count() == batch.count() > 80
+    columns = batch.columns
+    assert got.select(columns).exceptAll(batch).count() == 0
+    assert got.where("plate_no = '70-101' AND estimated_capacity < 44").count() == 0 and got.where("plate_no = '70-101'").count() > 1
