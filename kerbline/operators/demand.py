@@ -26,6 +26,42 @@ def vehicles_per_hour(features: DataFrame) -> DataFrame:
     )
 
 
+def vehicle_bitmaps(features: DataFrame) -> DataFrame:
+    """What a set of rows says of its vehicles, in a form that merges: a bitmap of vehicle ids per (route, weekday, hour, id range).
+
+    A group that only knows rows without a vehicle keeps an empty bitmap.
+    """
+    cells = features.groupBy("route_id", "day_of_week", "hour", F.bitmap_bucket_number("veh_id").alias("id_range"))
+    return cells.agg(F.bitmap_construct_agg(F.bitmap_bit_position("veh_id")).alias("vehicles"))
+
+
+def merge_bitmaps(stored: DataFrame) -> DataFrame:
+    """Bitmaps of several sets of rows, in any order and with any overlap, as one of all of them."""
+    return stored.groupBy("route_id", "day_of_week", "hour", "id_range").agg(F.bitmap_or_agg("vehicles").alias("vehicles"))
+
+
+def vehicles_of_bitmaps(stored: DataFrame) -> DataFrame:
+    """``vehicles_per_hour`` of merged bitmaps, without a look at the rows."""
+    counts = stored.groupBy("route_id", "day_of_week", "hour").agg(F.sum(F.bitmap_count("vehicles")).cast("double").alias("_n"))
+    return counts.select(
+        "route_id", "day_of_week", "hour", F.greatest("_n", F.lit(C.DEFAULT_VEHICLES_PER_HOUR)).alias("vehicles_per_hour")
+    )
+
+
+def demand_sums(demand: DataFrame) -> DataFrame:
+    """Boardings and days per stop, which add up over batches of days."""
+    return demand.groupBy("station_id").agg(F.sum("boarding_total").alias("boardings"), F.count("boarding_total").alias("days"))
+
+
+def merge_demand(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("station_id").agg(F.sum("boardings").alias("boardings"), F.sum("days").alias("days"))
+
+
+def average_of_sums(stored: DataFrame) -> DataFrame:
+    """``station_daily_average`` of merged sums."""
+    return stored.select("station_id", F.coalesce(F.try_divide("boardings", "days"), F.lit(0.0)).alias("station_daily_boarding_avg"))
+
+
 def _week_grid() -> Column:
     """All 168 (weekday, hour, ratio) cells as one literal array, to be exploded next to each stop and route."""
     cells = [
@@ -43,11 +79,16 @@ def expected_boardings(
 
     ``normalise`` scales the hour ratios to sum to one; off by default, as published they sum to 1.027.
     """
-    cells = route_share(route_stations).join(station_daily_average(demand), "station_id")
+    return boardings_of(station_daily_average(demand), route_stations, vehicles_per_hour(features), normalise=normalise)
+
+
+def boardings_of(averages: DataFrame, route_stations: DataFrame, vehicles_seen: DataFrame, *, normalise: bool = False) -> DataFrame:
+    """``expected_boardings`` from averages and vehicle counts, wherever these come from."""
+    cells = route_share(route_stations).join(averages, "station_id")
     grid = cells.select("*", F.inline(_week_grid()))
     if normalise:
         grid = grid.withColumn("hour_demand_ratio", F.col("hour_demand_ratio") / F.lit(sum(C.HOUR_DEMAND_RATIOS)))
-    grid = grid.join(vehicles_per_hour(features), ["route_id", "day_of_week", "hour"], "left")
+    grid = grid.join(vehicles_seen, ["route_id", "day_of_week", "hour"], "left")
     vehicles = F.coalesce("vehicles_per_hour", F.lit(C.DEFAULT_VEHICLES_PER_HOUR))
     expected = (
         F.col("station_daily_boarding_avg") * F.col("hour_demand_ratio") * F.col("route_share") / F.greatest(vehicles, F.lit(1.0))

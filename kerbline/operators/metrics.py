@@ -55,10 +55,32 @@ def roc_auc(preds: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     Rows are counted per distinct score first. Running sums are taken inside fine score buckets and then over the
     buckets, so no task ever walks all distinct scores.
     """
-    group = list(group)
     by_score = preds.groupBy(*group, "probability").agg(
         F.sum("actual").cast("double").alias("pos"), F.sum(1 - F.col("actual")).cast("double").alias("neg")
     )
+    return _area(by_score, list(group))
+
+
+def score_counts(preds: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Rows per distinct score and label: the form in which predictions of a period are kept for later metrics.
+
+    Counts of periods add up (``merge_counts``); AUC, curves and calibration of any union of periods follow from them exactly.
+    """
+    return preds.groupBy(*group, "probability", "actual").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_counts(stored: DataFrame) -> DataFrame:
+    return stored.groupBy(*[c for c in stored.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
+def auc_of_counts(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """``roc_auc`` of score counts."""
+    n = F.col("n") * F.when(F.col("actual") == 1, 1).otherwise(0)
+    by_score = counts.groupBy(*group, "probability").agg(F.sum(n).cast("double").alias("pos"), F.sum(F.col("n") - n).cast("double").alias("neg"))
+    return _area(by_score, list(group))
+
+
+def _area(by_score: DataFrame, group: list[str]) -> DataFrame:
     by_score = by_score.withColumn("_bucket", F.floor(F.col("probability") * _SCORE_BUCKETS))
     inside = Window.partitionBy(*group, "_bucket").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0.0))
@@ -110,9 +132,14 @@ def group_metrics(preds: DataFrame, column: str, threshold: float = 0.5) -> Data
 
 def threshold_curve(preds: DataFrame, thresholds: Sequence[float] = C.THRESHOLDS, group: Sequence[str] = ()) -> DataFrame:
     """Alerts and confusion rates per threshold, from one pass that counts rows per (score band, label)."""
+    return curve_of_counts(preds.withColumn("n", F.lit(1)), thresholds, group)
+
+
+def curve_of_counts(counts: DataFrame, thresholds: Sequence[float] = C.THRESHOLDS, group: Sequence[str] = ()) -> DataFrame:
+    """``threshold_curve`` of score counts."""
     group = list(group)
     fired = sum((F.col("probability") >= t).cast("int") for t in thresholds)
-    bands = preds.groupBy(*group, fired.alias("_fired"), "actual").agg(F.count(F.lit(1)).alias("n"))
+    bands = counts.groupBy(*group, fired.alias("_fired"), "actual").agg(F.sum("n").alias("n"))
     marks = F.array(
         *[F.struct(F.lit(i).alias("_i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(sorted(thresholds))]
     )
@@ -140,11 +167,17 @@ def threshold_curve(preds: DataFrame, thresholds: Sequence[float] = C.THRESHOLDS
 
 def calibration_bins(preds: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width score bins (the last one closed); empty bins are zeros."""
+    return bins_of_counts(preds.withColumn("n", F.lit(1)), bins)
+
+
+def bins_of_counts(counts: DataFrame, bins: int = 10) -> DataFrame:
+    """``calibration_bins`` of score counts."""
     index = sum((F.col("probability") >= i / bins).cast("int") for i in range(1, bins))
-    counted = preds.groupBy(index.alias("bin_index")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("probability").alias("_p"), F.avg("actual").alias("_y")
+    rows = F.sum("n")
+    counted = counts.groupBy(index.alias("bin_index")).agg(
+        rows.alias("rows"), (F.sum(F.col("probability") * F.col("n")) / rows).alias("_p"), (F.sum(F.col("actual") * F.col("n")) / rows).alias("_y")
     )
-    edges = preds.sparkSession.range(bins).select(
+    edges = counts.sparkSession.range(bins).select(
         F.col("id").cast("int").alias("bin_index"),
         F.format_string("%.1f-%.1f", F.col("id") / bins, (F.col("id") + 1) / bins).alias("bin"),
     )

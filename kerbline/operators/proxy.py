@@ -43,12 +43,31 @@ def proxy_statistics(history: DataFrame, target: str, *, require_next_station: b
     multiply them. The upper median ``sorted[n // 2]`` is the smallest value whose running count exceeds ``n // 2``,
     so no group is ever collected. ``require_next_station`` rates the target only over rows with a next stop.
     """
+    return statistics_of(count_cube(history, target, require_next_station=require_next_station))
+
+
+def count_cube(history: DataFrame, target: str, *, require_next_station: bool = False) -> DataFrame:
+    """Counts per finest key and observed values, from which all levels' statistics and rates follow.
+
+    Cubes of several sets of rows that don't overlap add up (``merge_cubes``), so a new day costs its own rows.
+    """
     rated = (F.col("has_next_station") == 1) if require_next_station else F.col(target).isNotNull()
-    counted = history.groupBy(*KEYS, "remain_seat_cnt", "crowded", "estimated_capacity").agg(
+    return history.groupBy(*KEYS, "remain_seat_cnt", "crowded", "estimated_capacity").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(rated).alias("n_rated"),
         F.coalesce(F.sum(F.when(rated, F.col(target))), F.lit(0)).alias("n_next_full"),
+        F.sum(target).alias("n_full"),
     )
+
+
+def merge_cubes(stored: DataFrame) -> DataFrame:
+    counts = ("n", "n_rated", "n_next_full", "n_full")
+    return stored.groupBy(*[c for c in stored.columns if c not in counts]).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def statistics_of(cube: DataFrame) -> DataFrame:
+    """``proxy_statistics`` of a merged cube."""
+    counted = cube.drop("n_full")
     # The hash leads the keys only to make sorting by them cheap: it nearly always decides a comparison at once.
     leveled = _on_all_levels(counted).withColumn("_hash", F.xxhash64("level", *KEYS))
     keys = ["_hash", "level", *KEYS]

@@ -22,7 +22,16 @@ def smoothed_rates(rows: DataFrame, target: str, alpha: float = 1.0) -> DataFram
 
     Rows are first counted on the finest key, so the grouping sets expand counts instead of rows.
     """
-    fine = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.sum(target).alias("_pos"))
+    return rates_of(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.sum(target).alias("_pos")), alpha)
+
+
+def rates_of_cube(cube: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``smoothed_rates`` of a stored count cube (``proxy.count_cube``)."""
+    return rates_of(cube.groupBy(*KEYS).agg(F.sum("n").alias("_n"), F.sum("n_full").alias("_pos")), alpha)
+
+
+def rates_of(fine: DataFrame, alpha: float) -> DataFrame:
+    """Rates of all levels from counts ``_n`` and ``_pos`` of the finest keys."""
     # grouping_id sets a bit, first key highest, for every key that is rolled up.
     ids = {name: sum(1 << (len(KEYS) - 1 - i) for i, k in enumerate(KEYS) if k not in keys) for name, keys in LEVELS}
     label = F.lit(None).cast("string")

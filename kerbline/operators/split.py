@@ -1,5 +1,7 @@
 """Chronological train / calibration / test splits, exact at any size."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.operators.ranking import cut_keys, first_rows, time_levels
@@ -70,7 +72,7 @@ def grouped_split_counts(rows: DataFrame, group: str, target: str, test_ratio: f
     )
 
 
-def earliest_test_rows(test: DataFrame, micros: Column, row_id: Column, most: int) -> DataFrame:
-    """The first ``most`` test rows in time order (an optional cap of the back-test)."""
+def earliest_test_rows(test: DataFrame, micros: Column, row_id: Column, most: int | Callable[[Column], Column]) -> DataFrame:
+    """The first test rows in time order: so many (an optional cap of the back-test), or what ``most`` makes of their number."""
     levels = time_levels(micros, row_id)
-    return first_rows(test, [], levels, lambda n: F.least(n, F.lit(most))).where("in_first").drop("in_first")
+    return first_rows(test, [], levels, most if callable(most) else lambda n: F.least(n, F.lit(most))).where("in_first").drop("in_first")

@@ -198,6 +198,30 @@ def expected_boardings(spark, sf_dir):
     return demand.expected_boardings(W.demand(spark, sf_dir), W.route_stations(spark, sf_dir), _calendar(spark, sf_dir)).drop("source")
 
 
+def _halves(rows, by):
+    """Two batches of rows, as they come on different days."""
+    return [rows.where(F.pmod(by, F.lit(2)) == k) for k in (0, 1)]
+
+
+def _merged_vehicles(spark, sf_dir):
+    parts = [demand.vehicle_bitmaps(part) for part in _halves(_calendar(spark, sf_dir), F.xxhash64("veh_id", "hour"))]
+    return demand.vehicles_of_bitmaps(demand.merge_bitmaps(parts[0].unionByName(parts[1])))
+
+
+@query
+def vehicles_merged(spark, sf_dir):
+    """Vehicles per hour from the bitmaps of two batches of rows, as ``vehicles_per_hour`` counts them in all rows."""
+    return _merged_vehicles(spark, sf_dir)
+
+
+@query
+def boardings_merged(spark, sf_dir):
+    """Expected boardings from merged demand sums and vehicle bitmaps."""
+    days = [demand.demand_sums(part) for part in _halves(W.demand(spark, sf_dir), F.xxhash64(F.col("service_date").cast("string")))]
+    averages = demand.average_of_sums(demand.merge_demand(days[0].unionByName(days[1])))
+    return demand.boardings_of(averages, W.route_stations(spark, sf_dir), _merged_vehicles(spark, sf_dir)).drop("source")
+
+
 @query
 def boardings_summary(spark, sf_dir):
     day, stops = W.demand(spark, sf_dir), W.route_stations(spark, sf_dir)
@@ -323,7 +347,7 @@ def route_split_counts(spark, sf_dir):
 def earliest_test_rows(spark, sf_dir):
     rows = W.snapshots(spark, sf_dir).select("snapshot_id", "collected_at")
     test = split.chronological_split(rows, _micros(), F.col("snapshot_id")).where("split = 'test'")
-    return split.earliest_test_rows(test, _micros(), F.col("snapshot_id"), 500).select("snapshot_id")
+    return split.earliest_test_rows(test, _micros(), F.col("snapshot_id"), lambda n: F.ceil(n / 2)).select("snapshot_id")
 
 
 def _history(spark, sf_dir):
@@ -350,7 +374,10 @@ def _history(spark, sf_dir):
 
 @query
 def smoothed_rates(spark, sf_dir):
-    found = rates.smoothed_rates(_history(spark, sf_dir).where("NOT _future"), "y")
+    return _shown_rates(rates.smoothed_rates(_history(spark, sf_dir).where("NOT _future"), "y"))
+
+
+def _shown_rates(found):
     return found.select(
         "level",
         F.coalesce("canonical_route_name", F.lit("-")).alias("canonical_route_name"),
@@ -361,6 +388,25 @@ def smoothed_rates(spark, sf_dir):
     )
 
 
+def _merged_cube(spark, sf_dir):
+    """Count cubes of two batches of the past, added up."""
+    past = _history(spark, sf_dir).where("NOT _future")
+    cubes = [proxy.count_cube(part, "y", require_next_station=True) for part in _halves(past, F.col("snapshot_id"))]
+    return proxy.merge_cubes(cubes[0].unionByName(cubes[1]))
+
+
+@query
+def rates_merged(spark, sf_dir):
+    """Smoothed rates from count cubes of two batches, as ``smoothed_rates`` finds them in all rows."""
+    return _shown_rates(rates.rates_of_cube(_merged_cube(spark, sf_dir)))
+
+
+@query
+def proxy_merged(spark, sf_dir):
+    """Proxy statistics of all levels from count cubes of two batches."""
+    return _shown_statistics(proxy.statistics_of(_merged_cube(spark, sf_dir)))
+
+
 def _baseline_predictions(spark, sf_dir):
     rows = _history(spark, sf_dir)
     known = rates.smoothed_rates(rows.where("NOT _future"), "y")
@@ -383,7 +429,10 @@ def baseline_metrics(spark, sf_dir):
 
 @query
 def proxy_stats(spark, sf_dir):
-    found = proxy.proxy_statistics(_history(spark, sf_dir).where("NOT _future"), "y", require_next_station=True)
+    return _shown_statistics(proxy.proxy_statistics(_history(spark, sf_dir).where("NOT _future"), "y", require_next_station=True))
+
+
+def _shown_statistics(found):
     keys = [F.coalesce(F.col(k).cast("string"), F.lit("-")).alias(k) for k in proxy.KEYS]
     values = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in proxy.STATISTICS]
     return found.select("level", *keys, *values)
@@ -445,6 +494,27 @@ def calibration_error(spark, sf_dir):
     return metrics.calibration_error(W.predictions(spark, sf_dir))
 
 
+def _merged_scores(spark, sf_dir):
+    """Score counts of two periods, added up."""
+    periods = [metrics.score_counts(part) for part in _halves(W.predictions(spark, sf_dir), F.col("row_id"))]
+    return metrics.merge_counts(periods[0].unionByName(periods[1]))
+
+
+@query
+def auc_merged(spark, sf_dir):
+    return metrics.auc_of_counts(_merged_scores(spark, sf_dir))
+
+
+@query
+def curve_merged(spark, sf_dir):
+    return metrics.curve_of_counts(_merged_scores(spark, sf_dir))
+
+
+@query
+def bins_merged(spark, sf_dir):
+    return metrics.bins_of_counts(_merged_scores(spark, sf_dir))
+
+
 def _segmented(spark, sf_dir):
     preds = W.predictions(spark, sf_dir)
     return metrics.with_segment(preds, metrics.max_station_seq(preds))
@@ -907,7 +977,7 @@ def route_stratified_fit(spark, sf_dir):
 @query
 def platt_calibration(spark, sf_dir):
     found = diagnostics.calibration_comparison(_training(spark, sf_dir), target=C.DEFAULT_TARGET)
-    raw, calibrated = (found[f"{part}_metrics"].select(F.lit(part).alias("scores"), "*") for part in ("raw", "calibrated"))
+    raw, calibrated = (found[f"{part}_metrics"].select(F.lit(part).alias("scores"), F.lit(found["status"]).alias("status"), "*") for part in ("raw", "calibrated"))
     return raw.unionByName(calibrated)
 
 

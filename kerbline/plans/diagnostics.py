@@ -104,7 +104,9 @@ def calibration_comparison(rows: DataFrame, *, target: str, test_ratio: float =
     parts = {name: marked.where(F.col("split") == name).drop("split") for name in ("train", "calibration", "test")}
     sizes = {r["split"]: r["count"] for r in marked.groupBy("split").count().collect()}
     if sizes.get("train", 0) < 10 or sizes.get("test", 0) < 2:
-        return {"status": "skipped"}
+        # Too little to fit and judge: metrics of no rows, under this status.
+        none = rows.sparkSession.createDataFrame([], "row_id BIGINT, t BIGINT, actual INT, probability DOUBLE")
+        return {"status": "skipped", "sizes": sizes, "raw_metrics": metrics.classification_metrics(none, threshold), "calibrated_metrics": metrics.classification_metrics(none, threshold)}
     choice = M.choose_features(parts["train"])
     fitted = M.fit(parts["train"], target, M.logistic(l2), choice)
 

@@ -583,7 +583,7 @@ ORACLES = {
          round_even(CAST(p AS DOUBLE) / n, 6) AS positive_rate, CASE WHEN n < 2 THEN 1 ELSE 0 END AS skipped FROM r""",
     "earliest_test_rows": _OBS
     + f""", r AS (SELECT snapshot_id, row_number() OVER (ORDER BY t, snapshot_id) AS rn, count(*) OVER () AS n FROM obs)
-         SELECT snapshot_id FROM r WHERE rn > {_TRAIN_SIZE} AND rn <= {_TRAIN_SIZE} + 500""",
+         SELECT snapshot_id FROM r WHERE rn > {_TRAIN_SIZE} AND rn <= {_TRAIN_SIZE} + ceil((n - {_TRAIN_SIZE}) / 2)""",
     "smoothed_rates": f"{_OBS_HIST},{_BASELINE}"
     + """ SELECT 'route_station_hour' AS level, route AS canonical_route_name, seq AS station_seq, hour, n AS rate_rows, round(p, 6) AS rate FROM r1
           UNION ALL SELECT 'route_station', route, seq, -1, n, round(p, 6) FROM r2 UNION ALL SELECT 'route_hour', route, -1, hour, n, round(p, 6) FROM r3
@@ -740,3 +740,10 @@ ORACLES = {
          (SELECT round_even(avg(y), 6) FROM hist) AS positive_rate, conf.accuracy, conf.precision, conf.recall, conf.f1, conf.brier_score, auc.roc_auc, top.top_decile_precision,
          'time_split_historical_rate_with_laplace_smoothing:route_station_hour->route_station->route_hour->hour->global' AS strategy FROM conf, auc, top""",
 }
+
+#: Results from merged parts are those of all rows.
+for _merged, _whole in {
+    "vehicles_merged": "vehicles_per_hour", "boardings_merged": "expected_boardings", "rates_merged": "smoothed_rates", "proxy_merged": "proxy_stats",
+    "auc_merged": "roc_auc", "curve_merged": "threshold_curve", "bins_merged": "calibration_bins",
+}.items():
+    ORACLES[_merged] = ORACLES[_whole]
