@@ -3,7 +3,7 @@
 A line is lower-cased and trimmed, each run of white space in it is one space. Its set holds the shingles of ``SHINGLE`` characters that begin at each of its places; a
 shorter line is one shingle. The signature is ``HASHES`` min-hashes: the smallest of 32 bits of each hash from a place of its
 own, XOR a fixed number. Bands take ``len(STEPS)`` of them each, any two bands share one at most: a pair at the threshold is
-missed with probability 0.0022. Candidate pairs from the bands of which ``LEAST`` min-hashes agree, five standard deviations
+missed with probability 0.002 to 0.004, short lines the worse. Candidate pairs from the bands of which ``LEAST`` min-hashes agree, five standard deviations
 less than at the threshold, are confirmed on full sets and joined to components; the first line of each component stays.
 """
 
@@ -34,80 +34,81 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", normal.alias("normal")).where("normal <> ''").withColumn("id", F.xxhash64("normal"))
 
 
-def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``(id, label)``: the component of every distinct line (by hash of its normal form) that is like another one.
+def _fresh_name(taken: list[str], name: str) -> str:
+    """A column name that ``taken`` lacks, whatever its case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
-    ``places (id, doc_id, line_no)`` are all places of lines.
-    """
-    lines = _lines(docs)
-    rows = lines.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
+
+def line_groups(docs: DataFrame) -> DataFrame:
+    """``(id, label)``: the component of every distinct line (by hash of its normal form) that is like another one."""
+    # One row for each distinct line: it is signed once, however often it is there.
+    texts = written(_lines(docs).groupBy("id").agg(F.first("normal").alias("normal")), "line-texts")
+    rows = texts.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
     signed = rows.groupBy("id").agg(*(F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)))
     signed = written(signed, "line-signatures")
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{(b + step) % HASHES}") for step in STEPS)) for b in range(HASHES)]
     members = signed.select("id", F.explode(F.array(*keys)).alias("bucket"))
     # Seven min-hashes to a number, eight bits of each.
     packed = [sum((F.shiftleft(F.col(f"m{i + k}").cast("long").bitwiseAND(F.lit(255)), 8 * k) for k in range(7)), F.lit(0).cast("long")) for i in range(0, HASHES, 7)]
-    prints = signed.select("id", F.array(*packed).alias("print"))
-    texts: list[DataFrame] = []
+    prints = signed.select("id", *(p.alias(f"p{i}") for i, p in enumerate(packed)))
+    parts = range(len(packed))
+
+    def named(frame: DataFrame, end: str) -> DataFrame:
+        return frame.select(*(F.col(c).alias({"id": end, "bucket": "bucket", "label": f"l{end}", "items": f"x{end}"}.get(c, f"{c}{end}")) for c in frame.columns))
 
-    def alike(one: Column, other: Column) -> Column:
-        shared, total = F.size(F.array_intersect(one, other)), F.size(one) + F.size(other)
-        return (100 * F.least(F.size(one), F.size(other)) >= THRESHOLD * F.greatest(F.size(one), F.size(other))) & (100 * shared >= THRESHOLD * (total - shared))
+    differing = [F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b")) for i in parts]
+    close = sum(((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for x in differing for k in range(7)), F.lit(0)) >= LEAST
 
-    def sets(ids: DataFrame) -> DataFrame:
-        needed = join_checked(texts[0], written(ids.distinct(), "lines-needed"), "id", "left_semi")
-        return written(needed.select("id", F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s))).alias("items")), "line-sets")
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Of pairs whose min-hashes are close, those whose sets are."""
+        pairs = written(pairs.select("a", "b").distinct(), "close-pairs")
+        needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-needed")
+        shingles = F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s)))
+        items = written(join_checked(texts, needed, "id", "left_semi").select("id", shingles.alias("items")), "line-sets")
+        shared, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
+        sizes = 100 * F.least(F.size("xa"), F.size("xb")) >= THRESHOLD * F.greatest(F.size("xa"), F.size("xb"))
+        return pairs.join(named(items, "a"), "a").join(named(items, "b"), "b").where(sizes & (100 * shared >= THRESHOLD * (total - shared))).select("a", "b")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "line-pairs")
-        if not texts:  # the first round's pairs hold every line that later ones do
-            # Each line is read at one of its places.
-            place = F.xxhash64("doc_id", "line_no")
-            needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            needed = written(places.join(needed, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place")), "lines-needed")
-            found = join_checked(lines, needed, "id", "inner").where(place == F.col("place"))
-            texts.append(written(found.select("id", "normal"), "line-texts"))
-        a, b = (prints.select(F.col("id").alias(k), F.col("print").alias(f"x{k}")) for k in "ab")
-        other = [F.col("xa")[i].bitwiseXOR(F.col("xb")[i]) for i in range(HASHES // 7)]
-        same = sum(((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for x in other for k in range(7)), F.lit(0))
-        close = written(pairs.join(a, "a").join(b, "b").where(same >= LEAST).select("a", "b"), "close-pairs")
-        items = sets(close.select(F.explode(F.array("a", "b")).alias("id")))
-        a, b = (items.select(F.col("id").alias(k), F.col("items").alias(f"x{k}")) for k in "ab")
-        return close.join(a, "a").join(b, "b").where(alike(F.col("xa"), F.col("xb"))).select("a", "b")
+        return exact(pairs.join(named(prints, "a"), "a").join(named(prints, "b"), "b").where(close))
 
     def rest(live: DataFrame) -> DataFrame:
-        # The sets are compared inside the join, which large buckets' rows are split over; only links leave it.
-        items = sets(live.select("id"))
-        one = live.join(items, "id").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("items").alias("xa"))
-        two = live.join(items, "id").select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("items").alias("xb"))
-        return one.hint("merge").join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike(F.col("xa"), F.col("xb"))).select("a", "b")
+        # Min-hashes are compared inside the join, which large buckets' rows are split over; only close pairs leave it.
+        signed_live = live.join(prints, "id")
+        one, two = named(signed_live, "a"), named(signed_live, "b").withColumnRenamed("bucket", "other_bucket")
+        found = (F.col("bucket") == F.col("other_bucket")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close
+        return exact(one.hint("merge").join(two, found))
 
     return bucket_components(members, confirm, rest, rounds=3)
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
-    """``(_doc, _gone)``: of each document the numbers of its lines that aren't the first of their group."""
+def _repeated(docs: DataFrame, doc: str, gone: str) -> DataFrame:
+    """``(doc, gone)``: of each document the numbers of its lines that aren't the first of their group."""
     places = written(_lines(docs).select("id", "doc_id", "line_no"), "line-places")
-    groups = line_groups(docs, places).withColumnRenamed("id", "of")
+    groups = line_groups(docs).withColumnRenamed("id", "of")
     grouped = places.join(groups, places["id"] == groups["of"], "left").select(F.coalesce("label", "id").alias("label"), "doc_id", "line_no")
     grouped = written(grouped, "grouped-lines")
     first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
-    gone = grouped.join(first, "label").where(F.struct("doc_id", "line_no") > F.col("first"))
-    return written(gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone")), "removed-lines")
+    later = grouped.join(first, "label").where(F.struct("doc_id", "line_no") > F.col("first"))
+    return written(later.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(gone)), "removed-lines")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs (doc_id, text, ...)``, the text without repeated lines, and ``n_lines, n_removed`` (long).
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows and columns of ``docs (doc_id, text, ...)``, the text without repeated lines, and ``counts`` (long): lines, removed ones.
 
     Of each group of lines of similarity 0.75 or more, equal ones included and links followed on, the line with the smallest
     (doc_id, line number) stays. Blank lines always stay. A null text has no lines and stays null. Rows that repeat a doc_id
     count as one document and keep the same lines; a row without doc_id keeps all its lines and removes none elsewhere. Columns
-    named n_lines or n_removed are replaced.
+    of the counts' names are replaced; any other column, whatever its name, is passed on.
     """
-    joined = join_checked(docs.withColumn("_doc", F.col("doc_id").cast("long")), _repeated(docs), "_doc", "left")
+    doc, gone = (_fresh_name([*docs.columns, *counts], name) for name in ("repeated_in", "repeated_lines"))
+    joined = join_checked(docs.withColumn(doc, F.col("doc_id").cast("long")), _repeated(docs, doc, gone), doc, "left")
     text = F.col("text").cast("string")
     line = F.split(text, "\n")
-    kept = F.array_join(F.filter(line, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    counts = {"n_lines": F.coalesce(F.size(line), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    out = joined.withColumns(counts | {"text": F.when(F.col("_gone").isNull(), text).otherwise(kept)})
-    return out.select(*(f"`{c}`" for c in docs.columns if c not in counts), *counts)
+    kept = F.array_join(F.filter(line, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    numbers = [F.coalesce(F.size(line), F.lit(0)).cast("long"), F.coalesce(F.size(gone), F.lit(0)).cast("long")]
+    passed = [F.when(F.col(gone).isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in counts]
+    return joined.select(*passed, *(n.alias(c) for n, c in zip(numbers, counts)))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from kerbline.llm import components, hashing, line_dedup, near_dedup, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -196,6 +197,15 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_lines_pass_any_other_column_on(spark):
+    names = ["_gone", "_doc", "repeated_in", "Repeated_Lines", "n_lines", "n_removed", "a.b"]
+    docs = spark.createDataFrame([(1, "same line here\nown", *names), (2, "same line here", *names)], ["doc_id", "text", *names])
+    kept = line_dedup.dedup_lines(docs, ("lines", "removed")).collect()
+    assert sorted((tuple(r)[1], *tuple(r)[2:9], r.lines, r.removed) for r in kept) == [("", *names, 1, 1), ("same line here\nown", *names, 2, 0)]
+    stage = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert [tuple(r) for r in stage.collect()] == [(1, "same line here\nown", *names)] and stage.columns == docs.columns
+
+
 def removed_lines(spark, lines):
     """Whether each line, in a document of its own, is removed: by the operator, and by comparing all pairs of full sets."""
     sets = [{n[i : i + 5] for i in range(max(1, len(n) - 4))} for n in (" ".join(line.lower().split()) for line in lines)]
