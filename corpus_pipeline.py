@@ -23,11 +23,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines like earlier ones; a document of which this leaves nothing but blanks goes, a blank one stays."""
-    kept = dedup_lines(docs)
-    kept = kept.where((F.col("n_removed") == 0) | (F.regexp_replace("text", r"\s+", "") != ""))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    names = docs.columns
+    lines, removed = (f"{name} {'_' * max(map(len, names))}" for name in ("lines", "removed"))  # longer than any name there is
+    kept = dedup_lines(docs, (lines, removed))
+    untouched = F.col(f"`{removed}`") == 0
+    kept = kept.where(untouched | (F.regexp_replace("text", r"\s+", "") != ""))
+    if "n_chars" in names:
+        kept = kept.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(f"`{c}`" for c in names))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
