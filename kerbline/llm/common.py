@@ -14,6 +14,8 @@ from kerbline.session import cut_lineage
 #: White space between words, as bytes: the words of every operator here are the runs of other bytes.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,10 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends there, columns and filters still reach the scan."""
+    """Write to the shared folder and read again: lineage ends there, columns and filters still reach the scan.
+
+    The shuffles that made the frame are deleted once it is written, since nothing reads them again.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -42,11 +42,13 @@ def _fresh_name(taken: list[str], name: str) -> str:
     return name
 
 
-def line_groups(docs: DataFrame) -> DataFrame:
-    """``(id, label)``: the component of every distinct line (by hash of its normal form) that is like another one."""
-    # One row for each distinct line: it is signed once, however often it is there.
-    texts = written(_lines(docs).groupBy("id").agg(F.first("normal").alias("normal")), "line-texts")
-    rows = texts.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
+def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``(id, label)``: the component of every distinct line (by hash of its normal form) that is like another one.
+
+    ``places (id, doc_id, line_no)`` are all places of lines.
+    """
+    lines = _lines(docs)
+    rows = lines.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
     signed = rows.groupBy("id").agg(*(F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)))
     signed = written(signed, "line-signatures")
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{(b + step) % HASHES}") for step in STEPS)) for b in range(HASHES)]
@@ -54,7 +56,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
     # Seven min-hashes to a number, eight bits of each.
     packed = [sum((F.shiftleft(F.col(f"m{i + k}").cast("long").bitwiseAND(F.lit(255)), 8 * k) for k in range(7)), F.lit(0).cast("long")) for i in range(0, HASHES, 7)]
     prints = signed.select("id", *(p.alias(f"p{i}") for i, p in enumerate(packed)))
-    parts = range(len(packed))
+    parts, texts = range(len(packed)), []
 
     def named(frame: DataFrame, end: str) -> DataFrame:
         return frame.select(*(F.col(c).alias({"id": end, "bucket": "bucket", "label": f"l{end}", "items": f"x{end}"}.get(c, f"{c}{end}")) for c in frame.columns))
@@ -67,12 +69,18 @@ def line_groups(docs: DataFrame) -> DataFrame:
         pairs = written(pairs.select("a", "b").distinct(), "close-pairs")
         needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-needed")
         shingles = F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s)))
-        items = written(join_checked(texts, needed, "id", "left_semi").select("id", shingles.alias("items")), "line-sets")
+        items = written(join_checked(texts[0], needed, "id", "left_semi").select("id", shingles.alias("items")), "line-sets")
         shared, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
         sizes = 100 * F.least(F.size("xa"), F.size("xb")) >= THRESHOLD * F.greatest(F.size("xa"), F.size("xb"))
         return pairs.join(named(items, "a"), "a").join(named(items, "b"), "b").where(sizes & (100 * shared >= THRESHOLD * (total - shared))).select("a", "b")
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "line-pairs")
+        if not texts:  # the first round's pairs hold every line that later ones do; each line is read at one of its places
+            place = F.xxhash64("doc_id", "line_no")
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            wanted = written(places.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place")), "lines-wanted")
+            texts.append(written(join_checked(lines, wanted, "id", "inner").where(place == F.col("place")).select("id", "normal"), "line-texts"))
         return exact(pairs.join(named(prints, "a"), "a").join(named(prints, "b"), "b").where(close))
 
     def rest(live: DataFrame) -> DataFrame:
@@ -88,7 +96,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
 def _repeated(docs: DataFrame, doc: str, gone: str) -> DataFrame:
     """``(doc, gone)``: of each document the numbers of its lines that aren't the first of their group."""
     places = written(_lines(docs).select("id", "doc_id", "line_no"), "line-places")
-    groups = line_groups(docs).withColumnRenamed("id", "of")
+    groups = line_groups(docs, places).withColumnRenamed("id", "of")
     grouped = places.join(groups, places["id"] == groups["of"], "left").select(F.coalesce("label", "id").alias("label"), "doc_id", "line_no")
     grouped = written(grouped, "grouped-lines")
     first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
