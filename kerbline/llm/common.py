@@ -42,7 +42,16 @@ def written(frame: DataFrame, name: str) -> DataFrame:
         frame.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written intermediates of which everything that is still wanted has been written elsewhere."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.written_at)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def find_package(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import join_checked, written
+from kerbline.llm.common import discard, join_checked, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,10 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every neighbour above u hangs on the smallest of u's neighbourhood.
         large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a <> b").distinct(), "large-star")
+        discard(edges)
         # Small star: u and its neighbours below it hang on the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, large["a"] == least["u"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         stars = written(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
+        discard(large)
         # Done when no root hangs on another node and no node has two roots.
         loose = stars.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
         if loose.isEmpty() and stars.select(F.col("b").alias("a")).join(stars.select("a"), "a", "left_semi").isEmpty():
@@ -48,24 +50,24 @@ def bucket_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
     ends = written(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), F.count("*").alias("n")).where("pivot <> high"), "buckets")
     # A bucket of two is known by its ends; the members of larger ones are looked up.
     larger = ends.where("n > 2").select("bucket", "pivot")
-    live = written(join_checked(members, larger, "bucket", "inner").where("id <> pivot").distinct(), "bucket-members")
+    held = written(join_checked(members, larger, "bucket", "inner").where("id <> pivot").distinct(), "bucket-members")
     two = ends.where("n = 2").select(F.col("pivot").alias("a"), F.col("high").alias("b"))
-    pairs = live.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(two).distinct()
+    pairs = held.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(two).distinct()
     links = confirm(pairs).select("a", "b")
     labels = _merged(None, written(links if known is None else links.unionByName(known), "links"))
-    live = live.select("bucket", "id", F.col("id").alias("label"))
+    discard(ends)
     for step in range(1, rounds + 1):
-        live = _open(live, labels)
+        live = _open(held, labels)
         if live.isEmpty():
             return labels
         if step == rounds:
             return _merged(labels, written(rest(live).select("a", "b").distinct(), "links"))
         by = F.xxhash64("id", F.lit(step))
         pivots = live.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), by).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("other"))
-        live = written(live.join(pivots, "bucket").where("id <> pivot"), "bucket-members")
-        pairs = live.where("label <> other").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        held = written(live.join(pivots, "bucket").where("id <> pivot"), "bucket-members")
+        discard(live)
+        pairs = held.where("label <> other").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         labels = _merged(labels, written(confirm(pairs).select("a", "b"), "links"))
-        live = live.select("bucket", "id", "label")
     return labels
 
 
@@ -81,9 +83,12 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(grown.unionByName(roots.join(labels, "id", "left_anti")), "labels")
 
 
-def _open(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their present labels, of the buckets that hold more than one."""
-    now = live.join(labels.select(F.col("id").alias("of"), F.col("label").alias("root")), F.col("id") == F.col("of"), "left")
-    now = written(now.select("bucket", "id", F.coalesce("root", "label").alias("label")), "labelled-members")
+def _open(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their present labels, of the buckets that hold more than one; ``held``, which is written, is deleted."""
+    now = held.select("bucket", "id").join(labels.select(F.col("id").alias("of"), F.col("label").alias("root")), F.col("id") == F.col("of"), "left")
+    now = written(now.select("bucket", "id", F.coalesce("root", "id").alias("label")), "labelled-members")
+    discard(held)
     several = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return written(now.join(several, "bucket"), "open-buckets")
+    live = written(now.join(several, "bucket"), "open-buckets")
+    discard(now)
+    return live
