@@ -137,43 +137,75 @@ def parse(page: str) -> Node:
 
 
 # A skeleton is nested lists [label, children, number].
-def _score(a: list, b: Node, known: dict[tuple[int, int], int]) -> int:
-    """Simple tree matching: the most pairs of equal nodes in order, parents with parents."""
+def _known(a: list, b: Node, known: dict[tuple[int, int], int]) -> int | None:
+    """The matching of a and b, None if their children have not been matched yet."""
     if a[0] != b.label:
         return 0
-    if not a[1] or not b.children:
-        return 1
-    key = (id(a), id(b))
-    if key not in known:
-        row = [0] * (len(b.children) + 1)
-        for x in a[1]:
+    return known.get((id(a), id(b))) if a[1] and b.children else 1
+
+
+def _ends(a: list, b: Node) -> tuple[int, int]:
+    """How many first and last children pair off at once: equal nodes without children, which no other matching can better."""
+
+    def run(ours, theirs) -> int:
+        count = 0
+        for x, y in zip(ours, theirs):
+            if x[0] != y.label or x[1] or y.children:
+                break
+            count += 1
+        return count
+
+    first = run(a[1], b.children)
+    rest = min(len(a[1]), len(b.children)) - first
+    return first, min(rest, run(reversed(a[1]), reversed(b.children)))
+
+
+def _score(a: list, b: Node, known: dict[tuple[int, int], int]) -> int:
+    """Simple tree matching: the most pairs of equal nodes in order, parents with parents. Pages may be nested to any depth."""
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        if _known(x, y, known) is not None:
+            stack.pop()
+            continue
+        first, last = _ends(x, y)
+        left, right = x[1][first : len(x[1]) - last], y.children[first : len(y.children) - last]
+        scores = [[_known(c, d, known) for d in right] for c in left]
+        missing = [(c, d) for c, own in zip(left, scores) for d, score in zip(right, own) if score is None]
+        if missing:
+            stack += missing
+            continue
+        row = [0] * (len(right) + 1)
+        for own in scores:
             new = [0]
-            for j, y in enumerate(b.children):
-                best = row[j] + _score(x, y, known)
-                new.append(max(best, row[j + 1], new[j]))
+            for j, score in enumerate(own):
+                new.append(max(row[j] + score, row[j + 1], new[j]))
             row = new
-        known[key] = row[-1] + 1
-    return known[key]
+        known[(id(x), id(y))] = row[-1] + first + last + 1
+        stack.pop()
+    return _known(a, b, known)
 
 
 def _pairs(a: list, b: Node, known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
     """Children of a and b that a best matching pairs."""
-    n, m = len(a[1]), len(b.children)
+    first, last = _ends(a, b)
+    left, right = a[1][first : len(a[1]) - last], b.children[first : len(b.children) - last]
+    n, m = len(left), len(right)
     table = [[0] * (m + 1) for _ in range(n + 1)]
-    scores = [[_score(x, y, known) for y in b.children] for x in a[1]]
+    scores = [[_score(x, y, known) for y in right] for x in left]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             table[i][j] = max(table[i + 1][j + 1] + scores[i][j], table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
+    out, i, j = [(k, k) for k in range(first)], 0, 0
     while i < n and j < m:
         if scores[i][j] and table[i][j] == table[i + 1][j + 1] + scores[i][j]:
-            out.append((i, j))
+            out.append((first + i, first + j))
             i, j = i + 1, j + 1
         elif table[i][j] == table[i + 1][j]:
             i += 1
         else:
             j += 1
-    return out
+    return out + [(len(a[1]) - k, len(b.children) - k) for k in range(last, 0, -1)]
 
 
 def align(skeleton: list, node: Node, known: dict | None = None) -> dict[int, int]:
@@ -189,7 +221,13 @@ def align(skeleton: list, node: Node, known: dict | None = None) -> dict[int, in
 
 
 def _copy(node: Node) -> list:
-    return [node.label, [_copy(c) for c in node.children], 0]
+    out = [node.label, [], 0]
+    stack = [(node, out)]
+    while stack:
+        source, copy = stack.pop()
+        copy[1] = [[c.label, [], 0] for c in source.children]
+        stack += zip(source.children, copy[1])
+    return out
 
 
 def merge(skeleton: list, node: Node) -> None:
@@ -205,7 +243,7 @@ def merge(skeleton: list, node: Node) -> None:
             if j in pairs:
                 merged += a[1][taken : pairs[j] + 1]
                 taken = pairs[j] + 1
-            elif sum(c[0] == child.label for c in a[1]) < 64:  # further like nodes of a list go without a slot of their own
+            else:
                 merged.append(_copy(child))
         a[1] = merged + a[1][taken:]
 
@@ -219,22 +257,46 @@ def number(skeleton: list) -> list:
     return skeleton
 
 
+def flat(skeleton: list) -> str:
+    """The skeleton's nodes in the order of their numbers, as depths and labels."""
+    out, stack = [], [(skeleton, 0)]
+    while stack:
+        node, depth = stack.pop()
+        out.append([depth, node[0]])
+        stack += ((child, depth + 1) for child in reversed(node[1]))
+    return json.dumps(out, separators=(",", ":"))
+
+
+def unflat(text: str) -> list:
+    path: list[list] = []
+    for number_, (depth, label) in enumerate(json.loads(text)):
+        node = [label, [], number_]
+        del path[depth:]
+        if path:
+            path[-1][1].append(node)
+        path.append(node)
+    return path[0]
+
+
 def blocks(root: Node, slots: dict[int, int]) -> list[tuple[str, str, bool]]:
     """``(slot, text, in article)`` of the blocks that may be content, in page order."""
     out: list[tuple[str, str, bool]] = []
-
-    def visit(node: Node, slot: str) -> None:
-        runs = dict(node.texts)
-        for k in range(len(node.children) + 1):
-            if k in runs:
-                words = " ".join(references.unescape("".join(runs[k])).split())
-                if words:
-                    out.append((f"{slot}:{k}", words, node.article))
-            if k < len(node.children) and not node.children[k].dropped:
-                child = node.children[k]
-                visit(child, str(slots[id(child)]) if id(child) in slots else f"{slot}/{child.label}")
-
-    visit(root, "0")
+    stack: list[tuple[Node, str, dict[int, list[str]], int]] = [(root, "0", dict(root.texts), 0)]
+    while stack:
+        node, slot, runs, k = stack.pop()
+        if k in runs:
+            words = " ".join(references.unescape("".join(runs[k])).split())
+            if words:
+                out.append((f"{slot}:{k}", words, node.article))
+        if k == len(node.children):
+            continue
+        stack.append((node, slot, runs, k + 1))
+        child = node.children[k]
+        if not child.dropped:
+            own = str(slots[id(child)]) if id(child) in slots else f"{slot}/{child.label}"
+            # Far from the skeleton a path's digest stands for it, so that deep pages stay small.
+            own = own if len(own) <= 200 else "#" + hashlib.blake2b(own.encode(), digest_size=16).hexdigest()
+            stack.append((child, own, dict(child.texts), 0))
     return out
 
 
@@ -243,7 +305,7 @@ def _skeletons(pages: pd.DataFrame) -> pd.DataFrame:
     skeleton = ["", [], 0]
     for tree in trees:
         merge(skeleton, tree)
-    return pd.DataFrame({"host": [pages["host"].iloc[0]], "skeleton": [json.dumps(number(skeleton), separators=(",", ":"))]})
+    return pd.DataFrame({"host": [pages["host"].iloc[0]], "skeleton": [flat(number(skeleton))]})
 
 
 def _slot(slot: str) -> int:
@@ -264,7 +326,7 @@ def _blocked(batches: Batches) -> Batches:
             if skeleton is not None and skeleton not in held:
                 if len(held) > 500:
                     held.clear()
-                held[skeleton] = json.loads(skeleton)
+                held[skeleton] = unflat(skeleton)
             slots = align(held[skeleton], root) if skeleton is not None else {}
             own = blocks(root, slots)
             found.append([{"slot": _slot(slot), "key": _key(slot, text), "text": text, "article": article} for slot, text, article in own])

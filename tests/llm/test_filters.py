@@ -204,6 +204,19 @@ def test_simple_tree_matching():
     slots = html_extraction.align(skeleton, root)
     assert slots[id(root.children[0].children[0])] == skeleton[1][0][1][1][2]
     assert html_extraction._score(skeleton, root, {}) == 6
+    assert html_extraction.unflat(html_extraction.flat(skeleton)) == skeleton
+
+
+def test_deep_and_long_pages(spark):
+    """Ten thousand nested or neighbouring elements, next to ordinary pages; the same page_id with another html."""
+    many = 10_000
+    deep = "<body>" + "<div>" * many + "<p>Deep {n}</p>" + "</div>" * many + "<div><p>Our site</p></div></body>"
+    long = "<body><article>" + "".join(f"<p>Line {i} of {{n}}</p>" for i in range(many)) + "</article></body>"
+    rows = [(i, f"http://{'ab'[k]}/", page.format(n=i)) for k, page in enumerate((deep, long)) for i in range(4)]
+    rows += [(9, "http://a/", "<body><p>Short</p></body>")]
+    got = {(r.url, r.page_id): r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got["http://a/", i] for i in range(4)] == [f"Deep {i}" for i in range(4)] and got["http://a/", 9] == "Short"
+    assert [got["http://b/", i] for i in range(4)] == ["\n".join(f"Line {k} of {i}" for k in range(many)) for i in range(4)]
 
 
 def test_articles_are_a_hint_only(spark):
