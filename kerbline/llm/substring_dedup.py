@@ -25,7 +25,6 @@ RANGE_WINDOWS = 3_000_000
 CHUNK_BYTES = 12 << 20
 #: Text of a part of the documents, which one task holds at a time.
 PART_BYTES = 16 << 20
-_MARK = (1 << 40) - 1  # of a document's own windows these bits tell one from another
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -112,12 +111,11 @@ def _repeats(parts: int) -> Callable[[pa.Table], pa.Table]:
         known, index = np.unique(d, return_inverse=True)
         part = np.array([_part(k, parts) for k in known.tolist()], np.int64)
         order = np.lexsort((index, part[index])) if len(d) else index
-        h, d, place = h[order] & np.uint64(_MARK), d[order], part[index][order] if len(d) else index
+        h, d, place = h[order], d[order], part[index][order] if len(d) else index
         cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(d) else index
-        marks = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5])
         rows = list(zip(cuts, np.r_[cuts[1:], len(d)] if len(d) else cuts))
-        columns = [pa.array(place[cuts], pa.int64()), pa.array([int(b - a) for a, b in rows], pa.int64()), pa.array([_pack(np.diff(d[a:b], prepend=np.int64(0))) for a, b in rows], pa.binary()), pa.array([marks[a:b].tobytes() for a, b in rows], pa.binary())]
-        return pa.table(columns, ["part", "n", "docs", "marks"])
+        columns = [pa.array(place[cuts], pa.int64()), pa.array([int(b - a) for a, b in rows], pa.int64()), pa.array([_pack(np.diff(d[a:b], prepend=np.int64(0))) for a, b in rows], pa.binary()), pa.array([h[a:b].tobytes() for a, b in rows], pa.binary())]
+        return pa.table(columns, ["part", "n", "docs", "hashes"])
 
     return run
 
@@ -135,10 +133,9 @@ def _cleaned(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         held: dict[int, list[np.ndarray]] = {}
         for row in repeats.to_pylist():
             docs = np.cumsum(_unpack(row["docs"], row["n"], np.int64))
-            known = np.zeros((row["n"], 8), np.uint8)
-            known[:, :5] = np.frombuffer(row["marks"], np.uint8).reshape(-1, 5)
+            known = np.frombuffer(row["hashes"], np.uint64)
             heads = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-            for doc, own in zip(docs[heads].tolist(), np.split(known.view(np.uint64).ravel(), heads[1:])):
+            for doc, own in zip(docs[heads].tolist(), np.split(known, heads[1:])):
                 held.setdefault(doc, []).append(own)
         out = []
         for batch in texts.to_batches():
@@ -158,7 +155,7 @@ def _batch(part: pa.RecordBatch, held: dict[int, list[np.ndarray]], width: int)
         tokens, here = (text or "").encode().split(), []
         if doc in held:
             mine = slice(bounds[i], bounds[i + 1])
-            at = place[mine][np.isin(found[mine] & np.uint64(_MARK), np.concatenate(held[doc]))] - words.first[i]
+            at = place[mine][np.isin(found[mine], np.concatenate(held[doc]))] - words.first[i]
             steps = np.bincount(at, minlength=len(tokens) + 1) - np.bincount(at + width, minlength=len(tokens) + 1)
             gone = np.cumsum(steps)[: len(tokens)] > 0
             edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
@@ -182,7 +179,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     parts = max(8, size // PART_BYTES)
     entries = map_batches(texts.where("doc_id IS NOT NULL"), _entries(width, ranges), _ENTRY)
     find_package(docs.sparkSession)
-    found = entries.groupBy("range").applyInArrow(_repeats(parts), "part long, n long, docs binary, marks binary")
+    found = entries.groupBy("range").applyInArrow(_repeats(parts), "part long, n long, docs binary, hashes binary")
     part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(F.crc32(F.col("doc_id").cast("string")) % parts).cast("long")
     kind = "doc_id long, n_words long, removed array<struct<start: long, end: long>>, text string"
     return texts.withColumn("part", part).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cleaned(width), kind)
