@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import map_batches
 
 ERRORS = 7  # per cent of an item's characters
-#: A shorter item can't be told from an ordinary phrase: it counts only if it is the whole document.
+#: Of a shorter item a few edits make another phrase: it counts where it stands unchanged, as whole words.
 LEAST_CHARS = 32
-#: Items that one pass over the documents looks for; they go out with the task, about 2 MB.
-BLOCK_ITEMS = 4000
+#: Items and characters that one pass over the documents looks for; they go out with the task.
+BLOCK_ITEMS, BLOCK_CHARS = 4000, 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -73,19 +73,19 @@ class Matcher:
     """Looks for one block of items."""
 
     def __init__(self, items: list[Item], errors: int = ERRORS, least: int = LEAST_CHARS) -> None:
-        self.whole: dict[str, list[int]] = {}
         self.items: list[tuple[int, str, int, dict[str, int], dict[str, int]]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
-            if not text or len(text) < least:
-                self.whole.setdefault(text, []).append(item)
+            if not text:
                 continue
-            budget, k = len(text) * errors // 100, len(self.items)
+            budget, k = (len(text) * errors // 100 if len(text) >= least else -1), len(self.items)
             self.items.append((item, text, budget, masks(text), masks(text[::-1])))
+            if budget < 0:
+                pieces.setdefault(text, []).append((k, len(text)))
+                continue
             cuts = [i * len(text) // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(text[a:b], []).append((k, b))
-        self.whole.pop("", None)
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, places)
@@ -95,7 +95,7 @@ class Matcher:
 
     def hits(self, text: str) -> list[Hit]:
         """The best place of each item that the text holds."""
-        found = {item: Hit(item, 0, 0, len(text)) for item in self.whole.get(text, ())}
+        found: dict[int, Hit] = {}
         tried: dict[int, list[tuple[int, int]]] = {}
         for last, places in self.automaton.iter(text) if self.any else ():
             for k, offset in places:
@@ -103,6 +103,10 @@ class Matcher:
                 if item in found and found[item].edits == 0:
                     continue
                 begin = last + 1 - offset  # of the item, if no edit moves it
+                if budget < 0:
+                    if text[max(begin - 1, 0) : begin] in ("", " ") and text[last + 1 : last + 2] in ("", " "):
+                        found[item] = Hit(item, 0, begin, last + 1)
+                    continue
                 spans = tried.setdefault(k, [])
                 if any(a <= begin <= b for a, b in spans[-4:]):
                     continue
@@ -126,7 +130,8 @@ class Matcher:
 def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
     """All items, in blocks of bounded size."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    count = max(1, -(-items.count() * 5 // (4 * BLOCK_ITEMS)))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    count = max(1, -(-n * 5 // (4 * BLOCK_ITEMS)), -(-chars * 5 // (4 * BLOCK_CHARS)))
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect()
         if rows:
@@ -150,7 +155,8 @@ def _found(items: list[Item]):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, edits, start_word, end_word)``: each item of ``benchmark (item_id, text)`` in each document that holds it.
 
-    The words [start_word, end_word) are those of the normalised document, at the item's best and first place. Null or blank
+    The words [start_word, end_word) are those of the normalised document, at the item's best and first place. An item below
+    ``LEAST_CHARS`` normalised characters is found where its words stand unchanged, anywhere in a document. Null or blank
     texts and items match nothing, repeated rows are reported each, a row without doc_id with a null one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
