@@ -2,7 +2,9 @@
 
 For every language a suffix automaton of a bounded sample of its labelled text recognises exactly the sample's substrings. A text
 is parsed greedily into the longest phrases that the automaton knows; the fewer phrases for its length, the nearer it is to
-that language. Tasks parse many pieces of text side by side: one numpy step moves all of them by a byte.
+that language. Tasks parse many pieces of text side by side: one numpy step moves all of them by a byte. A piece is parsed as if
+a phrase began with it; then the phrase that the piece before has left open goes on into it, until both parses begin one at the
+same byte, from where on they are the same.
 """
 
 from collections.abc import Iterator
@@ -17,11 +19,11 @@ from kerbline.llm.common import map_batches
 from kerbline.llm.hashing import slices
 from kerbline.llm.quality import held_out
 
-#: Bytes of text that a language's automaton is built of, and of one document in it, at most.
-SAMPLE_BYTES, DOCUMENT_BYTES = 40_000, 2_000
-#: Documents fetched for each language's sample, on average.
-SAMPLE_DOCS = 120
-#: A text is parsed in pieces of so many bytes; at the end of a piece a phrase ends as well.
+#: Bytes of text that a language's automaton is built of, at most.
+SAMPLE_BYTES = 40_000
+#: Whole texts are cut into passages of so many characters; some of a language's passages, drawn by hash, are its sample.
+PASSAGE_CHARS, SAMPLE_PASSAGES = 2_000, 120
+#: Bytes of the pieces of a text that are parsed side by side.
 PIECE = 512
 UNKNOWN = "und"
 
@@ -73,7 +75,7 @@ def automaton(sample: np.ndarray, symbols: int) -> np.ndarray:
 
 def learn(texts: dict[str, list[str]]) -> Model:
     """A model of the texts of each language; texts without letters teach nothing."""
-    samples = {k: b" ".join(p[:DOCUMENT_BYTES] for p in map(plain, v) if p)[:SAMPLE_BYTES] for k, v in sorted(texts.items())}
+    samples = {k: b" ".join(p for p in map(plain, v) if p)[:SAMPLE_BYTES] for k, v in sorted(texts.items())}
     samples = {k: v for k, v in samples.items() if v}
     known = sorted({b for v in samples.values() for b in v})
     symbol = np.zeros(256, np.int64)  # symbol 0: a byte no sample has
@@ -81,24 +83,49 @@ def learn(texts: dict[str, list[str]]) -> Model:
     return Model(list(samples), symbol, [automaton(symbol[np.frombuffer(v, np.uint8)], len(known) + 1) for v in samples.values()])
 
 
-def phrases(pieces: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Phrases of each row of symbols (longest rows first): where none goes on, one begins; an unknown symbol is one by itself."""
-    width = steps.shape[1]
-    flat = steps.ravel()
-    state, count = np.ones(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+def _moved(state: np.ndarray, c: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States after a symbol each, and where a phrase begins with it: where none goes on; an unknown symbol is one by itself."""
+    flat, width = steps.ravel(), steps.shape[1]
+    to = flat[state * width + c]
+    begun = (to == 0) | (state == 1)
+    at = np.flatnonzero(begun)
+    if len(at):
+        fresh = flat[width + c[at]]
+        to[at] = np.where(fresh == 0, 1, fresh)
+    return to, begun
+
+
+def phrases(pieces: np.ndarray, lengths: np.ndarray, before: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each row of symbols (longest rows first); ``before`` is the row that a row's text comes from, or -1."""
+    state = np.ones(len(pieces), np.int64)
+    begins = np.zeros(pieces.T.shape, bool)
     columns = np.ascontiguousarray(pieces.T)
     alive = np.searchsorted(-lengths, -np.arange(columns.shape[0]), "left")
     for k in range(columns.shape[0]):
         n = alive[k]
-        c = columns[k, :n]
-        to = flat[state[:n] * width + c]
-        begun = np.flatnonzero((to == 0) | (state[:n] == 1))
-        if len(begun):
-            fresh = flat[width + c[begun]]
-            to[begun] = np.where(fresh == 0, 1, fresh)
-            count[begun] += 1
-        state[:n] = to
-    return count
+        state[:n], begins[k, :n] = _moved(state[:n], columns[k, :n], steps)
+    after = np.full(len(pieces), -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    rows = np.flatnonzero(before >= 0)
+    while len(rows):  # once, but for open phrases that never meet the piece's own parse
+        now, changed = state[before[rows]], []
+        for k in range(columns.shape[0]):
+            ended = lengths[rows] <= k
+            if ended.any():
+                changed.append(rows[ended][state[rows[ended]] != now[ended]])
+                state[rows[ended]] = now[ended]
+                rows, now = rows[~ended], now[~ended]
+            if not len(rows):
+                break
+            now, begun = _moved(now, columns[k, rows], steps)
+            met = begun & begins[k, rows]
+            begins[k, rows] = begun
+            rows, now = rows[~met], now[~met]
+        changed.append(rows[state[rows] != now])
+        state[rows] = now
+        following = after[np.concatenate(changed)]
+        rows = following[following >= 0]
+    return begins.sum(axis=0)
 
 
 def costs(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -108,22 +135,32 @@ def costs(model: Model, texts: list[bytes]) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), -(-sizes // PIECE))
     lengths = np.array([len(p) for p in pieces], np.int64)
     order = np.argsort(-lengths, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    follows = np.r_[False, owner[1:] == owner[:-1]][: len(owner)]
+    before = np.where(follows, np.r_[-1, rank[:-1]][: len(owner)], -1)[order]
     table = np.frombuffer(b"".join(pieces[i].ljust(PIECE) for i in order), np.uint8).reshape(-1, PIECE) if pieces else np.zeros((0, PIECE), np.uint8)
     symbols = model.symbol[table[:, : lengths.max(initial=0)]].astype(np.int32)
-    out = [np.bincount(owner[order], phrases(symbols, lengths[order], steps), len(texts)) / np.maximum(sizes, 1) for steps in model.steps]
+    out = [np.bincount(owner[order], phrases(symbols, lengths[order], before, steps), len(texts)) / np.maximum(sizes, 1) for steps in model.steps]
     return np.stack(out, axis=1) if out else np.zeros((len(texts), 0))
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn from the texts and languages of documents outside the held-out fold: a sample of some ``SAMPLE_DOCS`` of each language."""
+    """Learn from whole texts and languages of documents outside the held-out fold.
+
+    Of each language some ``SAMPLE_PASSAGES`` passages are drawn by hash from all places of all its texts, so that long
+    documents or common headers don't stand for it, and the first ``SAMPLE_BYTES`` of them are learned.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.lit(1_000_000))
-    least = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 1_000_000 * SAMPLE_DOCS // n + 1)))), F.col("lang").cast("string")) if counts else F.lit(0)
-    # Of each document the head is enough to learn from; predictions take whole texts.
-    rows = usable.where(draw < least).select(F.col("lang").cast("string").alias("lang"), draw.alias("draw"), F.substring("text", 1, DOCUMENT_BYTES).alias("text")).collect()
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    passages = F.greatest(F.ceil(F.length("text") / PASSAGE_CHARS), F.lit(1)).cast("int")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(passages).alias("n")).collect()}
+    cut = usable.select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(0), passages - 1)).alias("at"))
+    draw = F.pmod(F.xxhash64("doc_id", "at", F.lit(17)), F.lit(1_000_000_000))
+    least = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000_000, 1_000_000_000 * SAMPLE_PASSAGES // n + 1)))), F.col("lang")) if counts else F.lit(0)
+    passage = F.col("text").substr(F.col("at") * PASSAGE_CHARS + 1, F.lit(PASSAGE_CHARS))
     texts: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["text"])):
+    for row in sorted(cut.where(draw < least).select("lang", draw.alias("draw"), passage.alias("text")).collect()):
         texts.setdefault(row["lang"], []).append(row["text"])
     return learn(texts)
 

@@ -1,6 +1,7 @@
 """Quality, language, secrets, decontamination, extraction: brute force, held-out accuracy, edge cases."""
 
 import html
+import random
 import re
 import zlib
 
@@ -60,13 +61,15 @@ def test_leaks_are_those_of_brute_force(spark):
         assert plain_distance(items[r.item_id], " ".join(clean[r.doc_id].split()[r.start_word : r.end_word])) == r.edits
 
 
-def test_short_items_need_the_whole_document(spark):
-    docs = spark.createDataFrame([(1, "Yes!"), (2, "oh yes"), (None, "yes"), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(5, "yes")], "item_id long, text string")
-    assert {r.doc_id for r in decontamination.leaks(docs, items).collect()} == {1, None}
-    assert {r.doc_id for r in decontamination.without_leaks(docs, items).collect()} == {2, 3}
+def test_short_items_stand_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Yes!"), (2, "oh yes yes"), (None, "yes"), (3, None), (4, "yesterday, eyes"), (5, "Eyes, yes: yes")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "yes"), (6, "es"), (7, "oh yes yes yes")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.edits, r.start_word, r.end_word) for r in decontamination.leaks(docs, items).collect()}
+    assert found == {(1, 5, 0, 0, 1), (2, 5, 0, 1, 2), (None, 5, 0, 0, 1), (5, 5, 0, 1, 2)}
+    docs = docs.where("doc_id IS NULL OR doc_id < 5")
+    assert {r.doc_id for r in decontamination.without_leaks(docs, items).collect()} == {3, 4}
     assert decontamination.leaks(docs, items.limit(0)).collect() == []
-    assert decontamination.without_leaks(docs, items.limit(0)).count() == 4
+    assert decontamination.without_leaks(docs, items.limit(0)).count() == 5
 
 
 def test_secrets(spark):
@@ -145,8 +148,38 @@ def test_cross_parsing_counts_phrases():
     got = language_id.costs(model, texts) * np.maximum([[len(t)] for t in texts], 1)
     assert got[:3].tolist() == [[slow(t, s) for s in (b"abab abc", b"zz")] for t in texts[:3]]
     long = bytes(np.random.Generator(np.random.PCG64(1)).choice(list(b"ab cz"), 2_000).tolist())
-    pieces = [long[i : i + language_id.PIECE] for i in range(0, len(long), language_id.PIECE)]
-    assert language_id.costs(model, [long, b"a"])[0].tolist() == pytest.approx([sum(slow(p, s) for p in pieces) / len(long) for s in (b"abab abc", b"zz")])
+    assert language_id.costs(model, [long, b"a"])[0].tolist() == pytest.approx([slow(long, s) / len(long) for s in (b"abab abc", b"zz")])
+
+
+@pytest.mark.parametrize("piece", [1, 3, 16])
+def test_phrases_go_on_over_pieces(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    pick = random.Random(piece)
+    sample = "".join(pick.choices("abc ", k=300)) + "abcabcabc" * 9
+    model = language_id.learn({"a": [sample]})
+    learned = language_id.plain(sample)
+    texts = [language_id.plain("".join(pick.choices("abcq ", k=n))) for n in (0, 1, 5, 40, 200)] + [learned, b"abc" * 25, learned[7:90] + b"q" + learned[3:50]]
+
+    def count(text):
+        phrases, i = 0, 0
+        while i < len(text):
+            j = i + 1
+            while j < len(text) and text[i : j + 1] in learned:
+                j += 1
+            phrases, i = phrases + 1, j
+        return phrases
+
+    got = language_id.costs(model, texts)[:, 0] * np.maximum([len(t) for t in texts], 1)
+    assert got.round().tolist() == [count(t) for t in texts]
+
+
+def test_languages_learn_from_all_of_long_texts(spark):
+    """Long documents whose first thousands of characters are one header."""
+    header, bodies = "same words in every file " * 200, {"x": "kalo miru vane ", "y": "strunk blotz grimp "}
+    docs = spark.createDataFrame([(i, header + bodies[k] * 3000, k) for i, k in enumerate("xyxyxyxyxy")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    short = spark.createDataFrame([(100, "miru vane kalo"), (101, "grimp strunk")], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.languages(short, model).collect()] == ["x", "y"]
 
 
 def test_language_of_the_held_out_fold(spark):
