@@ -1,6 +1,6 @@
 """Tables from SQL dumps, read with Spark's own text and CSV readers."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kerbline.constants import TARGET_ROUTE_NAMES
 from kerbline.functions import seats, text, times
@@ -8,18 +8,62 @@ from kerbline.sources.dimensions import route_stations, target_routes
 from kerbline.sources.schemas import DUMP_TABLES
 from kerbline.sources.upsert import latest_per_key, tag_outcomes
 
-# A quoted text with its escapes and doubled quotes, one parenthesised tuple of an INSERT, and a field of it.
+# A quoted text with its escapes and doubled quotes, a tuple of an INSERT after its opening parenthesis, and a field of it.
 # The runs are possessive, so a long field needs no stack.
 QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
-TUPLE = rf"\(((?:[^'()]++|{QUOTED})*+)\)"
+BODY = rf"^(?:[^'()]++|{QUOTED})*+\)"
 FIELD = rf",\s*((?:_\w+\s+)?{QUOTED}|[^,']*+)"
+HEAD = r"(?is)(CREATE TABLE|INSERT INTO)\s+`?(\w+)`?\s*(?:VALUES\s*)?$"
+COMMENT = r"(?<=\n)--[ \t][^\n]*"
 SNAPSHOT_KEY = ("collected_at", "route_id", "veh_id", "station_id", "station_seq", "plate_no")
 
 
-def read_dump_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statements of a dump as lines; ``;`` at a line end closes one, so quoted semicolons survive. Lines may end in CRLF."""
-    head = spark.read.option("lineSep", "\n").text(path).first()
-    return spark.read.option("lineSep", ";\r\n" if head is not None and head["value"].endswith("\r") else ";\n").text(path)
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    """``(of, value, _order)``: a dump's texts between opening parentheses, and which table's statement each stands in.
+
+    One statement may be the whole dump: the file is cut at every parenthesis, so its blocks are read side by side. Whether
+    a block begins inside of a quoted text, and in which statement, follows from counts of the blocks before it, one narrow row
+    a block; fragments that a quoted parenthesis has cut are joined again. Line comments may hold quotes, quoted
+    texts no line that begins like a comment. ``of`` is ``insert <table>`` or ``create <table>``; order is that of the file.
+    """
+    cut = spark.read.option("lineSep", "(").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    bare = F.regexp_replace("value", COMMENT, "")
+    quotes = F.regexp_replace(F.regexp_replace(bare, r"(?s)\\.", ""), "[^']++", "")
+    named = F.lower(F.concat_ws(" ", F.substring(F.regexp_extract(bare, HEAD, 1), 1, 6), F.regexp_extract(bare, HEAD, 2)))
+    mark = F.when(bare.rlike(HEAD), named).when(bare.rlike(r";[^']*$"), "")
+    cut = cut.withColumns({"_odd": F.length(quotes) % 2, "_mark": mark})
+    inside = Window.partitionBy("_file", "_block").orderBy("_at")
+    earlier, until_here = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    # Quoted or not, as if the block began outside of quotes.
+    cut = cut.withColumn("_quoted", F.coalesce(F.sum("_odd").over(earlier), F.lit(0)) % 2)
+    ends = (F.col("_quoted") + F.col("_odd")) % 2
+
+    def last_mark(state: int) -> Column:
+        return F.max_by("_mark", F.when(F.col("_mark").isNotNull() & (ends == state), F.col("_at")))
+
+    blocks = cut.groupBy("_file", "_block").agg(
+        (F.sum("_odd") % 2).alias("_total"), *(F.count_if(F.col("_quoted") == k).alias(f"_starts_{k}") for k in (0, 1)), *(last_mark(k).alias(f"_mark_{k}") for k in (0, 1))
+    )
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_begins", F.coalesce(F.sum("_total").over(before), F.lit(0)) % 2)
+    starts, marked = (F.when(F.col("_begins") == 0, F.col(f"_{name}_0")).otherwise(F.col(f"_{name}_1")) for name in ("starts", "mark"))
+    blocks = blocks.select(
+        "_file", "_block", "_begins", F.last(F.when(starts > 0, F.struct(F.col("_block").alias("block"), starts.alias("n"))), ignorenulls=True).over(before).alias("_open"),
+        F.last(marked, ignorenulls=True).over(before).alias("_within"),
+    )
+    rows = cut.join(blocks, ["_file", "_block"])
+    first, known = F.col("_quoted") == F.col("_begins"), F.when(ends == F.col("_begins"), F.col("_mark"))
+    rows = rows.withColumns({"_n": F.sum(first.cast("long")).over(until_here), "_of": F.coalesce(F.last(known, ignorenulls=True).over(earlier), "_within")})
+    own = F.col("_n") > 0
+    rows = rows.select(
+        "_file", F.when(own, F.col("_block")).otherwise(F.col("_open.block")).alias("_home"), F.when(own, F.col("_n")).otherwise(F.col("_open.n")).alias("_n"),
+        F.when(first, F.col("_of")).alias("_of"), F.struct("_block", "_at", "value").alias("_part"),
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda part: part["value"]), "(")
+    pieces = rows.repartition("_file", "_home").groupBy("_file", "_home", "_n").agg(F.max("_of").alias("of"), joined.alias("value"))
+    return pieces.select("of", "value", F.struct("_file", "_home", "_n").alias("_order"))
 
 
 def _field(raw: Column) -> Column:
@@ -31,23 +75,24 @@ def _field(raw: Column) -> Column:
     return F.when(raw.rlike(r"'\s*$"), inner).when(F.upper(F.trim(raw)) != "NULL", F.trim(raw))
 
 
-def dump_table(statements: DataFrame, table: str, columns: str | None = None) -> DataFrame:
-    """Rows of one table, all columns as text (SQL NULL is null), plus ``_order`` of appearance."""
+def dump_table(dumped: DataFrame, table: str, columns: str | None = None) -> DataFrame:
+    """Rows of one table of ``read_dump``, all columns as text (SQL NULL is null), plus ``_order`` of appearance."""
     fields = [c.strip() for c in (columns or DUMP_TABLES[table]).split(",")]
-    mine = statements.where(F.col("value").rlike(rf"(?is)^(\s*--[^\n]*\n)*\s*INSERT INTO `?{table}`?[\s(]"))
-    mine = mine.withColumn("_stmt", F.monotonically_increasing_id())
-    body = F.regexp_extract("value", r"(?is)\bVALUES\s*(.*)$", 1)
-    tuples = mine.select("_stmt", F.posexplode(F.regexp_extract_all(body, F.lit(TUPLE), F.lit(1))).alias("_at", "_tuple"))
-    tuples = tuples.select(F.struct("_stmt", "_at").alias("_order"), F.regexp_extract_all(F.concat(F.lit(","), F.col("_tuple")), F.lit(FIELD), F.lit(1)).alias("_fields"))
+    body = F.regexp_extract("value", BODY, 0)
+    mine = dumped.where(F.col("of") == f"insert {table.lower()}").withColumn("_body", body).where("_body <> ''")
+    # A list of columns before VALUES stands in parentheses too.
+    mine = mine.where(~F.expr("substr(value, length(_body) + 1)").rlike(r"(?i)^\s*VALUES\s*$"))
+    tuples = mine.select("_order", F.regexp_extract_all(F.concat(F.lit(","), F.expr("left(_body, length(_body) - 1)")), F.lit(FIELD), F.lit(1)).alias("_fields"))
     return tuples.select(*[_field(F.get("_fields", F.lit(i))).alias(f) for i, f in enumerate(fields)], "_order")
 
 
-def dump_columns(statements: DataFrame, table: str) -> str:
+def dump_columns(dumped: DataFrame, table: str) -> str:
     """Column list of a table from its CREATE TABLE (one row; a dump has one such statement per table)."""
-    create = statements.where(F.col("value").rlike(rf"(?is)CREATE TABLE `?{table}`?\s*\("))
-    names = F.regexp_extract_all("value", F.lit(r"(?m)^\s*`([^`]+)`"), F.lit(1))
-    found = create.select(F.array_join(names, ", ").alias("names")).first()
-    if found is None:
+    parts = dumped.where(F.col("of") == f"create {table.lower()}").agg(F.array_sort(F.collect_list(F.struct("_order", "value"))).alias("parts"))
+    statement = F.array_join(F.transform("parts", lambda part: part["value"]), "(")
+    names = F.array_distinct(F.regexp_extract_all(statement, F.lit(r"(?m)^\s*`([^`]+)`"), F.lit(1)))
+    found = parts.select(F.array_join(names, ", ").alias("names")).first()
+    if not found["names"]:
         raise ValueError(f"the dump does not define {table}")
     return found["names"]
 
@@ -169,8 +214,8 @@ def import_summary(tagged: DataFrame) -> DataFrame:
 
 def import_dump(spark: SparkSession, path: str, known: DataFrame, *, target_only: bool = True, minus_one_as_zero: bool = True) -> dict[str, DataFrame]:
     """The four dump tables as dimensions and tagged snapshots."""
-    statements = read_dump_statements(spark, path)
-    raw = {t: dump_table(statements, t, dump_columns(statements, t)) for t in DUMP_TABLES}
+    dumped = read_dump(spark, path)
+    raw = {t: dump_table(dumped, t, dump_columns(dumped, t)) for t in DUMP_TABLES}
     routes = dump_routes(raw["bus_route"])
     snapshots = dump_snapshots(raw["bus_snapshot"], routes, known, target_only=target_only, minus_one_as_zero=minus_one_as_zero)
     return {

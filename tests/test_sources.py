@@ -66,6 +66,29 @@ def test_dump_import(spark, tmp_path, end):
     assert every["summary"].first()["imported"] == 3 and every["summary"].first()["minus_one_as_zero"] == 0
 
 
+def test_one_statement_is_read_in_many_blocks(spark, tmp_path):
+    """Rows, quotes, parentheses and statement borders fall on any block border; a field is longer than several blocks."""
+    notes = ["plain", "it's (a), (b);", "\\\\ back\\slash\\", "", None, "(((", "');\nINSERT INTO `ride` VALUES (9,'no", "x(" * 400, "'" * 7, "),("]
+    rows = [(i, notes[i % len(notes)]) for i in range(300)]
+
+    def quoted(note):
+        return "NULL" if note is None else "'" + note.replace("\\", "\\\\").replace("'", "''" if len(note) % 2 else "\\'") + "'"
+
+    one = "INSERT INTO `ride` (`id`, `note`) VALUES " + ",".join(f"({i},{quoted(n)})" for i, n in rows[:250]) + ";\n"
+    other = "-- that's (not) a row\nINSERT INTO `other` VALUES (1,'a(b'),(2,'c');\nSELECT (7);\n"
+    rest = "INSERT INTO `ride` VALUES\r\n" + ",\r\n".join(f"({i}, {quoted(n)})" for i, n in rows[250:]) + ";\r\n"
+    path = tmp_path / "rides.sql"
+    path.write_bytes((one + other + rest).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("331", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        dumped = dump.read_dump(spark, str(path))
+        got = dump.dump_table(dumped, "ride", "id, note").orderBy("_order").collect()
+        others = sorted(r["note"] for r in dump.dump_table(dumped, "other", "id, note").collect())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [(int(r["id"]), r["note"]) for r in got] == rows and others == ["a(b", "c"]
+
+
 def envelopes(spark, payloads, key="busArrivalList"):
     frame = spark.createDataFrame([(i, json.dumps(p, ensure_ascii=False)) for i, p in enumerate(payloads)], "id INT, value STRING")
     return snapshots.read_envelopes(frame, "routeId STRING", key)
