@@ -8,8 +8,8 @@ from kerbline import constants as C
 from kerbline.functions import scores, seats, sqlnames, text, times
 from kerbline.operators import demand, features, labels, live, metrics, nearest, proxy, quality, rates, schedule, split, training
 from kerbline.plans import backtest as backtests, baseline, diagnostics, model as models, warehouse as W
-from kerbline.session import cut_lineage
-from kerbline.sources import context, snapshots, upsert
+from kerbline.session import cut_lineage, shared_path
+from kerbline.sources import context, dump, snapshots, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -964,6 +964,37 @@ def logistic_fit(spark, sf_dir):
     return diagnostics.train_logistic(_training(spark, sf_dir))["metrics"]
 
 
+@query
+def logistic_certificate(spark, sf_dir):
+    """Is the fitted logistic model the optimum of its loss on the earlier four fifths?"""
+    train, _ = diagnostics.time_split(_training(spark, sf_dir), 0.2)
+    train = cut_lineage(train)
+    fitted = models.fit(train, C.DEFAULT_TARGET, models.logistic(), models.choose_features(train))
+    found = diagnostics.optimality(fitted, train, C.DEFAULT_TARGET)
+    return found.select("rows", "positives", F.round("weight", 4).alias("weight"), (F.col("steepest") < 1e-3).cast("int").alias("optimal"), (F.col("loss") < 0.6931).cast("int").alias("better_than_none"))
+
+
+@query
+def platt_fit(spark, sf_dir):
+    """Slope and intercept that calibrate the given scores."""
+    found = diagnostics.platt_scaler(W.predictions(spark, sf_dir))
+    return spark.createDataFrame([(found["a"], found["b"])], "a DOUBLE, b DOUBLE").select(F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
+
+
+@query
+def dump_rows(spark, sf_dir):
+    """Orders written as INSERT statements of a dump, with quotes, parentheses and statement ends in their texts, and read back."""
+    orders = W.table(spark, sf_dir, "orders")
+    note = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("it's ("), "o_orderpriority", F.lit("),(\\ ');\n("), "o_orderstatus"))
+    quoted = F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(F.regexp_replace(note, r"\\", r"\\\\"), "'", "''"), "\n", r"\\n"), F.lit("'"))
+    row = F.concat(F.lit("("), "o_orderkey", F.lit(","), F.coalesce(quoted, F.lit("NULL")), F.lit(","), "o_custkey", F.lit(")"))
+    together = orders.groupBy(F.floor(F.col("o_orderkey") / 20_000)).agg(F.array_join(F.collect_list(row), ",").alias("rows"))
+    path = shared_path(spark, "dump")
+    together.select(F.concat(F.lit("INSERT INTO `ride` VALUES "), "rows", F.lit(";"))).write.text(path)
+    read = dump.dump_table(dump.read_dump(spark, path), "ride", "id, note, rider")
+    return read.select(F.col("id").cast("long").alias("id"), F.coalesce("note", F.lit("-")).alias("note"), F.col("rider").cast("long").alias("rider"))
+
+
 @query
 def ablations(spark, sf_dir):
     return diagnostics.ablations(_training(spark, sf_dir), target=C.DEFAULT_TARGET)[0]

@@ -1,9 +1,10 @@
 """Model diagnostics: ablations, per-route splits, calibration and the boosting comparison."""
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from kerbline import constants as C
@@ -53,6 +54,30 @@ def train_logistic(rows: DataFrame, *, target: str = C.DEFAULT_TARGET, test_rati
     }
 
 
+def optimality(fitted: PipelineModel, train: DataFrame, target: str, l2: float = C.LOGISTIC_L2) -> DataFrame:
+    """One row: the class-weighted, L2-regularised loss at the fitted coefficients, and the largest component of its gradient.
+
+    The loss is convex, so a gradient near zero certifies the fit whatever solver found it. One aggregate over the rows: the
+    weighted sums of features are taken apart by the sign of the residual.
+    """
+    last = fitted.stages[-1]
+    rows = fitted.transform(M.balanced(train, target))
+    p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+    off = F.col("weight") * (p - F.col("label"))
+    total = Summarizer.metrics("sum")
+    found = rows.agg(
+        total.summary(F.col("features"), F.greatest(off, F.lit(0.0))).alias("over"), total.summary(F.col("features"), F.greatest(-off, F.lit(0.0))).alias("under"),
+        F.sum(off).alias("off"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("long")).alias("positives"),
+        F.sum(-F.col("weight") * F.log(F.when(F.col("label") == 1, p).otherwise(1 - p))).alias("loss"),
+    ).first()
+    coefficients = last.coefficients.toArray()
+    slope = (found["over"]["sum"].toArray() - found["under"]["sum"].toArray()) / found["weight"] + l2 * coefficients
+    steepest = max(abs(found["off"] / found["weight"]), float(abs(slope).max(initial=0.0)))
+    loss = found["loss"] / found["weight"] + l2 / 2 * float(coefficients @ coefficients)
+    kind = "rows BIGINT, positives BIGINT, weight DOUBLE, loss DOUBLE, steepest DOUBLE"
+    return train.sparkSession.createDataFrame([(found["rows"], found["positives"], found["weight"], loss, steepest)], kind)
+
+
 def ablations(rows: DataFrame, *, target: str, test_ratio: float = 0.2, threshold: float = 0.5, l2: float = C.LOGISTIC_L2) -> tuple[DataFrame, DataFrame]:
     """Metrics per variant, and the full variant's predictions."""
     train, test = time_split(rows, test_ratio)
@@ -88,7 +113,7 @@ def platt_scaler(preds: DataFrame, l2: float = C.PLATT_L2) -> dict[str, float]:
     """Slope and intercept of a one-feature logistic fit on the logit."""
     rows = metrics.platt_inputs(preds).withColumn("label", F.col("actual").cast("double"))
     assembler = VectorAssembler(inputCols=["logit"], outputCol="logits")
-    fitter = LogisticRegression(featuresCol="logits", labelCol="label", regParam=l2, standardization=False)
+    fitter = LogisticRegression(featuresCol="logits", labelCol="label", regParam=l2, standardization=False, tol=1e-10, maxIter=200)
     last = Pipeline(stages=[assembler, fitter]).fit(rows.select("logit", "label")).stages[-1]
     return {"a": float(last.coefficients[0]), "b": float(last.intercept)}
 

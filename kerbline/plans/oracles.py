@@ -741,6 +741,22 @@ ORACLES = {
          'time_split_historical_rate_with_laplace_smoothing:route_station_hour->route_station->route_hour->hour->global' AS strategy FROM conf, auc, top""",
 }
 
+ORACLES["logistic_certificate"] = ORACLES["baseline_evaluation"].split("fut AS")[0] + f"""one AS (SELECT 1)
+         SELECT count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, CAST(count(*) AS DOUBLE) AS weight, 1 AS optimal, 1 AS better_than_none FROM past"""
+#: The same optimum by Newton's method: 40 steps from zero, halved where they would be long.
+ORACLES["platt_fit"] = (
+    _OBS_PREDS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", g AS (SELECT ln(least(greatest(probability, 1e-6), 1 - 1e-6) / (1 - least(greatest(probability, 1e-6), 1 - 1e-6))) AS l, sum(actual)::DOUBLE AS y, count(*)::DOUBLE AS n FROM preds GROUP BY 1),
+         fit AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+           SELECT i + 1, a - k * (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - k * (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+             SELECT i, a, b, CASE WHEN i < 8 THEN 0.5 ELSE 1.0 END AS k, sum((n * p - y) * l) / sum(n) + 0.001 * a AS g1, sum(n * p - y) / sum(n) AS g2,
+                    sum(n * p * (1 - p) * l * l) / sum(n) + 0.001 AS h11, sum(n * p * (1 - p) * l) / sum(n) AS h12, sum(n * p * (1 - p)) / sum(n) AS h22
+             FROM (SELECT i, a, b, l, y, n, 1 / (1 + exp(-(a * l + b))) AS p FROM fit, g WHERE i < 40) GROUP BY i, a, b))
+         SELECT round(a, 3) AS a, round(b, 3) AS b FROM fit WHERE i = 40"""
+)
+ORACLES["dump_rows"] = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 'it''s (' || o_orderpriority || '),(' || chr(92) || ' '');' || chr(10) || '(' || o_orderstatus ELSE '-' END AS note,
+         o_custkey AS rider FROM orders"""
+
 #: Results from merged parts are those of all rows.
 for _merged, _whole in {
     "vehicles_merged": "vehicles_per_hour", "boardings_merged": "expected_boardings", "rates_merged": "smoothed_rates", "proxy_merged": "proxy_stats",
