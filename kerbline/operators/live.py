@@ -114,7 +114,11 @@ def live_rows(arrivals: DataFrame, positions: DataFrame, history: DataFrame, rou
 
     ``arrivals`` carries ``request_id``, ``requested_station_id`` and ``collected_at``; ``history`` gives capacities.
     """
-    slots = with_position(arrival_slots(arrivals.where("route_id IS NOT NULL")), positions)
+    return rows_of_slots(with_position(arrival_slots(arrivals.where("route_id IS NOT NULL")), positions), history, routes, stops)
+
+
+def rows_of_slots(slots: DataFrame, history: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """Base feature rows of arrival slots that carry their vehicle's position as ``_seen``, null if there is none."""
     seen = F.col("_seen")
     rows = slots.withColumns(
         {
@@ -214,9 +218,10 @@ def scheduled_rows(
     return with_requested_name(rows, stops)
 
 
-def without_live(arrivals: DataFrame) -> DataFrame:
-    """Arrivals of requests that announce no usable vehicle; decided on the arrivals alone, before any join."""
-    seen = arrival_slots(arrivals.where("route_id IS NOT NULL")).select("request_id").distinct()
+def without_live(arrivals: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """Arrivals of requests that announce no usable vehicle; decided on the arrivals (or their usable slots) alone, before any join."""
+    usable = arrival_slots(arrivals) if slots is None else slots
+    seen = usable.where("route_id IS NOT NULL").select("request_id").distinct()
     return arrivals.join(seen, "request_id", "left_anti")
 
 

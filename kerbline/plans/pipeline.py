@@ -33,9 +33,14 @@ def build_live_rows(tables: Mapping[str, DataFrame], arrivals: DataFrame, positi
 
     ``history`` holds past feature rows with their labels. Context is attached once for all rows of the poll.
     """
-    seen = live.live_rows(arrivals, positions, tables["snapshots"], tables["routes"], tables["stops"])
+    return build_slot_rows(tables, arrivals, live.with_position(live.arrival_slots(arrivals), positions), history)
+
+
+def build_slot_rows(tables: Mapping[str, DataFrame], arrivals: DataFrame, slots: DataFrame, history: DataFrame) -> DataFrame:
+    """As ``build_live_rows``, from usable slots whose vehicles' positions are known as ``_seen``."""
+    seen = live.rows_of_slots(slots.where("route_id IS NOT NULL"), tables["snapshots"], tables["routes"], tables["stops"])
     known = proxy.proxy_statistics(history, "target_no_seat_next_station", require_next_station=True)
-    requests = live.without_live(arrivals).withColumn("at", F.col("collected_at"))
+    requests = live.without_live(arrivals, slots).withColumn("at", F.col("collected_at"))
     prior = live.scheduled_rows(
         requests, schedule.timetable(tables["timetables"]), tables["holidays"], tables["routes"], tables["stops"], known, tables["snapshots"]
     )

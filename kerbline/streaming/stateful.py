@@ -5,16 +5,16 @@ operator; what the operator didn't take is found by comparing ids, whatever made
 recognised by stored digests of their hours only, counts are added to, and labels in reach are built again.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from kerbline.constants import HORIZONS, NEXT_STOP_SECONDS
-from kerbline.operators import labels
+from kerbline.operators import labels, live
 from kerbline.sources.dump import SNAPSHOT_KEY
 from kerbline.sources.upsert import append_batch, read_latest
 from kerbline.streaming.ingest import _same, _started, create_batches, relabel, stored_batches, with_snapshot_id
@@ -229,3 +229,58 @@ def _reached(rows: DataFrame, others: DataFrame, micros: int) -> DataFrame:
     two = others.select(*labels.VEHICLE, F.unix_micros("collected_at").alias("t"), slot.alias("slot")).alias("_b")
     same = _same(labels.VEHICLE, "_a", "_b") & (F.col("_a.slot") == F.col("_b.slot"))
     return one.join(two, same & (F.col("_b.t") - F.col("_a.t")).between(0, micros), "left_semi").select("snapshot_id").distinct()
+
+
+def seen_slots(arrivals: DataFrame, positions: DataFrame, delay: str = "5 minutes", reach: str = "10 minutes") -> DataFrame:
+    """Both slots of each streamed arrival, with ``has_candidate`` and the last position of its vehicle as ``_seen``.
+
+    A stream-stream left outer join on route and vehicle, or route and plate, of positions up to ``reach`` before the arrival;
+    the vehicle's position goes before the plate's. A slot leaves once the watermark is ``reach`` past its arrival, which is
+    when Spark's interval join gives no older row any more, and its state with it. An arrival that is there twice counts once; arrivals and positions
+    behind the watermark are too late for a live forecast and are dropped.
+    """
+    slots = live.arrival_slots(arrivals.withWatermark("collected_at", delay), keep_empty=True)
+    names = slots.columns
+
+    def keys() -> Column:
+        vehicle = F.when(F.col("veh_id").isNotNull(), F.concat(F.lit("v"), F.col("veh_id").cast("string")))
+        return F.array_compact(F.array(vehicle, F.when(F.col("plate_no").isNotNull(), F.concat(F.lit("p"), "plate_no"))))
+
+    asked = slots.withColumn("_key", F.explode_outer(F.when(F.col("has_candidate") == 1, keys())))
+    state = F.struct("station_seq", "station_id", "remain_seat_cnt", "crowded", "veh_id", "plate_no")
+    known = positions.select(F.col("route_id").alias("_route"), F.col("collected_at").alias("_at"), "snapshot_id", state.alias("_state"), F.explode(keys()).alias("_sign"))
+    known = known.withWatermark("_at", delay)
+    near = (F.col("_at") <= F.col("collected_at")) & (F.col("_at") >= F.col("collected_at") - F.expr(f"INTERVAL {reach}"))
+    met = asked.join(known, (F.col("route_id") == F.col("_route")) & (F.col("_key") == F.col("_sign")) & near, "left_outer")
+    order = F.when(F.col("_route").isNotNull(), F.struct(F.unix_micros("_at").alias("at"), F.col("snapshot_id")))
+    met = met.select(*names, "_state", order.alias("_order"), F.col("_key").startswith("v").alias("_by_vehicle"))
+    by = [F.max_by("_state", F.when(F.col("_by_vehicle") == vehicle, F.col("_order"))) for vehicle in (True, False)]
+    return met.groupBy(*names).agg(F.coalesce(*by).alias("_seen"))
+
+
+def live_stream(
+    arrivals: DataFrame,
+    positions: DataFrame,
+    build: Callable[[DataFrame, DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    every_seconds: int | None = None,
+    delay: str = "5 minutes",
+    reach: str = "10 minutes",
+) -> StreamingQuery:
+    """Rows to score of each request, written when the watermark is ``reach`` past its poll.
+
+    All arrivals of a request carry the time of its poll, so their slots leave in one batch, and ``build(arrivals, slots)``
+    (``pipeline.build_slot_rows`` on its tables) decides between live, timetable and none as for a whole poll. A batch that is
+    run again replaces its own folder.
+    """
+    def one(batch: DataFrame, batch_id: int) -> None:
+        # Dealt by request for what follows; the sorted output of the state's aggregate can't be kept as it is.
+        held = batch.repartition("request_id").persist()
+        if not held.isEmpty():
+            slots = held.where("has_candidate = 1").drop("has_candidate")
+            asked = held.drop("arrival_slot", *live.SLOT_FIELDS, "has_candidate", "_seen").distinct()
+            append_batch(build(asked, slots), path, batch_id)
+        held.unpersist()
+
+    return _started(seen_slots(arrivals, positions, delay, reach).writeStream.foreachBatch(one).outputMode("append"), checkpoint, every_seconds)

@@ -230,3 +230,51 @@ def test_features_equal_batch_in_any_order(spark, tmp_path):
     columns = batch.columns
     assert got.select(columns).exceptAll(batch).count() == 0
     assert got.where("plate_no = '70-101' AND estimated_capacity < 44").count() == 0 and got.where("plate_no = '70-101'").count() > 1
+
+
+def test_live_requests_equal_batch(spark, tmp_path):
+    """Live, timetable and none rows as for a whole poll, whatever files the arrivals and positions come in; state ends."""
+    from kerbline.sources.schemas import HEADWAY_FIELDS, TIMETABLE_FIELDS
+
+    city = sample_city.tables(spark)
+    names = ["routeId"] + TIMETABLE_FIELDS + HEADWAY_FIELDS
+    info = {"routeId": "5005001", "upFirstTime": "05:00", "upLastTime": "23:00", "peekAlloc": "20", "nPeekAlloc": "30"}
+    tables = {**city, "timetables": spark.createDataFrame([tuple(info.get(n) for n in names)], ", ".join(f"{n} STRING" for n in names))}
+    history = pipeline.build_training_set(tables, "target_no_seat_next_station").persist()
+    slots = ", ".join(f"predict_time{k} INT, predict_time_sec{k} INT, remain_seat_cnt{k} INT, crowded{k} INT, plate_no{k} STRING, veh_id{k} BIGINT" for k in (1, 2))
+    none, head = (None,) * 6, "request_id BIGINT, requested_station_id BIGINT, station_id BIGINT, route_id BIGINT, route_name STRING, route_type_cd INT, sta_order INT, turn_seq INT, flag STRING"
+    one = city["snapshots"].orderBy("collected_at", "snapshot_id").first()
+    data = [
+        (1, 228000103, 228000103, 5000001, "5000", 11, 3, None, None, *(5, 300, None, None, "70-101", None), *(9, 540, 7, 2, "no such", None)),
+        (2, 228000103, 228000103, 5005001, "5005", 11, 3, None, None, *none, *none),
+        (3, 228000103, 228000103, None, None, None, None, None, None, *none, *none),
+        (4, 228000103, 228000103, one["route_id"], "5000", 11, 4, None, None, *(5, 300, None, None, "no such", one["veh_id"]), *(6, None, None, None, one["plate_no"], -5)),
+    ]
+    arrivals = spark.createDataFrame(data, f"{head}, {slots}").withColumn("collected_at", F.lit("2026-05-20T23:30:00Z").cast("timestamp"))
+    later = arrivals.where("request_id = 3").withColumns({"request_id": F.lit(9).cast("bigint"), "collected_at": F.lit("2026-05-26T00:00:00Z").cast("timestamp")})
+    positions = city["snapshots"].where("collected_at <= '2026-05-20 23:30:00'")
+    far = positions.limit(1).withColumn("collected_at", F.lit("2026-05-26T00:00:00Z").cast("timestamp"))
+    for frame, folder in ((arrivals, "arrivals"), (positions, "positions")):
+        frame.repartition(3).write.parquet(str(tmp_path / folder))
+
+    def streamed(folder, frame):
+        return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
+
+    def run():
+        build = lambda asked, seen: pipeline.build_slot_rows(tables, asked, seen, history)
+        query = stateful.live_stream(streamed("arrivals", arrivals), streamed("positions", positions), build, str(tmp_path / "out"), str(tmp_path / "cp"), delay="1 day", reach="1 day")
+        query.awaitTermination(200)
+        return query
+
+    run()
+    assert not (tmp_path / "out").exists()  # nothing is final yet
+    later.write.mode("append").parquet(str(tmp_path / "arrivals"))
+    far.write.mode("append").parquet(str(tmp_path / "positions"))
+    left = run().recentProgress[-1]["stateOperators"]
+    want = pipeline.build_live_rows(tables, arrivals, positions, history)
+    kept = [c for c in want.columns if c in ("request_id", "arrival_slot", "prediction_mode", "feature_source", "veh_id", "plate_no", "station_seq", "station_id", "remain_seat_cnt", "crowded", "estimated_capacity", "historical_proxy_rows")]
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.select(*kept).collect())) == sorted(map(str, want.select(*kept).collect()))
+    assert {(r["request_id"], r["prediction_mode"]) for r in got.collect()} == {(1, "live_vehicle"), (2, "schedule_prior"), (3, "none"), (4, "live_vehicle")}
+    assert got.where("feature_source = 'position_match'").count() >= 2
+    assert sum(op["numRowsTotal"] for op in left) <= 8  # of the one arrival and the one position that are still open
