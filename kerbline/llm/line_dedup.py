@@ -2,8 +2,8 @@
 
 A line is lower-cased and trimmed, each run of white space in it is one space. Its set holds the shingles of ``SHINGLE`` characters that begin at each of its places; a
 shorter line is one shingle. The signature is ``HASHES`` min-hashes: the smallest of 32 bits of each hash from a place of its
-own, XOR a fixed number. Bands take ``len(STEPS)`` of them each, any two bands share one at most: a pair at the threshold is
-missed with probability 0.002 to 0.004, short lines the worse. Candidate pairs from the bands of which ``LEAST`` min-hashes agree, five standard deviations
+own, XOR a fixed number. Each band takes ``ROWS`` of them, none twice: a pair at the threshold is missed with probability 0.0023.
+Candidate pairs from the bands of which ``LEAST`` min-hashes agree (four bits of each are kept), five standard deviations
 less than at the threshold, are confirmed on full sets and joined to components; the first line of each component stays.
 """
 
@@ -12,14 +12,16 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import join_checked, written
+from kerbline.llm.common import discard, join_checked, written
 from kerbline.llm.components import bucket_components
 
 SHINGLE = 5
-HASHES, STEPS, LEAST = 28, (0, 1, 4, 9), 10
+HASHES, ROWS, LEAST = 64, 4, 32
 THRESHOLD = 75  # per cent
+#: One bit of each four, and how many four-bit parts of min-hashes a number holds.
+LOWEST, PARTS = 0x1111111111111111, 16
 _RANDOM = random.Random(11)
-_ORDERS = [(shift, _RANDOM.getrandbits(64) - (1 << 63)) for shift in _RANDOM.sample(range(33), HASHES)]
+_ORDERS = [(_RANDOM.randrange(33), _RANDOM.getrandbits(64) - (1 << 63)) for _ in range(HASHES)]
 
 
 def _shingles(line: Column) -> Column:
@@ -27,11 +29,37 @@ def _shingles(line: Column) -> Column:
     return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(places)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that aren't blank, of documents with an id: place, normal form and its hash."""
+def _normal(line: Column) -> Column:
+    """Runs of white space are one space; a single space between words already is, and is passed over."""
+    return F.trim(F.regexp_replace(line, r"[\s\u00a0\u3000]{2,}|[\s\u00a0\u3000&&[^ ]]", " "))
+
+
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """Lines that aren't blank, of documents with an id, in lower case."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n")).alias("line_no", "line"))
-    normal = F.trim(F.regexp_replace("line", r"[\s\u00a0\u3000]+", " "))
-    return rows.select("doc_id", "line_no", normal.alias("normal")).where("normal <> ''").withColumn("id", F.xxhash64("normal"))
+    return rows.where(F.col("line").rlike(r"[^\s\u00a0\u3000]"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Place, normal form and its hash of the lines that aren't blank."""
+    rows = _raw_lines(docs).select("doc_id", "line_no", _normal(F.col("line")).alias("normal"))
+    return rows.withColumn("id", F.xxhash64("normal"))
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """``(id, k0, k1, ..., p0, p1, ...)`` of each distinct line: keys of its bands, and four bits of each min-hash.
+
+    Shingles are cut from the line's characters of four bytes each, where a place is found without walking the line.
+    """
+    wide = _lines(docs).select("id", F.encode("normal", "UTF-32").alias("wide"))
+    places = F.sequence(F.lit(0), F.greatest(F.octet_length("wide") / 4 - SHINGLE, F.lit(0)).cast("int"))
+    rows = wide.select("id", "wide", F.explode(places).alias("place"))
+    rows = rows.select("id", F.xxhash64(F.substring("wide", F.col("place") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
+    least = [F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)]
+    found = rows.groupBy("id").agg(*least)
+    keys = [F.xxhash64(F.lit(i), *(F.col(f"m{i + r}") for r in range(ROWS))).alias(f"k{i // ROWS}") for i in range(0, HASHES, ROWS)]
+    prints = [sum((F.shiftleft(F.col(f"m{i + k}").cast("long").bitwiseAND(F.lit(15)), 4 * k) for k in range(PARTS)), F.lit(0).cast("long")).alias(f"p{i // PARTS}") for i in range(0, HASHES, PARTS)]
+    return found.select("id", *keys, *prints)
 
 
 def _fresh_name(taken: list[str], name: str) -> str:
@@ -47,40 +75,54 @@ def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     ``places (id, doc_id, line_no)`` are all places of lines.
     """
-    lines = _lines(docs)
-    rows = lines.select("id", F.explode(_shingles(F.col("normal"))).alias("shingle")).select("id", F.xxhash64("shingle").alias("h"))
-    signed = rows.groupBy("id").agg(*(F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)))
-    signed = written(signed, "line-signatures")
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{(b + step) % HASHES}") for step in STEPS)) for b in range(HASHES)]
-    members = signed.select("id", F.explode(F.array(*keys)).alias("bucket"))
-    # Seven min-hashes to a number, eight bits of each.
-    packed = [sum((F.shiftleft(F.col(f"m{i + k}").cast("long").bitwiseAND(F.lit(255)), 8 * k) for k in range(7)), F.lit(0).cast("long")) for i in range(0, HASHES, 7)]
-    prints = signed.select("id", *(p.alias(f"p{i}") for i, p in enumerate(packed)))
-    parts, texts = range(len(packed)), []
+    signed = written(_signed(docs), "line-signatures")
+    bands, parts = range(HASHES // ROWS), range(HASHES // PARTS)
+    members = signed.select("id", F.explode(F.array(*(f"k{b}" for b in bands))).alias("bucket"))
+    prints = signed.select("id", *(f"p{i}" for i in parts))
+    texts: list[DataFrame] = []
 
     def named(frame: DataFrame, end: str) -> DataFrame:
         return frame.select(*(F.col(c).alias({"id": end, "bucket": "bucket", "label": f"l{end}", "items": f"x{end}"}.get(c, f"{c}{end}")) for c in frame.columns))
 
-    differing = [F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b")) for i in parts]
-    close = sum(((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for x in differing for k in range(7)), F.lit(0)) >= LEAST
+    # A four-bit part that differs leaves its lowest bit set.
+    halves = [x.bitwiseOR(F.shiftrightunsigned(x, 1)) for x in (F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b")) for i in parts)]
+    differing = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(LOWEST))) for x in halves), F.lit(0))
+    close = differing <= HASHES - LEAST
+
+    def with_texts(needed: DataFrame) -> DataFrame:
+        """Normal forms of lines; those that no round before has read are read, each at one of its places."""
+        missing = needed
+        for known in texts:
+            missing = missing.join(known, "id", "left_anti")
+        missing = written(missing, "lines-missing")
+        if not texts or not missing.isEmpty():
+            place = F.struct("doc_id", "line_no")
+            wanted = join_checked(places, missing, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place"))
+            wanted = written(wanted.select(F.col("id").alias("of"), F.xxhash64("place.doc_id", "place.line_no").alias("place")), "lines-wanted")
+            rows = join_checked(_raw_lines(docs).withColumn("place", F.xxhash64("doc_id", "line_no")), wanted, "place", "inner")
+            rows = rows.select("of", _normal(F.col("line")).alias("normal")).where(F.xxhash64("normal") == F.col("of"))
+            texts.append(written(rows.select(F.col("of").alias("id"), "normal"), "line-texts"))
+            discard(wanted)
+        discard(missing)
+        found = [known.join(needed, "id", "left_semi") for known in texts]
+        for more in found[1:]:
+            found[0] = found[0].unionByName(more)
+        return found[0]
 
     def exact(pairs: DataFrame) -> DataFrame:
         """Of pairs whose min-hashes are close, those whose sets are."""
         pairs = written(pairs.select("a", "b").distinct(), "close-pairs")
         needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-needed")
         shingles = F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s)))
-        items = written(join_checked(texts[0], needed, "id", "left_semi").select("id", shingles.alias("items")), "line-sets")
+        items = written(with_texts(needed).dropDuplicates(["id"]).select("id", shingles.alias("items")), "line-sets")
         shared, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
         sizes = 100 * F.least(F.size("xa"), F.size("xb")) >= THRESHOLD * F.greatest(F.size("xa"), F.size("xb"))
-        return pairs.join(named(items, "a"), "a").join(named(items, "b"), "b").where(sizes & (100 * shared >= THRESHOLD * (total - shared))).select("a", "b")
+        found = pairs.join(named(items, "a"), "a").join(named(items, "b"), "b").where(sizes & (100 * shared >= THRESHOLD * (total - shared))).select("a", "b")
+        found = written(found, "like-lines")
+        discard(pairs, needed, items)
+        return found
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "line-pairs")
-        if not texts:  # the first round's pairs hold every line that later ones do; each line is read at one of its places
-            place = F.xxhash64("doc_id", "line_no")
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            wanted = written(places.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place")), "lines-wanted")
-            texts.append(written(join_checked(lines, wanted, "id", "inner").where(place == F.col("place")).select("id", "normal"), "line-texts"))
         return exact(pairs.join(named(prints, "a"), "a").join(named(prints, "b"), "b").where(close))
 
     def rest(live: DataFrame) -> DataFrame:
