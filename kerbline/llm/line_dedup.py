@@ -12,7 +12,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import discard, join_checked, written
+from kerbline.llm.common import BROADCAST_ROWS, discard, join_checked, written
 from kerbline.llm.components import bucket_components
 
 SHINGLE = 5
@@ -98,11 +98,14 @@ def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
         if not texts or not missing.isEmpty():
             place = F.struct("doc_id", "line_no")
             wanted = join_checked(places, missing, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place"))
-            wanted = written(wanted.select(F.col("id").alias("of"), F.xxhash64("place.doc_id", "place.line_no").alias("place")), "lines-wanted")
-            rows = join_checked(_raw_lines(docs).withColumn("place", F.xxhash64("doc_id", "line_no")), wanted, "place", "inner")
+            wanted = written(wanted.select(F.col("id").alias("of"), F.xxhash64("place.doc_id", "place.line_no").alias("place"), F.col("place.doc_id").alias("doc")), "lines-wanted")
+            inside = written(wanted.select("doc").distinct(), "documents-wanted")
+            # Few documents: only those are cut into lines.
+            source = docs.join(F.broadcast(inside), F.col("doc_id").cast("long") == inside["doc"], "left_semi") if inside.count() <= BROADCAST_ROWS else docs
+            rows = join_checked(_raw_lines(source).withColumn("place", F.xxhash64("doc_id", "line_no")), wanted.select("of", "place"), "place", "inner")
             rows = rows.select("of", _normal(F.col("line")).alias("normal")).where(F.xxhash64("normal") == F.col("of"))
             texts.append(written(rows.select(F.col("of").alias("id"), "normal"), "line-texts"))
-            discard(wanted)
+            discard(wanted, inside)
         discard(missing)
         found = [known.join(needed, "id", "left_semi") for known in texts]
         for more in found[1:]:
