@@ -23,8 +23,8 @@ from kerbline.llm.common import map_batches, written
 BUCKETS, RUN, SEED = 10_000, 3, 42
 #: Least words of a document that can be drawn, and how many of a hundred of these are.
 LEAST_WORDS, SHARE = 20, 5
-#: Text whose distinct words one dictionary holds.
-SLICE_BYTES = 8 << 20
+#: Text whose distinct words one dictionary holds: with its payloads it takes some 40 MB, and an idle worker keeps that.
+SLICE_BYTES = 1 << 20
 #: Ranks are counted in slots between that many quantiles of the upper tenth of scores.
 SLOTS = 1000
 
