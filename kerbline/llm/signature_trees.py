@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm import hashing
-from kerbline.llm.common import find_package, map_batches, written
+from kerbline.llm.common import discard, find_package, join_checked, map_batches, written
 from kerbline.llm.components import components
 
 SHINGLE = 3
@@ -262,21 +262,29 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, threshold: int = T
     signed = written(map_batches(texts, _signatures(width, threshold), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "set-signatures")
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class that its smallest doc_id stands for.
-    classes = able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = written(able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     classed = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
     classed = written(classed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "set-classes")
     several = classed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     known = written(classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "known-links")
-    reps = classed.where("doc_id = rep AND n_shingles > 0").select(F.col("rep").alias("id")).distinct()
 
-    members = signed.where("size(keys) > 0").join(reps, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket"))
-    ends = written(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot <> high").select("bucket", "pivot"), "shared-parts")
-    # The members are too many to be held against a broadcast table for long: both sides are shuffled at every size.
-    met = written(members.hint("merge").join(ends, "bucket").where("id <> pivot").select("id", "pivot").distinct(), "part-pairs")
+    # Classes meet by a hash of theirs, so the keys go out as they were written; copies name the same class.
+    kind = F.xxhash64("n_shingles", "d1", "d2")
+    named = classes.select(kind.alias("class"), F.col("rep").alias("id"))
+    # One shuffle, by bucket, serves the buckets' ends and their members.
+    members = able.where("size(keys) > 0").select(kind.alias("class"), F.explode("keys").alias("bucket")).repartition("bucket")
+    ends = members.groupBy("bucket").agg(F.min("class").alias("pivot"), F.max("class").alias("high")).where("pivot <> high").select("bucket", "pivot")
+    met = written(members.hint("merge").join(ends, "bucket").where("class <> pivot").select("class", "pivot").distinct(), "class-pairs")
+    discard(signed)
+    met = met.join(named, "class").select("id", F.col("pivot").alias("class")).join(named.withColumnRenamed("id", "pivot"), "class").where("id <> pivot")
+    met = written(met.select("id", "pivot").distinct(), "part-pairs")
+    discard(classes)
     clusters = written(components(met.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "clusters").select("id", F.col("label").alias("cluster"))
     # A doc_id with several texts has a set for each.
-    sets = map_batches(texts.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "id long, n_shingles long, items binary")
+    grouped = written(clusters.select(F.col("id").alias("doc_id")), "clustered")
+    sets = map_batches(join_checked(texts, grouped, "doc_id", "left_semi"), _sets(width), "id long, n_shingles long, items binary")
     sets = written(sets.where("n_shingles > 0").dropDuplicates(), "sets")
+    discard(grouped)
     clusters = written(clusters.join(sets.select("id", "n_shingles").distinct(), "id"), "sized-clusters")
 
     # A cluster that no single task should hold: in each shared part the first member meets the others, which joins copies.
@@ -293,6 +301,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, threshold: int = T
     leaves = written(leaves, "cluster-leaves")
     open_clusters = leaves.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cluster")
     found = written(_tree_links(leaves.join(open_clusters, "cluster", "left_semi"), sets, threshold), "tree-links")
+    discard(sets)
     groups = written(components(links.unionByName(found)), "set-groups").withColumnRenamed("id", "of")
     out = classed.join(groups, classed["rep"] == groups["of"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

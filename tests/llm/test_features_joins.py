@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -12,6 +15,7 @@ import pyarrow as pa
 import pytest
 
 from kerbline.llm import resampling, signature_trees, spelling
+from kerbline.llm.common import shared_folder
 
 DOCS = "doc_id long, text string, word string, n long, weight string, score string, id string, cluster string, label string, `a.b` string"
 OTHER = ["x", 1, *["x"] * 6]
@@ -250,3 +254,31 @@ def test_trees_lose_no_pair():
     cross = signature_trees.linked(sets[:50], np.arange(50), (sets[50:], np.arange(50, 90)), 90)
     inside = [p for p in pairs if (p[0] < 50) == (p[1] < 50)]
     assert closed(cross + inside) == closed(pairs)
+
+
+def test_a_worker_of_resampling_stays_small():
+    """A batch of 16 MB of ever new words: the worker's memory may not grow by much more than the batch."""
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from kerbline.llm import resampling
+pick = np.random.default_rng(1)
+texts = [" ".join(f"{x:x}" for x in pick.integers(1 << 28, 1 << 32, 100)) for _ in range(18_000)]
+batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+list(resampling._counted([batch]))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    root = pathlib.Path(resampling.__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 250
+
+
+def test_join_leaves_no_signatures(spark):
+    """Keys of all documents go once they have met."""
+    text = " ".join(f"k{i}" for i in range(40))
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    assert set(joined(spark, [(1, text), (2, text + " more"), (3, "other words here")]).values()) == {1, 3}
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert not left & {"set-signatures", "classes", "sets"}
