@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kerbline.constants import HORIZONS, NEXT_STOP_SECONDS
 
 VEHICLE = ("route_id", "veh_id", "plate_no")
+#: Rows of states that a task of the windows should hold, at some 2 kB each in its sorts.
+TASK_ROWS = 100_000
 _RADIX_BITS = 4
 _RADIX = 1 << _RADIX_BITS
 
@@ -63,10 +65,22 @@ def _next_larger(frame: DataFrame, part: list[str], levels: int, reach: int) ->
     return frame.withColumn("_next", F.when(F.col("_next.t") - F.col("t") <= reach, F.col("_next")))
 
 
+def dealt(frame: DataFrame, part: Sequence[str], rows: int) -> DataFrame:
+    """``frame`` dealt by ``part`` over as many tasks as ``rows`` need, so that a task's memory doesn't grow with the table."""
+    if rows <= TASK_ROWS:
+        return frame
+    return frame.repartition(max(frame.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *part)
+
+
 def sequence_bounds(rows: DataFrame, seq: str = "station_seq") -> tuple[int, int]:
     """Smallest and largest stop sequence; one column is read and one row comes back."""
-    low, high = rows.agg(F.min(F.coalesce(seq, F.lit(0))), F.max(F.coalesce(seq, F.lit(0)))).first()
-    return (0, 0) if low is None else (int(low), int(high))
+    return _counted_bounds(rows, seq)[1:]
+
+
+def _counted_bounds(rows: DataFrame, seq: str = "station_seq") -> tuple[int, int, int]:
+    """Number of rows and what ``sequence_bounds`` gives, by one pass."""
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(F.coalesce(seq, F.lit(0))), F.max(F.coalesce(seq, F.lit(0)))).first()
+    return (n, 0, 0) if low is None else (n, int(low), int(high))
 
 
 def vehicle_futures(
@@ -97,10 +111,11 @@ def vehicle_futures(
     )
     # A missing vehicle part is its own value, as it is once features are default-filled.
     part = [*vehicle, "_slice"]
-    frame = sliced(states, width, reach)
+    count, *bounds = _counted_bounds(rows)
+    frame = dealt(sliced(states, width, reach), part, count)
     frame = _last_within(frame, part, horizons)
     if next_stop_seconds is not None:
-        low, high = seq_bounds or sequence_bounds(rows)
+        low, high = seq_bounds or bounds
         levels = max(1, -(-(high - low).bit_length() // _RADIX_BITS))
         inside = F.col("seq").between(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))
         wrong = F.raise_error(F.format_string(f"stop sequence %d lies outside {low} to {high}", "seq")).cast("bigint")

@@ -280,3 +280,12 @@ def test_stops_outside_the_given_bounds_are_an_error(rows):
     assert found["has_next_station"] == 1
     with pytest.raises(Exception, match="outside 0 to 15"):
         labels.label_table(frame, micros=F.col("t") * 1_000_000, seq_bounds=(0, 15)).collect()
+
+
+def test_label_tasks_hold_a_bounded_number_of_rows(rows, monkeypatch):
+    frame = future_rows(rows, [(i, i % 7, i % 40, f"P{i % 40}", i * 37 % 9000, i % 20, i % 4) for i in range(2000)])
+    few = labels.label_table(frame, micros=F.col("sec") * 1_000_000)
+    monkeypatch.setattr(labels, "TASK_ROWS", 100)
+    many = labels.label_table(frame, micros=F.col("sec") * 1_000_000)
+    assert many.rdd.getNumPartitions() >= 20 > few.rdd.getNumPartitions()
+    assert sorted(many.collect()) == sorted(few.collect())
