@@ -59,9 +59,12 @@ def bucket_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
     for step in range(1, rounds + 1):
         live = _open(held, labels)
         if live.isEmpty():
+            discard(live)
             return labels
         if step == rounds:
-            return _merged(labels, written(rest(live).select("a", "b").distinct(), "links"))
+            out = _merged(labels, written(rest(live).select("a", "b").distinct(), "links"))
+            discard(live)
+            return out
         by = F.xxhash64("id", F.lit(step))
         pivots = live.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), by).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("other"))
         held = written(live.join(pivots, "bucket").where("id <> pivot"), "bucket-members")
@@ -72,15 +75,20 @@ def bucket_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels with further links: only the roots that these join are looked at again."""
+    """Labels with further links: only the roots that these join are looked at again; both, which are written, are deleted."""
+    given = links
     if labels is None:
-        return written(components(links), "labels")
+        out = written(components(links), "labels")
+        discard(given)
+        return out
     root = labels.select(F.col("id").alias("of"), "label")
     for end in ("a", "b"):
         links = links.join(root, links[end] == root["of"], "left").select(F.coalesce("label", end).alias(end), "b" if end == "a" else "a")
     roots = written(components(links), "roots")
     grown = labels.join(roots.select(F.col("id").alias("of"), F.col("label").alias("root")), F.col("label") == F.col("of"), "left").select("id", F.coalesce("root", "label").alias("label"))
-    return written(grown.unionByName(roots.join(labels, "id", "left_anti")), "labels")
+    out = written(grown.unionByName(roots.join(labels, "id", "left_anti")), "labels")
+    discard(given, roots, labels)
+    return out
 
 
 def _open(held: DataFrame, labels: DataFrame) -> DataFrame:

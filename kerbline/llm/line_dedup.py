@@ -135,7 +135,9 @@ def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
         found = (F.col("bucket") == F.col("other_bucket")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close
         return exact(one.hint("merge").join(two, found))
 
-    return bucket_components(members, confirm, rest, rounds=3)
+    found = bucket_components(members, confirm, rest, rounds=3)
+    discard(signed, *texts)
+    return found
 
 
 def _repeated(docs: DataFrame, doc: str, gone: str) -> DataFrame:
@@ -144,9 +146,12 @@ def _repeated(docs: DataFrame, doc: str, gone: str) -> DataFrame:
     groups = line_groups(docs, places).withColumnRenamed("id", "of")
     grouped = places.join(groups, places["id"] == groups["of"], "left").select(F.coalesce("label", "id").alias("label"), "doc_id", "line_no")
     grouped = written(grouped, "grouped-lines")
+    discard(places)
     first = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
     later = grouped.join(first, "label").where(F.struct("doc_id", "line_no") > F.col("first"))
-    return written(later.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(gone)), "removed-lines")
+    removed = written(later.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(gone)), "removed-lines")
+    discard(grouped)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

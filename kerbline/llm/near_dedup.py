@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm import hashing
-from kerbline.llm.common import map_batches, written
+from kerbline.llm.common import discard, map_batches, written
 from kerbline.llm.components import bucket_components
 
 SHINGLE = 5
@@ -192,6 +192,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classed = written(signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
     reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "d1", "d2", "doc_id"], "left_semi").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"])
     reps = written(reps, "representatives")
+    discard(signed)
+    fetched: list[DataFrame] = []
     members = map_batches(reps, _bands, "bucket long, id long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -200,6 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         able = written(map_batches(pairs.join(one, "a").join(two, "b"), _hopeful, "a long, b long").distinct(), "hopeful-pairs")
         needed = able.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = written(map_batches(texts.join(needed, "doc_id", "left_semi"), _sets, "id long, items binary"), "shingle-sets")
+        fetched.extend([able, sets])
         a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
         return map_batches(able.join(a, "a").join(b, "b"), _confirmed, "a long, b long").distinct()
 
@@ -213,5 +216,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = classed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     known = classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = bucket_components(members, confirm, lambda live: confirm(rest_pairs(live)), known)
+    discard(reps, *fetched)
     out = classed.join(labels, classed["rep"] == labels["id"], "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,5 +1,6 @@
 """Line, near-duplicate and substring deduplication against brute force, and their edge cases."""
 
+import pathlib
 import random
 import re
 from collections import defaultdict
@@ -10,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from kerbline.llm import components, hashing, line_dedup, near_dedup, substring_dedup
+from kerbline.llm.common import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, label string, id string, bucket string, part string, of string, rep string"
@@ -242,3 +244,13 @@ def test_lines_of_any_script_and_white_space_are_those_of_brute_force(spark):
     lines += ["fluffy ends of a line in f", "luffy ends of a line in", "f", "ff", "fff"]
     got, want = removed_lines(spark, lines)
     assert got == want and sum(want) > 20
+
+
+def test_stages_leave_no_large_intermediates(spark):
+    """What a stage has written on its way is gone when its result is there."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    docs = frame(spark, [*corpus(), "a line of text here\na line of text hers"])
+    assert len(line_dedup.dedup_lines(docs).collect()) == len(near_dedup.near_duplicates(docs).collect()) == 66
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert not left & {"line-signatures", "line-places", "line-texts", "grouped-lines", "open-buckets", "links", "sketches", "representatives", "shingle-sets", "hopeful-pairs"}, left
