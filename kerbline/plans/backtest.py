@@ -6,7 +6,7 @@ from kerbline import constants as C
 from kerbline.functions import scores
 from kerbline.operators import metrics, proxy, split
 from kerbline.plans import model as M
-from kerbline.session import cut_lineage
+from kerbline.session import cut_lineage, held
 
 SAMPLE = (
     "snapshot_id", "collected_at_kst", "canonical_route_name", "station_id", "station_name", "station_seq", "hour", "actual_remain_seat_cnt",
@@ -36,8 +36,10 @@ def run(
     train, test = rows.where(early), rows.where(~early)
     if max_test_rows:
         test = split.earliest_test_rows(test, micros, row_id, max_test_rows)
-    choice = M.choose_features(train)
-    fitted = M.fit(train, target, M.boosting(**settings), choice)
+    needed = held(M.lean(train, target))
+    choice = M.choose_features(needed)
+    fitted = M.fit(needed, target, M.boosting(**settings), choice)
+    needed.unpersist()
     scored = M.with_probability(fitted, proxied_test_rows(train, test, target))
     preds = cut_lineage(M.as_predictions(scored, target, threshold))
     sample = preds.select(*SAMPLE[:-2], F.bround("probability", 6).alias("probability"), "predicted", "t", "row_id")

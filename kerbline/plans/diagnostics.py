@@ -11,7 +11,7 @@ from kerbline import constants as C
 from kerbline.functions import scores
 from kerbline.operators import metrics, split
 from kerbline.plans import model as M
-from kerbline.session import cut_lineage
+from kerbline.session import cut_lineage, held
 
 # Ablation variants and the group each leaves out.
 VARIANTS = (
@@ -79,10 +79,13 @@ def optimality(fitted: PipelineModel, train: DataFrame, target: str, l2: float =
 
 
 def ablations(rows: DataFrame, *, target: str, test_ratio: float = 0.2, threshold: float = 0.5, l2: float = C.LOGISTIC_L2) -> tuple[DataFrame, DataFrame]:
-    """Metrics per variant, and the full variant's predictions."""
-    train, test = time_split(rows, test_ratio)
-    parts, full = [], None
+    """Metrics per variant, and the full variant's predictions with all columns of ``rows``."""
+    needed = held(M.lean(rows, target))
+    cut = split.chronological_cut(needed, _micros(), _row_id(), test_ratio)
+    early = split.before_cut(_micros(), _row_id(), cut)
+    train, parts, full = needed.where(early), [], None
     for name, disabled in VARIANTS:
+        test = (rows if name == "full" else needed).where(~early)
         done = fit_and_score(train, test, M.logistic(l2), target=target, threshold=threshold, disabled=disabled)
         full = done["predictions"] if name == "full" else full
         names = M.feature_names(done["model"], done["choice"])
@@ -94,6 +97,7 @@ def ablations(rows: DataFrame, *, target: str, test_ratio: float = 0.2, threshol
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
+    needed.unpersist()
     return table, full
 
 
@@ -156,8 +160,10 @@ def calibration_comparison(rows: DataFrame, *, target: str, test_ratio: float =
 
 def boosting_comparison(rows: DataFrame, *, target: str, test_ratio: float = 0.2, threshold: float = 0.5, **settings) -> dict:
     """Boosting on the same time split, with its curve, calibration, breakdowns and importances."""
-    train, test = time_split(rows, test_ratio)
+    needed = held(M.lean(rows, target))
+    train, test = time_split(needed, test_ratio)
     done = fit_and_score(train, test, M.boosting(**settings), target=target, threshold=threshold)
+    needed.unpersist()
     preds = done["predictions"]
     return {
         "metrics": metrics.classification_metrics(preds, threshold),

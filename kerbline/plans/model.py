@@ -52,6 +52,13 @@ def choose_features(rows: DataFrame, disabled: Sequence[str] = ()) -> FeatureCho
     return choice
 
 
+def lean(rows: DataFrame, target: str) -> DataFrame:
+    """The columns that splits, features, their gates and metrics by group look at; the others go."""
+    wanted = {"snapshot_id", "collected_at", "hour", "day_of_week", target, *(flag for flag, _ in C.GATED_GROUPS.values())}
+    wanted.update(c for numeric, categorical in C.MODEL_FEATURE_GROUPS.values() for c in numeric + categorical)
+    return rows.select(*(c for c in rows.columns if c in wanted))
+
+
 def with_cyclic_time(rows: DataFrame) -> DataFrame:
     hour, day = scores.cyclic(F.col("hour"), 24.0), scores.cyclic(F.col("day_of_week"), 7.0)
     return rows.withColumns({"hour_sin": hour[0], "hour_cos": hour[1], "day_sin": day[0], "day_cos": day[1]})

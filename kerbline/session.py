@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -54,3 +55,8 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     checkpoint_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def held(frame: DataFrame) -> DataFrame:
+    """Columns on the executors' disks, for frames of many passes: each pass reads only the columns it needs, rows keep their order."""
+    return frame.persist(StorageLevel.DISK_ONLY)

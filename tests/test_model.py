@@ -107,3 +107,16 @@ def test_live_scoring(spark, city, tmp_path):
     assert (got[2]["scheduleProxyTimeBasis"], got[2]["scheduleAllocationMinutes"], got[2]["featureSource"]) == ("requested_time", 20, "schedule_historical_proxy")
     diagnostics_ = live.arrival_diagnostics(arrivals).first()
     assert (diagnostics_["arrivals"], diagnostics_["arrival_candidate_slots"], diagnostics_["empty_reason"]) == (3, 1, "arrival_vehicle_fields_present")
+
+
+def test_passes_read_needed_columns_only(city, monkeypatch):
+    """The many passes of a fit run over held columns, which hold all that the model looks at."""
+    rows, kept, target = city["training"], [], "target_no_seat_next_station"
+    monkeypatch.setattr(diagnostics, "held", lambda frame: kept.append(frame.columns) or frame.persist())
+    monkeypatch.setattr(diagnostics, "VARIANTS", (("full", ()),))
+    table, full = diagnostics.ablations(rows, target=target)
+    assert "station_name" not in kept[0] and "temperature" in kept[0] and target in kept[0]
+    assert set(rows.columns) < set(full.columns) and table.first()["rows"] == 20
+    choice = model.choose_features(rows)
+    assert model.choose_features(model.lean(rows, target)) == choice
+    assert model.encoder_stages(rows, choice)[0].getStatement() == model.encoder_stages(model.lean(rows, target), choice)[0].getStatement()
