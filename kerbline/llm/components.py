@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import discard, join_checked, written
+from kerbline.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,7 +37,14 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def bucket_components(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, rounds: int = 1) -> DataFrame:
+def bucket_components(
+    members: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    rest: Callable[[DataFrame], DataFrame],
+    known: DataFrame | None = None,
+    rounds: int = 1,
+    able: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``(id, label)``, as ``components`` gives them, of the graph of all links between ids that share a bucket.
 
     ``members (bucket, id)`` may repeat rows. In each of ``rounds`` rounds one member of every bucket, at first the smallest,
@@ -45,19 +52,22 @@ def bucket_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
     no more than there are members, and returns those that are links. That settles most buckets, large groups of copies above
     all, since pairs inside a component can't change the result. Buckets that still hold several components go to ``rest`` as
     ``(bucket, id, label)``; it returns the links ``(a, b)`` between their members of different components. So every pair of a
-    bucket is tried or lies in one component at the end. ``known`` are links found elsewhere.
+    bucket is tried or lies in one component at the end. ``able`` gets such rows after the first round and leaves out members
+    that can't be linked with any of another component in their bucket. ``known`` are links found elsewhere.
     """
-    ends = written(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), F.count("*").alias("n")).where("pivot <> high"), "buckets")
-    # A bucket of two is known by its ends; the members of larger ones are looked up.
-    larger = ends.where("n > 2").select("bucket", "pivot")
-    held = written(join_checked(members, larger, "bucket", "inner").where("id <> pivot").distinct(), "bucket-members")
-    two = ends.where("n = 2").select(F.col("pivot").alias("a"), F.col("high").alias("b"))
-    pairs = held.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(two).distinct()
-    links = confirm(pairs).select("a", "b")
+    whole = Window.partitionBy("bucket")
+    counted = members.select("bucket", "id", F.min("id").over(whole).alias("pivot"), F.count("*").over(whole).alias("n"))
+    met = written(counted.where("id <> pivot"), "bucket-members")
+    links = confirm(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b")
     labels = _merged(None, written(links if known is None else links.unionByName(known), "links"))
-    discard(ends)
+    # A bucket of two has met.
+    held = written(met.where("n > 2").select("bucket", "id").distinct(), "bucket-members")
+    discard(met)
     for step in range(1, rounds + 1):
         live = _open(held, labels)
+        if able is not None and step == 1:
+            every, live = live, written(able(live), "open-buckets")
+            discard(every)
         if live.isEmpty():
             discard(live)
             return labels
@@ -94,9 +104,8 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def _open(held: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their present labels, of the buckets that hold more than one; ``held``, which is written, is deleted."""
     now = held.select("bucket", "id").join(labels.select(F.col("id").alias("of"), F.col("label").alias("root")), F.col("id") == F.col("of"), "left")
-    now = written(now.select("bucket", "id", F.coalesce("root", "id").alias("label")), "labelled-members")
+    whole = Window.partitionBy("bucket")
+    now = now.select("bucket", "id", F.coalesce("root", "id").alias("label")).withColumns({"low": F.min("label").over(whole), "high": F.max("label").over(whole)})
+    live = written(now.where("low <> high").select("bucket", "id", "label"), "open-buckets")
     discard(held)
-    several = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    live = written(now.join(several, "bucket"), "open-buckets")
-    discard(now)
     return live

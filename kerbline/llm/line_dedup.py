@@ -18,6 +18,8 @@ from kerbline.llm.components import bucket_components
 SHINGLE = 5
 HASHES, ROWS, LEAST = 64, 4, 32
 THRESHOLD = 75  # per cent
+#: Numbers of 64 bits that a set's parities take.
+WORDS = 16
 #: One bit of each four, and how many four-bit parts of min-hashes a number holds.
 LOWEST, PARTS = 0x1111111111111111, 16
 _RANDOM = random.Random(11)
@@ -112,30 +114,61 @@ def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
             found[0] = found[0].unionByName(more)
         return found[0]
 
-    def exact(pairs: DataFrame) -> DataFrame:
+    def sets(needed: DataFrame) -> DataFrame:
+        shingles = F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s)))
+        return written(with_texts(needed).dropDuplicates(["id"]).select("id", shingles.alias("items")), "line-sets")
+
+    shared, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
+    sizes = 100 * F.least(F.size("xa"), F.size("xb")) >= THRESHOLD * F.greatest(F.size("xa"), F.size("xb"))
+    alike = sizes & (100 * shared >= THRESHOLD * (total - shared))
+
+    def exact(pairs: DataFrame, items: DataFrame) -> DataFrame:
+        return pairs.join(named(items, "a"), "a").join(named(items, "b"), "b").where(alike)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
         """Of pairs whose min-hashes are close, those whose sets are."""
-        pairs = written(pairs.select("a", "b").distinct(), "close-pairs")
+        pairs = written(pairs.join(named(prints, "a"), "a").join(named(prints, "b"), "b").where(close).select("a", "b").distinct(), "close-pairs")
         needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-needed")
-        shingles = F.array_distinct(F.transform(_shingles(F.col("normal")), lambda s: F.hash(s)))
-        items = written(with_texts(needed).dropDuplicates(["id"]).select("id", shingles.alias("items")), "line-sets")
-        shared, total = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
-        sizes = 100 * F.least(F.size("xa"), F.size("xb")) >= THRESHOLD * F.greatest(F.size("xa"), F.size("xb"))
-        found = pairs.join(named(items, "a"), "a").join(named(items, "b"), "b").where(sizes & (100 * shared >= THRESHOLD * (total - shared))).select("a", "b")
-        found = written(found, "like-lines")
+        items = sets(needed)
+        found = written(exact(pairs, items).select("a", "b"), "like-lines")
         discard(pairs, needed, items)
         return found
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return exact(pairs.join(named(prints, "a"), "a").join(named(prints, "b"), "b").where(close))
+    def meeting(rows: DataFrame, test: Column, how: str) -> DataFrame:
+        """Rows of ``rows (bucket, id, label, ...)`` with those of other components in their bucket, tested inside the join."""
+        one, two = named(rows, "a"), named(rows, "b").withColumnRenamed("bucket", "other_bucket")
+        other = (F.col("bucket") == F.col("other_bucket")) & (F.col("la") != F.col("lb"))
+        return one.hint("merge").join(two, other & test, how)
 
-    def rest(live: DataFrame) -> DataFrame:
-        # Min-hashes are compared inside the join, which large buckets' rows are split over; only close pairs leave it.
-        signed_live = live.join(prints, "id")
-        one, two = named(signed_live, "a"), named(signed_live, "b").withColumnRenamed("bucket", "other_bucket")
-        found = (F.col("bucket") == F.col("other_bucket")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close
-        return exact(one.hint("merge").join(two, found))
+    def able(live: DataFrame) -> DataFrame:
+        """Members with min-hashes close to those of another component's in their bucket; no pair leaves the join."""
+        return meeting(live.join(prints, "id"), close, "left_semi").select("bucket", F.col("a").alias("id"), F.col("la").alias("label"))
+
+    def parities(items: DataFrame) -> DataFrame:
+        """``(id, o0, o1, ...)``: which of ``64 * WORDS`` bits an odd number of a set's hashes fall on."""
+        rows = items.select("id", F.explode("items").alias("h"))
+        word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, h & 63)")
+        return rows.groupBy("id").agg(*(F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("long")).alias(f"o{w}") for w in range(WORDS)))
 
-    found = bucket_components(members, confirm, rest, rounds=3)
+    # A hash in one of two sets only changes one bit; at the threshold there are no more such hashes than a part of both sizes.
+    odd = sum((F.bit_count(F.col(f"o{w}a").bitwiseXOR(F.col(f"o{w}b"))) for w in range(WORDS)), F.lit(0))
+    within = (100 + THRESHOLD) * odd <= (100 - THRESHOLD) * (F.col("na") + F.col("nb"))
+    # A pair that shares several buckets is tested in the first, where both are unless one of them has met the other there.
+    first = F.coalesce(*(F.when(F.col(f"k{b}a") == F.col(f"k{b}b"), F.col(f"k{b}a")) for b in bands)) == F.col("bucket")
+
+    def rest(live: DataFrame) -> DataFrame:
+        """Labels of components that a link joins. Members bring their sets' parities into the bucket, which few pairs but links leave."""
+        live = written(able(live), "open-buckets")
+        needed = written(live.select("id").distinct(), "lines-needed")
+        items = sets(needed)
+        described = signed.join(items.select("id", F.size("items").alias("n")), "id").join(parities(items), "id")
+        pairs = meeting(live.join(described, "id"), (F.col("la") < F.col("lb")) & close & within & first, "inner")
+        pairs = written(pairs.select("a", "b", "la", "lb"), "close-pairs")
+        links = written(exact(pairs, items).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "like-lines")
+        discard(live, needed, items, pairs)
+        return links
+
+    found = bucket_components(members, confirm, rest, rounds=3, able=able)
     discard(signed, *texts)
     return found
 

@@ -246,6 +246,26 @@ def test_lines_of_any_script_and_white_space_are_those_of_brute_force(spark):
     assert got == want and sum(want) > 20
 
 
+def test_unlike_lines_of_one_family_leave_no_pairs(spark, monkeypatch):
+    """A family of lines below the threshold shares buckets; its pairs, which grow with its square, are tested but not written."""
+    pick = random.Random(5)
+    start = "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=70))
+    lines = [start + "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(150)]
+    lines += [line + "x" for line in lines[:20]]
+    rows, write = [], line_dedup.written
+
+    def counted(frame, name):
+        out = write(frame, name)
+        if name in ("close-pairs", "like-lines"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    got, want = removed_lines(spark, lines)
+    assert got == want and sum(want) == 20
+    assert max(rows) <= 16 * len(lines), rows
+
+
 def test_stages_leave_no_large_intermediates(spark):
     """What a stage has written on its way is gone when its result is there."""
     folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
