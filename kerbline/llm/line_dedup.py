@@ -153,17 +153,15 @@ def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
     # A hash in one of two sets only changes one bit; at the threshold there are no more such hashes than a part of both sizes.
     odd = sum((F.bit_count(F.col(f"o{w}a").bitwiseXOR(F.col(f"o{w}b"))) for w in range(WORDS)), F.lit(0))
     within = (100 + THRESHOLD) * odd <= (100 - THRESHOLD) * (F.col("na") + F.col("nb"))
-    # A pair that shares several buckets is tested in the first, where both are unless one of them has met the other there.
-    first = F.coalesce(*(F.when(F.col(f"k{b}a") == F.col(f"k{b}b"), F.col(f"k{b}a")) for b in bands)) == F.col("bucket")
 
     def rest(live: DataFrame) -> DataFrame:
         """Labels of components that a link joins. Members bring their sets' parities into the bucket, which few pairs but links leave."""
         live = written(able(live), "open-buckets")
         needed = written(live.select("id").distinct(), "lines-needed")
         items = sets(needed)
-        described = signed.join(items.select("id", F.size("items").alias("n")), "id").join(parities(items), "id")
-        pairs = meeting(live.join(described, "id"), (F.col("la") < F.col("lb")) & close & within & first, "inner")
-        pairs = written(pairs.select("a", "b", "la", "lb"), "close-pairs")
+        described = prints.join(items.select("id", F.size("items").alias("n")), "id").join(parities(items), "id")
+        pairs = meeting(live.join(described, "id"), (F.col("la") < F.col("lb")) & close & within, "inner")
+        pairs = written(pairs.select("a", "b", "la", "lb").distinct(), "close-pairs")
         links = written(exact(pairs, items).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "like-lines")
         discard(live, needed, items, pairs)
         return links
