@@ -5,6 +5,7 @@ shorter line is one shingle. The signature is ``HASHES`` min-hashes: the smalles
 own, XOR a fixed number. Each band takes ``ROWS`` of them, none twice: a pair at the threshold is missed with probability 0.0023.
 Candidate pairs from the bands of which ``LEAST`` min-hashes agree (four bits of each are kept), five standard deviations
 less than at the threshold, are confirmed on full sets and joined to components; the first line of each component stays.
+Pairs of buckets that stay open pass a bound by parities of their sets first, which no pair at the threshold fails.
 """
 
 import random
