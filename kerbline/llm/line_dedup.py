@@ -1,14 +1,16 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 A line is lower-cased and trimmed, each run of white space in it is one space. Its set holds the shingles of ``SHINGLE`` characters that begin at each of its places; a
-shorter line is one shingle. The signature is ``HASHES`` min-hashes: the smallest of 32 bits of each hash from a place of its
-own, XOR a fixed number. Each band takes ``ROWS`` of them, none twice: a pair at the threshold is missed with probability 0.0023.
-Candidate pairs from the bands of which ``LEAST`` min-hashes agree (four bits of each are kept), five standard deviations
-less than at the threshold, are confirmed on full sets and joined to components; the first line of each component stays.
+shorter line is one shingle. The signature is ``HASHES`` min-hashes by one permutation: each shingle falls into one of ``BINS``
+bins by its hash, and of a bin's hashes the one nearest (by XOR) to each of its ``ORDERS`` points is taken. Each band takes ``ROWS``
+min-hashes of a bin, none twice; empty bins have no bands. By simulation a pair at the threshold is missed with probability 0.002
+at most, 0.0034 for sets of four shingles. Candidate pairs from the bands of which ``LEAST`` min-hashes agree (four bits of each are
+kept), four standard deviations less than at the threshold, are confirmed on full sets and joined to components; the first line of each component stays.
 Pairs of buckets that stay open pass a bound by parities of their sets first, which no pair at the threshold fails.
 """
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +19,18 @@ from kerbline.llm.common import BROADCAST_ROWS, discard, join_checked, written
 from kerbline.llm.components import bucket_components
 
 SHINGLE = 5
-HASHES, ROWS, LEAST = 64, 4, 32
+BINS, ORDERS, ROWS, LEAST = 4, 16, 4, 28
+HASHES = BINS * ORDERS
 THRESHOLD = 75  # per cent
 #: Numbers of 64 bits that a set's parities take.
 WORDS = 16
-#: One bit of each four, and how many four-bit parts of min-hashes a number holds.
-LOWEST, PARTS = 0x1111111111111111, 16
+#: One bit of each four: a number holds four bits of each of a bin's min-hashes.
+LOWEST = 0x1111111111111111
 _RANDOM = random.Random(11)
-_ORDERS = [(_RANDOM.randrange(33), _RANDOM.getrandbits(64) - (1 << 63)) for _ in range(HASHES)]
+#: A point in each sixteenth of the numbers. A band has two and two neighbours: short lines still fill it, long lines by four hashes.
+_POINTS = [(part << 60 | _RANDOM.getrandbits(60)) - (1 << 63) for part in (0, 1, 8, 9, 2, 3, 10, 11, 4, 5, 12, 13, 6, 7, 14, 15)]
+#: White space other than a single space between words.
+_WIDE_SPACES = ("  ", "\t", "\v", "\f", "\r", "\u00a0", "\u3000")
 
 
 def _shingles(line: Column) -> Column:
@@ -33,8 +39,9 @@ def _shingles(line: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    """Runs of white space are one space; a single space between words already is, and is passed over."""
-    return F.trim(F.regexp_replace(line, r"[\s\u00a0\u3000]{2,}|[\s\u00a0\u3000&&[^ ]]", " "))
+    """Runs of white space are one space; lines that have single spaces between words only are passed over."""
+    odd = reduce(Column.__or__, (F.contains(line, F.lit(space)) for space in _WIDE_SPACES))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\s\u00a0\u3000]+", " ")).otherwise(line))
 
 
 def _raw_lines(docs: DataFrame) -> DataFrame:
@@ -50,19 +57,27 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``(id, k0, k1, ..., p0, p1, ...)`` of each distinct line: keys of its bands, and four bits of each min-hash.
+    """``(id, k0, k1, ..., p0, p1, ...)`` of each distinct line: keys of its bands, and for each bin four bits of each min-hash; null for an empty bin.
 
-    Shingles are cut from the line's characters of four bytes each, where a place is found without walking the line.
+    Shingles are cut from the line's characters of four bytes each, where a place is found without walking the line. Lines are
+    dealt by ``id`` once; all grouping after that stays in place.
     """
-    wide = _lines(docs).select("id", F.encode("normal", "UTF-32").alias("wide"))
-    places = F.sequence(F.lit(0), F.greatest(F.octet_length("wide") / 4 - SHINGLE, F.lit(0)).cast("int"))
-    rows = wide.select("id", "wide", F.explode(places).alias("place"))
-    rows = rows.select("id", F.xxhash64(F.substring("wide", F.col("place") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
-    least = [F.min(F.shiftright(F.shiftleft("h", shift).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{i}") for i, (shift, c) in enumerate(_ORDERS)]
-    found = rows.groupBy("id").agg(*least)
-    keys = [F.xxhash64(F.lit(i), *(F.col(f"m{i + r}") for r in range(ROWS))).alias(f"k{i // ROWS}") for i in range(0, HASHES, ROWS)]
-    prints = [sum((F.shiftleft(F.col(f"m{i + k}").cast("long").bitwiseAND(F.lit(15)), 4 * k) for k in range(PARTS)), F.lit(0).cast("long")).alias(f"p{i // PARTS}") for i in range(0, HASHES, PARTS)]
-    return found.select("id", *keys, *prints)
+    lines = _lines(docs).groupBy("id").agg(F.first("normal").alias("normal"))
+    wide = lines.select("id", F.encode("normal", "UTF-32").alias("wide"))
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("wide") - 4 * SHINGLE + 1, F.lit(1)).cast("int"), F.lit(4))
+    rows = wide.select("id", "wide", F.explode(starts).alias("start"))
+    rows = rows.select("id", F.xxhash64(F.substring("wide", F.col("start"), F.lit(4 * SHINGLE))).alias("h"))
+    least = (F.min(F.col("h").bitwiseXOR(F.lit(point))).alias(f"m{i}") for i, point in enumerate(_POINTS))
+    found = rows.groupBy("id", F.col("h").bitwiseAND(F.lit(BINS - 1)).alias("bin")).agg(*least)
+    bands = range(ORDERS // ROWS)
+    keys = [F.xxhash64("bin", F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))).alias(f"key{b}") for b in bands]
+    # The lowest bits of a min-hash tell the bin.
+    prints = sum((F.shiftleft(F.shiftright(F.col(f"m{i}"), 4).bitwiseAND(F.lit(15)), 4 * i) for i in range(ORDERS)), F.lit(0).cast("long")).alias("print")
+    found = found.select("id", "bin", *keys, prints)
+    return found.groupBy("id").agg(
+        *(F.max(F.when(F.col("bin") == n, F.col(f"key{b}"))).alias(f"k{n * len(bands) + b}") for n in range(BINS) for b in bands),
+        *(F.max(F.when(F.col("bin") == n, F.col("print"))).alias(f"p{n}") for n in range(BINS)),
+    )
 
 
 def _fresh_name(taken: list[str], name: str) -> str:
@@ -79,9 +94,9 @@ def line_groups(docs: DataFrame, places: DataFrame) -> DataFrame:
     ``places (id, doc_id, line_no)`` are all places of lines.
     """
     signed = written(_signed(docs), "line-signatures")
-    bands, parts = range(HASHES // ROWS), range(HASHES // PARTS)
-    members = signed.select("id", F.explode(F.array(*(f"k{b}" for b in bands))).alias("bucket"))
-    prints = signed.select("id", *(f"p{i}" for i in parts))
+    bands, parts = range(HASHES // ROWS), range(BINS)
+    members = signed.select("id", F.explode(F.array(*(f"k{b}" for b in bands))).alias("bucket")).where("bucket IS NOT NULL")
+    prints = signed.select("id", *(F.coalesce(F.col(f"p{i}"), F.lit(0).cast("long")).alias(f"p{i}") for i in parts))
     texts: list[DataFrame] = []
 
     def named(frame: DataFrame, end: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kerbline.llm import components, hashing, line_dedup, near_dedup, substring_dedup
@@ -246,6 +247,37 @@ def test_lines_of_any_script_and_white_space_are_those_of_brute_force(spark):
     assert got == want and sum(want) > 20
 
 
+def test_a_shingle_meets_few_minima_and_lines_are_dealt_once(spark):
+    """The 64 min-hashes come from 16 minima a shingle, each in the bin of its hash."""
+    plan = line_dedup._signed(frame(spark, ["a line of text", None]))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("min(") <= 16
+    assert plan.sparkPlan().toString().count("first(") > 0 and plan.executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_lines_at_the_threshold_share_a_band(spark):
+    """Pairs just above the threshold, of short and long lines: nearly all share a band, and enough min-hashes."""
+    pick = random.Random(7)
+    lines = []
+    for _ in range(300):
+        line = near = "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.choice((8, 20, 40, 90, 300))))
+        own = {line[i : i + 5] for i in range(len(line) - 4)}
+        for at in pick.sample(range(len(line)), len(line)):
+            other = near[:at] + "-" + near[at + 1 :]
+            sets = {other[i : i + 5] for i in range(len(line) - 4)}
+            if 100 * len(own & sets) >= 75 * len(own | sets):
+                near = other
+        lines += [line, near if near != line else line + "-"]
+    ids = [r.id for r in frame(spark, lines).orderBy("doc_id").select(F.xxhash64("text").alias("id")).collect()]
+    signed = {r.id: r for r in line_dedup._signed(frame(spark, lines)).collect()}
+    missed = 0
+    for a, b in zip(ids[::2], ids[1::2]):
+        one, two = signed[a], signed[b]
+        shared = any(one[f"k{i}"] is not None and one[f"k{i}"] == two[f"k{i}"] for i in range(16))
+        apart = [((one[f"p{i}"] or 0) ^ (two[f"p{i}"] or 0)) % 2**64 for i in range(4)]
+        missed += not shared or sum(x >> 4 * k & 15 > 0 for x in apart for k in range(16)) > 36
+    assert missed <= 4
+
+
 def test_unlike_lines_of_one_family_leave_no_pairs(spark, monkeypatch):
     """A family of lines below the threshold shares buckets; its pairs, which grow with its square, are tested but not written."""
     pick = random.Random(5)
